@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlake.plans import indicator_queries  # noqa: F401
+from barlake.plans import indicator_queries, signal_queries  # noqa: F401
 from barlake.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
