@@ -26,7 +26,7 @@ def shown_sql(columns) -> str:
 
 def indicator_query(name: str, columns: tuple[str, ...], grain: str = "week", fill: bool = False) -> None:
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        frame = indicators(bindings.bars(spark, folder, grain), columns, fill=fill)
+        frame = indicators(bindings.series(spark, folder, grain), columns, fill=fill)
         return frame.selectExpr("instrument", DAY, *shown(columns))
 
     chain = [PLACES, TICKS, bars(grain), *indicator_chain()]

@@ -23,7 +23,7 @@ TREND_VOTE = f"""CASE WHEN {div('close - sma_20', 'sma_20')} > CAST(0.01 AS DOUB
 
 
 def _votes(spark: SparkSession, folder: str) -> DataFrame:
-    frame = indicators(bindings.bars(spark, folder), ["rsi", "sma_20"])
+    frame = indicators(bindings.series(spark, folder), ["rsi", "sma_20"])
     return frame.select(
         "instrument", F.expr(DAY), rsi_vote(F.col("rsi")).alias("rsi_vote"), trend_vote(F.col("close"), F.col("sma_20")).alias("trend_vote")
     )
@@ -33,7 +33,7 @@ register("rsi_and_trend_votes", _votes, with_(*weekly(), *indicator_chain(), sel
 
 
 def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    frame = latest(indicators(bindings.bars(spark, folder), ["sma_20", "rsi"], fill=True))
+    frame = latest(indicators(bindings.series(spark, folder), ["sma_20", "rsi"], fill=True))
     return frame.select(
         "instrument", F.expr(DAY), "close", fixed("sma_20").alias("sma_20"), fixed("rsi").alias("rsi"),
         rsi_vote(F.col("rsi")).alias("rsi_vote"), trend_vote(F.col("close"), F.col("sma_20")).alias("trend_vote"),
@@ -71,7 +71,7 @@ TEXTS = ("rsi_signal", "macd_text", "bb_signal", "atr_signal", "stoch_signal", "
 
 def _signals(last_only: bool):
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        frame = indicators(bindings.bars(spark, folder), SIX, fill=True)
+        frame = indicators(bindings.series(spark, folder), SIX, fill=True)
         frame = latest(frame) if last_only else frame
         out = frame.withColumns(indicator_signals()).withColumns(recommendation())
         return out.select("instrument", F.expr(DAY), "close", fixed("atr_percent").alias("atr_percent"), *TEXTS, "recommendation")

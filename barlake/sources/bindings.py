@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.operators.resample import bars_from_ticks
+from barlake.operators.series import index_rows
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,3 +62,8 @@ def bars(spark: SparkSession, folder: str, grain: str = "week") -> DataFrame:
     """Bars of all instruments. Most operators read them twice (positions, then values), so the aggregated bars are
     kept; they are smaller than the ticks by the number of ticks per bar."""
     return bars_from_ticks(ticks(spark, folder), grain, ("instrument", "sector"), "tick_key").persist()
+
+
+def series(spark: SparkSession, folder: str, grain: str = "week") -> DataFrame:
+    """`bars` with `pos` and `n`: what a user would keep as a table, because every window operator starts from it."""
+    return index_rows(bars(spark, folder, grain), ("instrument",)).persist()
