@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.operators.asof import asof_join
 from barlake.operators.resample import bars_from_ticks
 from barlake.operators.series import index_rows
 
@@ -67,3 +68,64 @@ def bars(spark: SparkSession, folder: str, grain: str = "week") -> DataFrame:
 def series(spark: SparkSession, folder: str, grain: str = "week") -> DataFrame:
     """`bars` with `pos` and `n`: what a user would keep as a table, because every window operator starts from it."""
     return index_rows(bars(spark, folder, grain), ("instrument",)).persist()
+
+
+def news(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as articles: instrument number = doc_id mod 25, whole text as title, day number from doc_id."""
+    documents = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("doc"), F.col("text").alias("title"), "source", (F.col("doc_id") % 25).cast("int").alias("place")
+    )
+    published = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("doc") * 37, F.lit(365)).cast("int"))
+    return documents.join(places(spark, folder), "place").select("instrument", published.cast("timestamp").alias("published"), "doc", "title", "source")
+
+
+def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("timestamp").alias("ordered"))
+    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    return placed.join(places(spark, folder), F.col("c_nationkey") == F.col("place")).select(
+        F.col("o_orderkey").alias("id"), "instrument", "ordered", F.col("o_orderstatus").alias("status")
+    )
+
+
+def alert_events(spark: SparkSession, folder: str) -> DataFrame:
+    """One created alert per order, its type and value from the order number; orders in process remove it again."""
+    orders = customer_orders(spark, folder)
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("price_above", "price_below", "rsi_above", "rsi_below")]), (F.col("id") % 4 + 1).cast("int"))
+    value = F.when(F.col("id") % 4 < 2, F.lit(820) + F.pmod(F.col("id") * 7, F.lit(170))).otherwise(F.lit(35) + F.pmod(F.col("id") * 3, F.lit(30)))
+    created = orders.select(
+        F.lit("create").alias("action"), "id", "instrument", kind.alias("alert_type"), value.cast("double").alias("value"), F.col("ordered").alias("created_at"),
+        F.lit(True).alias("active"), F.lit(False).alias("triggered"),
+    )
+    removed = created.join(orders.filter("status = 'P'").select("id"), "id", "left_semi").withColumn("action", F.lit("remove"))
+    return created.unionByName(removed)
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as predictions; the price is the close of the week before or of the order day."""
+    signal = F.when(F.col("status") == "F", "BUY").when(F.col("status") == "O", "SELL").otherwise("HOLD")
+    made = customer_orders(spark, folder).select("id", "instrument", F.col("ordered").alias("recorded_at"), signal.alias("signal"))
+    closes = bars(spark, folder).select("instrument", "ts", F.col("close").alias("price"))
+    return asof_join(made, closes, "price", left_on="recorded_at").filter(F.col("price").isNotNull())
+
+
+TRANSACTION_ORDER = ("traded_at", "o_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+
+
+def transactions(spark: SparkSession, folder: str) -> DataFrame:
+    line = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", F.col("l_shipdate").cast("timestamp").alias("l_shipdate")
+    )
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("traded_at"))
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    part = table(spark, folder, "part").select("p_partkey", "p_retailprice")
+    return (
+        line.join(orders, line.l_orderkey == orders.o_orderkey)
+        .join(supplier, line.l_suppkey == supplier.s_suppkey)
+        .join(places(spark, folder), F.col("s_nationkey") == F.col("place"))
+        .join(part, line.l_partkey == part.p_partkey)
+        .select(
+            F.col("o_custkey").alias("portfolio"), *TRANSACTION_ORDER, "instrument",
+            F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"), F.col("l_quantity").alias("shares"), lineitem_price().alias("price"),
+        )
+    )
