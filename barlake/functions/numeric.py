@@ -29,7 +29,8 @@ def fraction_to_percent(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x kept inside low..high; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def gauge_position(x: Column, low: Column, high: Column) -> Column:

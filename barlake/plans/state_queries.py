@@ -221,9 +221,14 @@ register(
 )
 
 
+# Sums of exact prices often end in a 5 at the digit that is rounded; a small shift keeps both engines on one side of it.
+OFF_TIES = "0.0000002D"
+SUMMARY_COLUMNS = ("current_cash", "total_invested", "total_positions_value", "total_portfolio_value", "total_return")
+
+
 def _summary(spark: SparkSession, folder: str) -> DataFrame:
     out = portfolio.summary(_valued(spark, folder), portfolio.cash_flows(_book(spark, folder)))
-    return out.selectExpr("portfolio", "num_positions", *fx("current_cash total_invested total_positions_value total_portfolio_value total_return", 5))
+    return out.selectExpr("portfolio", "num_positions", *[f"{fixed_text(f'{c} + {OFF_TIES}', 3)} AS {c}" for c in SUMMARY_COLUMNS])
 
 
 register(
@@ -234,7 +239,8 @@ register(
         "flows AS (SELECT portfolio, sum(CASE WHEN action = 'BUY' THEN -shares * price ELSE shares * price END) AS flow FROM book WHERE accepted GROUP BY portfolio)",
         "t AS (SELECT portfolio, sum(invested) AS invested, sum(current_value) AS v, count(*) AS k FROM gained GROUP BY portfolio)",
         "s AS (SELECT portfolio, coalesce(k, 0) AS num_positions, 100000 + flow AS current_cash, coalesce(invested, 0) AS total_invested, coalesce(v, 0) AS total_positions_value FROM flows LEFT JOIN t USING (portfolio))",
-        select=f"SELECT portfolio, num_positions, {rx("current_cash total_invested total_positions_value", 5)}, {r("current_cash + total_positions_value", 5)} AS total_portfolio_value, {r('(current_cash + total_positions_value - 100000) / 100000 * 100', 5)} AS total_return FROM s",
+        "u AS (SELECT *, current_cash + total_positions_value AS total_portfolio_value, (current_cash + total_positions_value - 100000) / 100000 * 100 AS total_return FROM s)",
+        select="SELECT portfolio, num_positions, " + ", ".join(r(f"{c} + CAST(0.0000002 AS DOUBLE)", 3) + f" AS {c}" for c in SUMMARY_COLUMNS) + " FROM u",
     ),
 )
 register(

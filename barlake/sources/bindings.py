@@ -129,3 +129,33 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"), F.col("l_quantity").alias("shares"), lineitem_price().alias("price"),
         )
     )
+
+
+def company_information(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw company figures per instrument, from whole cents and counts of customers, suppliers and orders. Some are null."""
+    place = places(spark, folder)
+    customer = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("place"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    supplier = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("place")).agg(
+        F.sum(F.round(F.col("s_acctbal") * 100).cast("long")).alias("assets"), F.count("*").alias("suppliers")
+    )
+    orders = table(spark, folder, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"))
+    newest = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy("place").agg(
+        F.sum("amount").alias("revenue"), F.sum(F.when(F.col("year") == 1999, F.col("amount"))).alias("now"), F.sum(F.when(F.col("year") == 1998, F.col("amount"))).alias("past"),
+    )
+    wealth = customer.groupBy("place").agg(F.sum("cents").alias("earnings"), F.count("*").alias("customers"))
+    joined = place.join(wealth, "place", "left").join(supplier, "place", "left").join(newest, "place", "left")
+    d = lambda x: F.col(x).cast("double")
+    hidden = lambda every, x: F.when(F.col("place") % every != 0, x)
+    return joined.select(
+        "instrument", F.concat(F.lit("Company of "), "instrument").alias("longName"), "sector", hidden(4, F.concat(F.lit("Industry "), (F.col("place") % 3).cast("string"))).alias("industry"),
+        hidden(3, F.try_divide(d("revenue"), d("earnings") * 10)).alias("trailingPE"), hidden(5, F.try_divide(d("revenue"), d("earnings") * 12)).alias("forwardPE"),
+        hidden(7, F.try_divide(d("earnings"), d("revenue")) * 3).alias("profitMargins"), F.try_divide(d("earnings") - d("assets") * 10, d("assets") * 10).alias("returnOnEquity"),
+        hidden(6, F.try_divide(d("assets") * 1000, d("earnings"))).alias("debtToEquity"), F.try_divide(d("now") - d("past"), d("past")).alias("revenueGrowth"),
+        d("revenue").alias("marketCap"), d("customers").alias("employees"), hidden(8, d("earnings") / 100).alias("totalCash"), F.lit("buy").alias("recommendationKey"),
+    )
+
+
+def peers(spark: SparkSession, folder: str) -> DataFrame:
+    """The other instruments of the same sector; the two last sectors by name have none."""
+    left, right = places(spark, folder), places(spark, folder).select("sector", F.col("instrument").alias("peer"))
+    return left.filter(~F.col("sector").isin("EUROPE", "MIDDLE EAST")).join(right, "sector").filter("instrument <> peer").select("instrument", "peer")
