@@ -159,3 +159,10 @@ def peers(spark: SparkSession, folder: str) -> DataFrame:
     """The other instruments of the same sector; the two last sectors by name have none."""
     left, right = places(spark, folder), places(spark, folder).select("sector", F.col("instrument").alias("peer"))
     return left.filter(~F.col("sector").isin("EUROPE", "MIDDLE EAST")).join(right, "sector").filter("instrument <> peer").select("instrument", "peer")
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a stream of ticks: event type as instrument, value as price."""
+    schema = table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+    return events.select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
