@@ -15,17 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.numeric import change, fixed
-from barlake.operators.series import BUCKET_SECONDS, index_rows, with_blocks
+from barlake.operators.series import BLOCK_ROWS, BUCKET_SECONDS, index_rows, with_blocks
 
 TRADING_DAYS = 252
 TILE = 256
 
 
-def simple_returns(bars: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+def simple_returns(bars: DataFrame, by: Sequence[str] = ("instrument",), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """close / close of the bar before - 1; the first bar of a series has none and is dropped."""
     indexed = bars if {"pos", "n"} <= set(bars.columns) else index_rows(bars, by)
     order = Window.partitionBy(*by, "block").orderBy("pos")
-    moved = with_blocks(indexed, halo=1).withColumn("ret", change(F.col("close"), F.lag("close").over(order)))
+    moved = with_blocks(indexed, block_rows, 1).withColumn("ret", change(F.col("close"), F.lag("close").over(order)))
     return moved.filter(~F.col("is_halo") & F.col("ret").isNotNull()).drop("block", "is_halo")
 
 
@@ -36,7 +36,7 @@ def _dates_of_all(rows: DataFrame, group: str) -> DataFrame:
     return per_date.join(universe, group).filter(F.col("_present") == F.col("_universe")).select(group, "ts")
 
 
-def aligned_returns(bars: DataFrame, group: str = "sector", align: str = "all_present") -> DataFrame:
+def aligned_returns(bars: DataFrame, group: str = "sector", align: str = "all_present", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Returns (group, ts, instrument, ret) on common dates.
 
     `all_present` drops dates on which an instrument of the group has no bar, then takes returns. `pad` carries the
@@ -45,7 +45,7 @@ def aligned_returns(bars: DataFrame, group: str = "sector", align: str = "all_pr
     bars = bars.select(group, "instrument", "ts", "close")
     if align == "all_present":
         common = bars.join(_dates_of_all(bars, group), [group, "ts"], "left_semi")
-        return simple_returns(common, (group, "instrument")).select(group, "ts", "instrument", "ret")
+        return simple_returns(common, (group, "instrument"), block_rows).select(group, "ts", "instrument", "ret")
     if align != "pad":
         raise ValueError("align is 'all_present' or 'pad'")
     dates = index_rows(bars.select(group, "ts").distinct(), (group,)).select(group, "ts", F.col("pos").alias("_at"), F.col("n").alias("_dates"))
@@ -54,7 +54,7 @@ def aligned_returns(bars: DataFrame, group: str = "sector", align: str = "all_pr
     order = Window.partitionBy(group, "instrument", "block").orderBy("pos")
     # A bar covers its own date and the dates up to the next bar. With two halo rows exactly one copy of each bar sees
     # both neighbours: the own one, or for the last row of a block the copy in the next block.
-    copies = with_blocks(placed, halo=2).withColumns({"_next": F.lead("_at").over(order), "_before": F.lag("close").over(order)})
+    copies = with_blocks(placed, block_rows, 2).withColumns({"_next": F.lead("_at").over(order), "_before": F.lag("close").over(order)})
     last, opening = F.col("pos") == F.col("n"), F.col("pos") == 1
     whole = copies.filter((F.col("_next").isNotNull() | last) & (F.col("_before").isNotNull() | opening))
     until = F.when(last, F.col("_dates")).otherwise(F.col("_next") - 1)

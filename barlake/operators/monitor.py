@@ -49,14 +49,14 @@ def check_alerts(alerts: DataFrame, latest: DataFrame) -> DataFrame:
     ).drop("close", "rsi")
 
 
-def first_triggers(alerts: DataFrame, bars: DataFrame) -> DataFrame:
+def first_triggers(alerts: DataFrame, bars: DataFrame, search_rows: int = SEARCH_ROWS) -> DataFrame:
     """Each alert with the first bar at or after its creation that fires it (null if none does): it fires once.
 
     Bars (instrument, ts, pos, n, close, rsi) are summed up in blocks with their extremes; an alert looks for blocks
     whose extreme passes its value and opens the first two of them: the one it was created in may only have fired
     before, any later one is sure to fire.
     """
-    blocked = bars.withColumn("block", own_block(SEARCH_ROWS))
+    blocked = bars.withColumn("block", own_block(search_rows))
     extremes = blocked.groupBy("instrument", "block").agg(
         F.max("ts").alias("_until"), F.max("close").alias("_high"), F.min("close").alias("_low"), F.max("rsi").alias("_rsi_high"), F.min("rsi").alias("_rsi_low")
     )
