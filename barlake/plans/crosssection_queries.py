@@ -187,7 +187,7 @@ S = 100 // STEP
 CANDIDATES_SQL = f"""slots AS (SELECT sector, a AS instrument, row_number() OVER (PARTITION BY sector ORDER BY a) AS slot FROM moments WHERE a = b),
 one AS (SELECT m.sector, {', '.join(f"max(mean_a) FILTER (x.slot = {i} AND y.slot = {i}) AS m{i}, max(a) FILTER (x.slot = {i} AND y.slot = {i}) AS name{i}" for i in range(1, 6))},
   {', '.join(f"max(cov) FILTER (x.slot = {i} AND y.slot = {j}) AS c{i}_{j}" for i in range(1, 6) for j in range(i, 6))}
-  FROM moments m JOIN slots x ON x.sector = m.sector AND x.instrument = m.a JOIN slots y ON y.sector = m.sector AND y.instrument = m.b GROUP BY m.sector),
+  FROM moments m JOIN slots x ON x.sector = m.sector AND x.instrument = m.a JOIN slots y ON y.sector = m.sector AND y.instrument = m.b GROUP BY m.sector HAVING count(DISTINCT x.slot) = 5),
 units AS (SELECT unnest(range(0, {S + 1})) AS u),
 combos AS (SELECT a.u AS u1, b.u AS u2, c.u AS u3, d.u AS u4, {S} - a.u - b.u - c.u - d.u AS u5 FROM units a, units b, units c, units d WHERE a.u + b.u + c.u + d.u <= {S}),
 weighted AS (SELECT *, {', '.join(f'u{i} / CAST({S} AS DOUBLE) AS w{i}' for i in range(1, 6))} FROM one, combos),
