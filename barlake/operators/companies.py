@@ -44,11 +44,10 @@ def symbols(text: Column) -> Column:
 def peer_quotes(wanted: DataFrame, peers: DataFrame, quotes: DataFrame, directory: DataFrame, fallback: str) -> DataFrame:
     """Peers of each wanted instrument with price, change in percent and name. Instruments without peers of their own
     take those of `fallback`; peers without a quote are left out."""
-    own = wanted.join(peers, "instrument")
-    default = peers.filter(F.col("instrument") == fallback).select("peer")
-    lists = default.agg(F.collect_list("peer").alias("_peers"))  # one list of one instrument's peers
-    others = wanted.join(peers, "instrument", "left_anti").join(F.broadcast(lists)).select("instrument", F.explode("_peers").alias("peer"))
-    named = own.unionByName(others).join(quotes.select(F.col("instrument").alias("peer"), "current_price", "change_percent"), "peer")
+    listed = peers.select("instrument", F.col("instrument").alias("_has")).distinct()
+    owner = wanted.join(listed, "instrument", "left").select("instrument", F.coalesce("_has", F.lit(fallback)).alias("_of"))
+    found = owner.join(peers.select(F.col("instrument").alias("_of"), "peer"), "_of")
+    named = found.join(quotes.select(F.col("instrument").alias("peer"), "current_price", "change_percent"), "peer")
     names = directory.select(F.col("instrument").alias("peer"), "name")
     return named.join(names, "peer", "left").select("instrument", "peer", F.coalesce("name", F.col("peer")).alias("name"), "current_price", "change_percent")
 

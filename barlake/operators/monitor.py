@@ -118,7 +118,9 @@ def scorecard(verified: DataFrame, by: Sequence[str] = ("instrument",), days: in
 
 def accuracy_trend(verified: DataFrame, by: Sequence[str] = ("instrument",), window: int = 10) -> DataFrame:
     """Accuracy of the last `window` verified predictions, from the `window`-th on."""
-    indexed = index_rows(verified.filter("verified"), by, ("recorded_at", "id"))
+    # one day per bucket: unlike bars, any number of predictions may share a day
+    one_day = F.floor(F.unix_seconds("recorded_at") / 86400)
+    indexed = index_rows(verified.filter("verified"), by, ("recorded_at", "id"), one_day)
     frame = Window.partitionBy(*by, "block").orderBy("pos").rowsBetween(1 - window, 0)
     rolled = with_blocks(indexed, halo=window - 1).withColumn("_share", F.avg(F.col("correct").cast("double")).over(frame))
     return rolled.filter(~F.col("is_halo") & (F.col("pos") >= window)).select(

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlake.session import materialise
+
 BLOCK_ROWS = 8192
 BUCKET_SECONDS = 64 * 86400
 FIRST = Window.unboundedPreceding
@@ -56,6 +58,18 @@ def index_rows(
     )
 
 
+def index_by_range(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """`index_rows` for tables where no bucket is known to be small: `order` has to be unique within the series.
+
+    Rows are range partitioned on (series, order), which splits a hot series wherever its quantiles fall, and the
+    result is checkpointed, so that the numbers of the parts stay the same in both passes.
+    """
+    keys = [*by, *order]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    kept = materialise(ranged.withColumn("_part", F.spark_partition_id()))
+    return index_rows(kept, by, order, F.col("_part")).drop("_part")
+
+
 def own_block(rows: int = BLOCK_ROWS) -> Column:
     return F.floor((F.col("pos") - 1) / F.lit(rows))
 

@@ -56,8 +56,7 @@ register("bars_day_to_month", _coarser, with_(PLACES, TICKS, bars("month"), sele
 
 
 def _stacked(spark: SparkSession, folder: str) -> DataFrame:
-    frames = {grain: bindings.bars(spark, folder, grain) for grain in ("day", "week", "month")}
-    return stack_grains(frames).selectExpr("grain", "instrument", DAY, "close", "volume")
+    return stack_grains(bindings.grains(spark, folder)).selectExpr("grain", "instrument", DAY, "close", "volume")
 
 
 register(

@@ -341,7 +341,9 @@ FOLD = ["instrument", "fold"]
 
 
 def _fold_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return models.walk_forward(models.samples(bindings.series(spark, folder, "day")))
+    """Test rows of all folds; the folds' accuracy, their ledgers and the summary all read them."""
+    samples = models.samples(bindings.series(spark, folder, "day")).persist()
+    return models.walk_forward(samples).persist()
 
 
 def _fold_results(rows: DataFrame) -> DataFrame:

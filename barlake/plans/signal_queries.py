@@ -91,7 +91,8 @@ PERIODS = {"day": ("6mo", 6), "week": ("2y", 24), "month": ("5y", 60)}
 
 
 def _timeframes(spark: SparkSession, folder: str) -> DataFrame:
-    frames = {grain: in_period(bindings.bars(spark, folder, grain), period) for grain, (period, _) in PERIODS.items()}
+    bars = bindings.grains(spark, folder)
+    frames = {grain: in_period(bars[grain], period) for grain, (period, _) in PERIODS.items()}
     return timeframe_signals(frames)
 
 

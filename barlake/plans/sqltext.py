@@ -32,13 +32,13 @@ PRICE = """CAST(CAST(round(p_retailprice * 10) AS BIGINT) * (100 - CAST(round(l_
 
 TICKS = f"""ticks AS (
   SELECT instrument, sector, CAST(l_shipdate AS TIMESTAMP) AS ts, {PRICE} AS price, l_quantity AS volume,
-    l_orderkey, l_linenumber, l_suppkey, l_partkey
+    l_orderkey, l_linenumber
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = place
   JOIN part ON l_partkey = p_partkey)"""
 
 
 def bars(grain: str = "week", name: str = "bars") -> str:
-    key = "ts, l_orderkey, l_linenumber, l_suppkey, l_partkey"
+    key = "ts, l_orderkey, l_linenumber, price"
     return f"""{name} AS (
   SELECT instrument, sector, CAST(date_trunc('{grain}', ts) AS TIMESTAMP) AS ts, first(price ORDER BY {key}) AS open,
     max(price) AS high, min(price) AS low, last(price ORDER BY {key}) AS close, CAST(sum(volume) AS DOUBLE) AS volume

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.operators.asof import asof_join
-from barlake.operators.resample import bars_from_ticks
+from barlake.operators.resample import bars_from_ticks, coarser_bars
 from barlake.operators.series import index_rows
 
 
@@ -18,21 +18,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lineitem_price() -> Column:
-    """Price with exactly four decimals, from integers only, so that every engine gets the same double."""
+def price_e4() -> Column:
+    """Price in 1/10000, an exact integer."""
     tenths = F.round(F.col("p_retailprice") * 10).cast("long")
     percent = F.lit(100).cast("long") - F.round(F.col("l_discount") * 100).cast("long")
-    return (tenths * percent * F.lit(10)).cast("double") / F.lit(10000.0)
+    return tenths * percent * F.lit(10)
+
+
+def lineitem_price() -> Column:
+    """Price with exactly four decimals, from integers only, so that every engine gets the same double."""
+    return price_e4().cast("double") / F.lit(10000.0)
 
 
 def tick_key() -> Column:
-    """Order of ticks (day, order, line, supplier, part) packed into one decimal of at most 38 digits. A decimal is
-    fixed-width, so first and last price stay in the hash aggregate; a struct key would force a sort."""
+    """Order of ticks (day, order, line, price) packed into one decimal. A decimal is fixed-width, so first and last
+    price stay in the hash aggregate; a struct key would force a sort. ANSI mode raises if a part outgrows its digits."""
     day = F.datediff(F.col("ts"), F.lit("1990-01-01").cast("date")).cast("long")
     head = day * F.lit(10**13) + F.col("l_orderkey") * F.lit(10) + F.col("l_linenumber")
-    shift = lambda digits: F.lit(10**digits).cast(f"decimal({digits + 1},0)")
-    tail = F.col("l_suppkey").cast("decimal(10,0)") * shift(11) + F.col("l_partkey").cast("decimal(11,0)")
-    return (head.cast("decimal(17,0)") * F.lit(str(10**21)).cast("decimal(22,0)") + tail).cast("decimal(38,0)")
+    return head.cast("decimal(18,0)") * F.lit(10**9).cast("decimal(10,0)") + price_e4().cast("decimal(9,0)")
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +68,12 @@ def bars(spark: SparkSession, folder: str, grain: str = "week") -> DataFrame:
     return bars_from_ticks(ticks(spark, folder), grain, ("instrument", "sector"), "tick_key").persist()
 
 
+def grains(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Daily bars from the ticks, weekly and monthly ones from the daily bars: the ticks are read once."""
+    daily = bars(spark, folder, "day")
+    return {"day": daily, **{grain: coarser_bars(daily, grain, ("instrument", "sector")) for grain in ("week", "month")}}
+
+
 def series(spark: SparkSession, folder: str, grain: str = "week") -> DataFrame:
     """`bars` with `pos` and `n`: what a user would keep as a table, because every window operator starts from it."""
     return index_rows(bars(spark, folder, grain), ("instrument",)).persist()

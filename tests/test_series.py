@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barlake.operators import ledger as book
 from barlake.operators.asof import asof_join
 from barlake.operators.indicators import ALL_INDICATORS, HALO, exponential_average, indicators
-from barlake.operators.series import fill_gaps, index_rows, running, with_blocks
+from barlake.operators.series import fill_gaps, index_by_range, index_rows, running, with_blocks
 
 CHECKED = [
     "sma_20", "sma_50", "ema_12", "ema_26", "rsi", "macd", "macd_signal", "bb_upper", "atr", "stoch_k", "stoch_d", "williams_r", "obv", "vwap",
@@ -33,6 +33,13 @@ def test_positions_are_dense_and_ordered(spark):
     assert got.groupby("instrument").n.first().to_dict() == {"A": 500, "B": 3, "C": 1}
 
 
+def test_positions_by_range(spark):
+    rows = spark.createDataFrame(pd.concat([walk("A", 900), walk("B", 3)]).sample(frac=1, random_state=3))
+    by_range = index_by_range(rows, ["instrument"], ["ts"], 7)
+    assert by_range.exceptAll(index_rows(rows, ["instrument"]).select(*by_range.columns)).count() == 0
+    assert by_range.count() == 903
+
+
 def test_halo_rows_come_from_the_block_before(spark):
     indexed = index_rows(spark.createDataFrame(walk("A", 10)), ["instrument"])
     got = with_blocks(indexed, 4, 2).groupBy("block").agg(F.sort_array(F.collect_list("pos")).alias("p")).orderBy("block").collect()
