@@ -49,32 +49,53 @@ def check_alerts(alerts: DataFrame, latest: DataFrame) -> DataFrame:
     ).drop("close", "rsi")
 
 
+def _when_fired(price_up: str, price_down: str, rsi_up: str, rsi_down: str) -> str:
+    return (
+        f"CASE alert_type WHEN 'price_above' THEN x.{price_up} > value WHEN 'price_below' THEN x.{price_down} < value"
+        f" WHEN 'rsi_above' THEN x.{rsi_up} > value WHEN 'rsi_below' THEN x.{rsi_down} < value END"
+    )
+
+
 def first_triggers(alerts: DataFrame, bars: DataFrame, search_rows: int = SEARCH_ROWS) -> DataFrame:
     """Each alert with the first bar at or after its creation that fires it (null if none does): it fires once.
 
-    Bars (instrument, ts, pos, n, close, rsi) are summed up in blocks with their extremes; an alert looks for blocks
-    whose extreme passes its value and opens the first two of them: the one it was created in may only have fired
-    before, any later one is sure to fire.
+    Bars (instrument, ts, pos, n, close, rsi) are kept as arrays of `search_rows` rows, their extremes as arrays of
+    `search_rows` blocks, and the extremes of those as one array per instrument. An alert looks into its own rows, then
+    its own blocks, then the rest, and comes down again to the row: five joins that each meet one array per alert, so
+    alerts and bars of a hot instrument are never paired with each other.
     """
-    blocked = bars.withColumn("block", own_block(search_rows))
-    extremes = blocked.groupBy("instrument", "block").agg(
-        F.max("ts").alias("_until"), F.max("close").alias("_high"), F.min("close").alias("_low"), F.max("rsi").alias("_rsi_high"), F.min("rsi").alias("_rsi_low")
+    rows = bars.select("instrument", "pos", "ts", "close", "rsi").withColumn("b0", own_block(search_rows))
+    listed = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))
+    extremes = lambda up, down, rsi_up, rsi_down: [
+        F.max(up).alias("high"), F.min(down).alias("low"), F.max(rsi_up).alias("rsi_high"), F.min(rsi_down).alias("rsi_low"),
+    ]
+    names = ("high", "low", "rsi_high", "rsi_low")
+    level0 = rows.groupBy("instrument", "b0").agg(listed("pos", "ts", "close", "rsi").alias("_rows"))
+    blocks = rows.groupBy("instrument", "b0").agg(*extremes("close", "close", "rsi", "rsi")).withColumn("b1", F.floor(F.col("b0") / search_rows))
+    level1 = blocks.groupBy("instrument", "b1").agg(listed("b0", *names).alias("_blocks"))
+    top = blocks.groupBy("instrument", "b1").agg(*extremes(*names)).groupBy("instrument").agg(listed("b1", *names).alias("_parts"))
+
+    row_fires, block_fires = _when_fired("close", "close", "rsi", "rsi"), _when_fired(*names)
+    first = lambda array, condition: f"try_element_at(filter({array}, x -> coalesce({condition}, false)), 1)"
+    spread = "-1 - pmod(hash(id), 4096)"  # a place that no block has, so that alerts with nothing to look up do not pile up
+    fields = ["id", "instrument", "alert_type", "value", "start", "home0", "home1", "hit", "c0", "c1"]
+    keep = lambda **new: [f"{new[f]} AS {f}" if f in new else f for f in fields]
+
+    begun = asof_join(alerts.select("id", "instrument", "alert_type", "value", "created_at"), bars.select("instrument", "ts", F.col("pos").alias("start")), "start", left_on="created_at", direction="forward")
+    found = begun.filter("start is not null").selectExpr(
+        "id", "instrument", "alert_type", "value", "start", f"floor((start - 1) / {search_rows}) AS home0", f"floor((start - 1) / {search_rows * search_rows}) AS home1"
     )
-    kind, value = F.col("alert_type"), F.col("value")
-    possible = (
-        F.when(kind == "price_above", F.col("_high") > value).when(kind == "price_below", F.col("_low") < value)
-        .when(kind == "rsi_above", F.col("_rsi_high") > value).when(kind == "rsi_below", F.col("_rsi_low") < value)
-    )
-    order = Window.partitionBy("id").orderBy("block")
-    wanted = (
-        alerts.select("id", "instrument", "alert_type", "value", "created_at").join(extremes, "instrument")
-        .filter((F.col("_until") >= F.col("created_at")) & possible)
-        .withColumn("_rank", F.row_number().over(order)).filter("_rank <= 2")
-        .select("id", "instrument", "block", "alert_type", "value", "created_at")
-    )
-    opened = wanted.join(blocked.select("instrument", "block", "ts", "close", "rsi"), ["instrument", "block"])
-    hits = opened.filter((F.col("ts") >= F.col("created_at")) & _fires(kind, value, F.col("close"), F.col("rsi")))
-    fired = hits.groupBy("id").agg(F.min("ts").alias("triggered_at"), F.min_by(_observed(kind, F.col("close"), F.col("rsi")), "ts").alias("triggered_value"))
+    found = found.withColumn("b0", F.col("home0")).join(level0, ["instrument", "b0"], "left")
+    found = found.selectExpr(*fields[:7], f"{first('_rows', f'x.pos >= start AND {row_fires}')} AS hit", "bigint(null) AS c0", "bigint(null) AS c1")
+    found = found.withColumn("b1", F.expr(f"if(hit is null, home1, {spread})")).join(level1, ["instrument", "b1"], "left")
+    found = found.selectExpr(*keep(c0=f"{first('_blocks', f'x.b0 > home0 AND {block_fires}')}.b0"))
+    found = found.join(top, "instrument", "left")
+    found = found.selectExpr(*keep(c1=f"if(hit is null and c0 is null, {first('_parts', f'x.b1 > home1 AND {block_fires}')}.b1, null)"))
+    found = found.withColumn("b1", F.expr(f"coalesce(c1, {spread})")).join(level1, ["instrument", "b1"], "left")
+    found = found.selectExpr(*keep(c0=f"coalesce(c0, {first('_blocks', block_fires)}.b0)"))
+    found = found.withColumn("b0", F.expr(f"if(hit is null, coalesce(c0, {spread}), {spread})")).join(level0, ["instrument", "b0"], "left")
+    fired = found.selectExpr("id", "alert_type", f"coalesce(hit, {first('_rows', row_fires)}) AS hit").filter("hit is not null")
+    fired = fired.selectExpr("id", "hit.ts AS triggered_at", "if(startswith(alert_type, 'rsi'), hit.rsi, hit.close) AS triggered_value")
     return alerts.join(fired, "id", "left").withColumn("triggered", F.col("triggered_at").isNotNull())
 
 

@@ -30,7 +30,7 @@ def work_dir(spark: SparkSession) -> str:
     Where it is unset a temporary folder is made, but only for a local master (driver and executors in one process).
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a shared folder there")

@@ -68,18 +68,25 @@ def watchlist_updates(watched: DataFrame) -> Callable[[DataFrame], DataFrame]:
 def price_alerts(ticks: DataFrame, alerts: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Fire price alerts (id, instrument, alert_type, value) on a stream of ticks, each at most once.
 
-    A batch keeps the first firing tick per alert and leaves out alerts that an earlier batch has written.
+    A batch is first summed up to its highest and lowest price per instrument. Only alerts that these fire, and that no
+    earlier batch has written, meet the ticks: each alert does so once in its life.
     """
     spark = ticks.sparkSession
     spark.createDataFrame([], FIRED).write.mode("overwrite").parquet(f"{path}/batch=-1")
-    price, value = F.col("price"), F.col("value")
-    hit = ((F.col("alert_type") == "price_above") & (price > value)) | ((F.col("alert_type") == "price_below") & (price < value))
     keys = ("id", "instrument", "alert_type", "value")
+    fires = lambda up, down: F.expr(
+        f"(alert_type = 'price_above' AND {up} > value) OR (alert_type = 'price_below' AND {down} < value)"
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = batch.join(alerts.select(*keys), "instrument").filter(hit).groupBy(*keys).agg(F.min("ts").alias("triggered_at"), F.min_by("price", "ts").alias("triggered_value"))
+        batch = batch.persist()
+        reach = batch.groupBy("instrument").agg(F.max("price").alias("_high"), F.min("price").alias("_low"))
         before = batch.sparkSession.read.schema(FIRED + ", batch long").parquet(path).filter(F.col("batch") < batch_id).select("id")
-        first.join(before, "id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        due = alerts.select(*keys).join(reach, "instrument").filter(fires("_high", "_low")).join(before, "id", "left_anti").select(*keys)
+        hits = batch.join(due, "instrument").filter(fires("price", "price"))
+        first = hits.groupBy(*keys).agg(F.min("ts").alias("triggered_at"), F.min_by("price", "ts").alias("triggered_value"))
+        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     writer = ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
