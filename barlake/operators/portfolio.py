@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.operators.series import index_rows
-
 INITIAL_CASH = 100000.0
 FOLD_COLUMNS = "accepted boolean, shares_after double, avg_price_after double, profit double, cash_after double"
 
@@ -110,7 +108,3 @@ def last_transactions(transactions: DataFrame, order: Sequence[str], limit: int
     """The last `limit` transactions of each portfolio."""
     newest = Window.partitionBy("portfolio").orderBy(*[F.desc(c) for c in order])
     return transactions.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank")
-
-
-def numbered(transactions: DataFrame, order: Sequence[str]) -> DataFrame:
-    return index_rows(transactions, ("portfolio",), order, bucket=F.year(order[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.functions.numeric import fixed, fixed_text, gauge_position, implied_open, magnitude, market_cap_text
+from barlake.functions.numeric import fixed, gauge_position, implied_open, magnitude, market_cap_text
 from barlake.operators import companies, fundamentals
 from barlake.operators.indicators import indicators
 from barlake.operators.periods import quotes

@@ -8,7 +8,7 @@ from barlake.functions.numeric import fixed_text
 from barlake.operators.indicators import ALL_INDICATORS, indicators
 from barlake.operators.resample import coarser_bars, stack_grains
 from barlake.plans.registry import register
-from barlake.plans.sqltext import PLACES, TICKS, bars, day, filled, indicator_chain, r, weekly, with_
+from barlake.plans.sqltext import PLACES, TICKS, bars, day, filled, indicator_chain, r, with_
 from barlake.sources import bindings
 
 DAY = "date_format(ts, 'yyyy-MM-dd') AS day"

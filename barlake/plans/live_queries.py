@@ -18,7 +18,7 @@ from barlake.plans.indicator_queries import DAY
 from barlake.plans.model_queries import fx, rx
 from barlake.plans.registry import register
 from barlake.plans.signal_queries import RECOMMEND, SIGNAL_SQL, SIX
-from barlake.plans.sqltext import day, filled, indicator_chain, r, with_
+from barlake.plans.sqltext import day, filled, r, with_
 from barlake.session import work_dir
 from barlake.sources import bindings
 from barlake.streaming import live

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.numeric import fixed, fixed_text
-from barlake.functions.votes import alert_condition, indicator_signals, legacy_direction, model_vote, recommendation, rsi_vote, trend_vote
+from barlake.functions.votes import indicator_signals, legacy_direction, model_vote, recommendation, rsi_vote, trend_vote
 from barlake.operators.indicators import indicators, latest
 from barlake.operators.periods import RETURN_DAYS, chart_extents, first_period_with_bars, in_period, period_returns, quotes
 from barlake.operators.timeframes import blend, timeframe_signals
