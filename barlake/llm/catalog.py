@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from barlake.llm import licenses, shards
+from barlake.llm import licenses, mixing, secrets, shards
 
 QUERIES = {
+    "op2_secret_links": secrets.op2_secret_links,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op8_shard_lookup": shards.op8_shard_lookup,
     "op9_license_scan": licenses.op9_license_scan,
 }
