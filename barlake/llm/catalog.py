@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barlake.llm import licenses, mixing, secrets, shards
+from barlake.llm import licenses, mixing, quality, secrets, shards
 
 QUERIES = {
+    "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op8_shard_lookup": shards.op8_shard_lookup,
