@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barlake.llm import licenses, mixing, quality, secrets, shards, simhash
+from barlake.llm import bpe, licenses, mixing, quality, secrets, shards, simhash
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_bpe_chunks": bpe.op6_bpe_chunks,
     "op7_simhash_trie": simhash.op7_simhash_trie,
     "op8_shard_lookup": shards.op8_shard_lookup,
     "op9_license_scan": licenses.op9_license_scan,
