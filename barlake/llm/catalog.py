@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barlake.llm import bpe, licenses, mixing, quality, secrets, shards, simhash
+from barlake.llm import bpe, html, licenses, mixing, quality, secrets, shards, simhash
 
 QUERIES = {
+    "op10_html_layout": html.op10_html_layout,
     "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
     "op5_source_mixing": mixing.op5_source_mixing,
