@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barlake.llm import bpe, html, licenses, mixing, quality, secrets, shards, simhash
+from barlake.llm import bpe, html, licenses, mixing, quality, secrets, shards, simhash, topk
 
 QUERIES = {
     "op10_html_layout": html.op10_html_layout,
     "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
+    "op4_norm_buckets": topk.op4_norm_buckets,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_bpe_chunks": bpe.op6_bpe_chunks,
     "op7_simhash_trie": simhash.op7_simhash_trie,
@@ -15,5 +16,6 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
 }
 CHECKS = {
+    "op4_norm_buckets": topk.check_op4(),
     "op8_shard_lookup": shards.check_op8(),
 }
