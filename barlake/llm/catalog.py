@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barlake.llm import bpe, html, licenses, mixing, quality, secrets, shards, simhash, topk
+from barlake.llm import bpe, html, licenses, lm, mixing, quality, secrets, shards, simhash, topk
 
 QUERIES = {
     "op10_html_layout": html.op10_html_layout,
     "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
+    "op3_context_tree": lm.op3_context_tree,
     "op4_norm_buckets": topk.op4_norm_buckets,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_bpe_chunks": bpe.op6_bpe_chunks,

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.common import LOWER, UPPER, staged, table
+from barlake.llm.common import LOWER, UPPER, documents_with, staged, table, with_row
 from barlake.session import materialise
 
 BITS, SHINGLE, SEED, MAX_BITS = 64, 3, 42, 2
@@ -205,16 +205,50 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _roots(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(node, root) for the distinct fingerprints (fp) that have a partner."""
+    return components(_local_classes(_dealt(distinct, max_bits, node_rows), max_bits))
+
+
 def _classes(prints: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
     """(fp, first_key): for every fingerprint the smallest key in its class, from (key, fp)."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("key").alias("first_key")))
-    roots = components(_local_classes(_dealt(distinct.select("fp"), max_bits, node_rows), max_bits))
+    roots = _roots(distinct.select("fp"), max_bits, node_rows)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     first = linked.groupBy("root").agg(F.min("first_key").alias("least"))
     told = linked.join(first, "root").select("fp", F.col("least").alias("first_key"))
     return distinct.join(told.withColumnRenamed("first_key", "least"), "fp", "left").select("fp", F.coalesce("least", "first_key").alias("first_key"))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of every class of near duplicates, columns unchanged: the one with the smallest key (a null key comes last).
+
+    Rows are written once with their fingerprints; classes and winners are found on keys and fingerprints alone. If rows
+    of a class share the winning key and fingerprint, the one whose content has the smallest MD5 stays, chosen with
+    partial sums: a class of any size is never gathered.
+    """
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            found = np.array([fingerprint(t.as_py()) for t in row.field(place)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([row, pa.array(found, pa.int64())], names=["row", "fp"])
+
+    packed = with_row(docs)
+    rows = staged(packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, fp long"), "simhash-rows")
+    prints = rows.select(F.col("row").getField(key).alias("key"), "fp")
+    counted = materialise(prints.groupBy("fp", "key").agg(F.count(F.lit(1)).alias("copies")))
+    roots = _roots(counted.select("fp").distinct(), max_bits)
+    named = counted.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
+    best = named.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp", "copies")).alias("best"))
+    winners = staged(best.select("best.key", "best.fp", "best.copies"), "simhash-winners")
+    kept = rows.withColumn("key", F.col("row").getField(key)).join(winners.withColumnRenamed("fp", "best_fp").withColumnRenamed("key", "best_key"), F.col("fp").eqNullSafe(F.col("best_fp")) & F.col("key").eqNullSafe(F.col("best_key")))
+    content = F.md5(F.to_json(F.col("row")).cast("binary"))
+    again = kept.filter("copies > 1").groupBy("fp", "key").agg(F.min_by("row", content).alias("row")).select("row")
+    return documents_with(kept.filter("copies = 1").select("row").unionByName(again), docs.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(key, fingerprint, component_id): 16 hexadecimal digits, and the smallest key that can be reached over links.
 
