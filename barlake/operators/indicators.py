@@ -332,7 +332,7 @@ def indicators(
     by = tuple(by)
     indexed = bars if {"pos", "n"} <= set(bars.columns) else index_rows(bars, by)
     keep = [*indexed.columns, *columns]
-    halo = min(HALO, block_rows)
+    block_rows, halo = max(block_rows, HALO), HALO  # a block is as long as its memory of the one before, at least
     start = f"if(block = 0, 1, block * {block_rows} + 1 - {halo})"
     placed = with_blocks(indexed, block_rows, halo).selectExpr("*", f"floor((pos - 1) / {STRIDE}) AS sub", f"pos = {start} AS is_first")
     steps = _needed(columns)

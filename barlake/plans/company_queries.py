@@ -151,7 +151,7 @@ register(
     ).selectExpr("instrument", "peer", "name", "current_price", *fx("change_percent")),
     with_(
         *QUOTED,
-        "peers AS (SELECT a.instrument, b.instrument AS peer FROM places a JOIN places b ON a.sector = b.sector AND a.instrument <> b.instrument WHERE a.sector NOT IN ('EUROPE', 'MIDDLE EAST'))",
+        "peers AS (SELECT a.instrument, b.instrument AS peer FROM places a JOIN places b ON a.sector = b.sector AND a.instrument <> b.instrument)",
         "lists AS (SELECT * FROM peers UNION ALL SELECT p.instrument, d.peer FROM places p, peers d WHERE d.instrument = 'NATION_0' AND p.instrument NOT IN (SELECT instrument FROM peers))",
         select=f"SELECT l.instrument, peer, 'Company of ' || peer AS name, current_price, {r(CHANGE_PERCENT)} AS change_percent FROM lists l JOIN quotes q ON q.instrument = peer",
     ),

@@ -103,7 +103,7 @@ register(
 def _overview(spark: SparkSession, folder: str) -> DataFrame:
     bars = bindings.bars(spark, folder)
     listed = bars.select("sector", "instrument").distinct()
-    first = bars.join(first_per_group(listed, "sector", 3), ["sector", "instrument"], "left_semi")
+    first = bars.join(first_per_group(listed, "sector", 5), ["sector", "instrument"], "left_semi")
     pairs = pair_moments(aligned_returns(first, "sector")).filter("a < b")
     average = pairs.groupBy("sector").agg(F.avg("corr").alias("c"))
     sizes = listed.groupBy("sector").agg(F.count("*").alias("stock_count"))
@@ -112,13 +112,14 @@ def _overview(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-FIRST3 = """listed AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY instrument) AS place FROM (SELECT DISTINCT sector, instrument FROM all_bars)),
-bars AS (SELECT b.* FROM all_bars b JOIN listed l USING (sector, instrument) WHERE place <= 3)"""
+FIRST5 = """listed AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY instrument) AS place FROM (SELECT DISTINCT sector, instrument FROM all_bars)),
+bars AS (SELECT b.* FROM all_bars b JOIN listed l USING (sector, instrument) WHERE place <= 5)"""
+FIRST3 = FIRST5.replace("place <= 5", "place <= 3")
 register(
     "sector_overview",
     _overview,
     with_(
-        weekly()[0], weekly()[1], weekly()[2].replace("bars AS", "all_bars AS", 1), FIRST3, COMMON, ALIGNED, MOMENTS,
+        weekly()[0], weekly()[1], weekly()[2].replace("bars AS", "all_bars AS", 1), FIRST5, COMMON, ALIGNED, MOMENTS,
         select=f"""SELECT s.sector, {r('coalesce(c, 0)', 3)} AS avg_correlation, {r('(1 - abs(coalesce(c, 0))) * 100', 1)} AS diversification_score, s.stock_count
   FROM (SELECT sector, count(*) AS stock_count FROM listed GROUP BY sector) s LEFT JOIN (SELECT sector, avg(corr) AS c FROM moments WHERE a < b GROUP BY sector) m USING (sector)""",
     ),

@@ -39,7 +39,7 @@ def _run(spark: SparkSession, stream: DataFrame, keys: list[str], change=None) -
 
 register(
     "live_bars",
-    lambda spark, folder: _run(spark, live.live_bars(bindings.event_stream(spark, folder)), ["instrument", "ts"]).selectExpr("instrument", MINUTE, "open", "high", "low", "close", "volume"),
+    lambda spark, folder: _run(spark, live.live_bars(bindings.event_stream(spark, folder), late=None), ["instrument", "ts"]).selectExpr("instrument", MINUTE, "open", "high", "low", "close", "volume"),
     """SELECT event_type AS instrument, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS minute, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY event_type, time_bucket(INTERVAL 5 MINUTE, ts)""",
 )
@@ -75,16 +75,17 @@ def _event_alerts(spark: SparkSession, folder: str) -> DataFrame:
     users = events.select("event_type", "user_id").distinct().join(means, "event_type")
     limit = F.floor(F.col("mean") * F.when(F.col("up") == 1, 2.0).otherwise(0.3)) / 100
     return users.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        F.xxhash64("event_type", "user_id", "up").alias("id"), "user_id", F.col("event_type").alias("instrument"), F.when(F.col("up") == 1, "price_above").otherwise("price_below").alias("alert_type"), limit.alias("value")
+        "user_id", "up", F.col("event_type").alias("instrument"), F.when(F.col("up") == 1, "price_above").otherwise("price_below").alias("alert_type"), limit.alias("value")
     )
 
 
 def _live_alerts(spark: SparkSession, folder: str) -> DataFrame:
     path, checkpoint = _places(spark)
     alerts = _event_alerts(spark, folder)
-    live.price_alerts(bindings.event_stream(spark, folder), alerts, path, checkpoint).awaitTermination()
-    fired = spark.read.schema(live.FIRED).parquet(path)
-    return fired.join(alerts.select("id", "user_id"), "id").selectExpr("user_id", "instrument", "alert_type", "value", "date_format(triggered_at, 'yyyy-MM-dd HH:mm') AS minute", "triggered_value")
+    key = ("user_id", "instrument", "up")
+    live.price_alerts(bindings.event_stream(spark, folder), alerts.filter("value is not null"), path, checkpoint, key=key).awaitTermination()
+    fired = spark.read.parquet(path)
+    return fired.selectExpr("user_id", "instrument", "alert_type", "value", "date_format(triggered_at, 'yyyy-MM-dd HH:mm') AS minute", "triggered_value")
 
 
 register(

@@ -162,18 +162,25 @@ register(
         select=f"SELECT instrument, {day()} AS day, close, volume FROM (SELECT *, max(ts) OVER (PARTITION BY instrument) AS last_ts FROM bars) WHERE ts >= last_ts - INTERVAL 6 MONTH",
     ),
 )
+
+
+def _widening(spark: SparkSession, folder: str) -> DataFrame:
+    """As of the newest bar of all, 25 days on: instruments differ in the period that holds a bar."""
+    daily = bindings.bars(spark, folder, "day")
+    as_of = daily.agg(F.max("ts") + F.expr("INTERVAL 25 DAYS")).first()[0]
+    return first_period_with_bars(daily, F.lit(as_of)).selectExpr("instrument", DAY, "close", "period")
+
+
 register(
     "widening_period",
-    lambda spark, folder: first_period_with_bars(bindings.bars(spark, folder, "day"), F.lit("2001-12-03").cast("timestamp")).selectExpr(
-        "instrument", DAY, "close", "period"
-    ),
+    _widening,
     with_(
         PLACES, TICKS, bars("day"),
-        "newest AS (SELECT instrument, max(ts) AS m FROM bars GROUP BY instrument)",
-        """chosen AS (SELECT instrument, CASE WHEN m >= TIMESTAMP '2001-12-03' - INTERVAL 1 MONTH THEN '1mo' WHEN m >= TIMESTAMP '2001-12-03' - INTERVAL 3 MONTH THEN '3mo'
-  WHEN m >= TIMESTAMP '2001-12-03' - INTERVAL 6 MONTH THEN '6mo' WHEN m >= TIMESTAMP '2001-12-03' - INTERVAL 12 MONTH THEN '1y' END AS period FROM newest)""",
+        "newest AS (SELECT instrument, max(ts) AS m, (SELECT max(ts) FROM bars) + INTERVAL 25 DAY AS today FROM bars GROUP BY instrument)",
+        """chosen AS (SELECT instrument, CASE WHEN m >= today - INTERVAL 1 MONTH THEN '1mo' WHEN m >= today - INTERVAL 3 MONTH THEN '3mo'
+  WHEN m >= today - INTERVAL 6 MONTH THEN '6mo' WHEN m >= today - INTERVAL 12 MONTH THEN '1y' END AS period, today FROM newest)""",
         select=f"""SELECT instrument, {day()} AS day, close, period FROM bars JOIN chosen USING (instrument)
-  WHERE ts >= TIMESTAMP '2001-12-03' - CASE period WHEN '1mo' THEN INTERVAL 1 MONTH WHEN '3mo' THEN INTERVAL 3 MONTH WHEN '6mo' THEN INTERVAL 6 MONTH ELSE INTERVAL 12 MONTH END""",
+  WHERE ts >= today - CASE period WHEN '1mo' THEN INTERVAL 1 MONTH WHEN '3mo' THEN INTERVAL 3 MONTH WHEN '6mo' THEN INTERVAL 6 MONTH ELSE INTERVAL 12 MONTH END""",
     ),
 )
 

@@ -17,6 +17,7 @@ from barlake.plans.model_queries import fx, rx
 from barlake.plans.registry import register
 from barlake.plans.signal_queries import QUOTES_SQL, RSI_VOTE, TREND_VOTE
 from barlake.plans.sqltext import PLACES, PRICE, TICKS, bars, day, div, filled, indicator_chain, r, weekly, with_
+from barlake.session import materialise
 from barlake.sources import bindings
 
 # ---- alerts
@@ -177,6 +178,20 @@ steps AS (SELECT portfolio, instrument, rn, action = 'BUY' AS accepted, CASE WHE
   FROM steps p JOIN seqd s ON s.portfolio = p.portfolio AND s.instrument = p.instrument AND s.rn = p.rn + 1),
 book AS (SELECT s.*, accepted, held, average, profit FROM seqd s JOIN steps USING (portfolio, instrument, rn))"""
 BOOK = [PLACES, TRADES_SQL, BOOK_SQL]
+#: The account of a portfolio, one transaction a step: cash, and shares and average cost by instrument.
+ACCOUNT_SQL = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY {SEQ}) AS rn FROM trades),
+account AS (SELECT portfolio, CAST(0 AS BIGINT) AS rn, CAST(100000 AS DOUBLE) AS cash, MAP {{'': {{'held': CAST(0 AS DOUBLE), 'average': CAST(0 AS DOUBLE)}}}} AS open, CAST(NULL AS BOOLEAN) AS accepted,
+    CAST(NULL AS DOUBLE) AS held, CAST(NULL AS DOUBLE) AS average, CAST(NULL AS DOUBLE) AS profit FROM (SELECT DISTINCT portfolio FROM numbered)
+  UNION ALL SELECT portfolio, rn, CASE WHEN NOT ok THEN cash WHEN buy THEN cash - amount ELSE cash + amount END,
+    map_concat(open, MAP {{instrument: {{'held': now_held, 'average': now_average}}}}), ok, now_held, now_average, CASE WHEN ok AND NOT buy THEN (price - average) * shares END
+  FROM (SELECT *, CASE WHEN ok AND buy THEN held + shares WHEN ok THEN held - shares ELSE held END AS now_held,
+      CASE WHEN ok AND buy THEN (held * average + amount) / (held + shares) WHEN ok AND held = shares THEN 0 ELSE average END AS now_average
+    FROM (SELECT *, CASE WHEN buy THEN amount <= cash ELSE held > 0 AND shares <= held END AS ok
+      FROM (SELECT s.portfolio, s.rn, s.instrument, s.price, s.shares, s.shares * s.price AS amount, s.action = 'BUY' AS buy, a.cash, a.open,
+          coalesce(list_extract(map_extract(a.open, s.instrument), 1).held, 0) AS held, coalesce(list_extract(map_extract(a.open, s.instrument), 1).average, 0) AS average
+        FROM account a JOIN numbered s ON s.portfolio = a.portfolio AND s.rn = a.rn + 1)))),
+book AS (SELECT s.*, cash, accepted, held, average, profit FROM numbered s JOIN account USING (portfolio, rn))"""
+ACCOUNT = [PLACES, TRADES_SQL, ACCOUNT_SQL]
 
 
 def _transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,6 +202,10 @@ def _book(spark: SparkSession, folder: str) -> DataFrame:
     return portfolio.position_book(_transactions(spark, folder), bindings.TRANSACTION_ORDER)
 
 
+def _account(spark: SparkSession, folder: str) -> DataFrame:
+    return portfolio.cash_account(_transactions(spark, folder), bindings.TRANSACTION_ORDER)
+
+
 register(
     "position_book",
     lambda spark, folder: _book(spark, folder).selectExpr(
@@ -197,21 +216,20 @@ register(
 )
 register(
     "realised_profit",
-    lambda spark, folder: _book(spark, folder).filter("profit is not null").groupBy("portfolio").agg(F.count("*").alias("sales"), F.sum("profit").alias("profit")).selectExpr("portfolio", "sales", *fx("profit", 3)),
-    with_(*BOOK, select=f"SELECT portfolio, count(*) AS sales, {r('sum(profit)', 3)} AS profit FROM book WHERE profit IS NOT NULL GROUP BY portfolio"),
+    lambda spark, folder: _account(spark, folder).filter("profit is not null").groupBy("portfolio").agg(F.count("*").alias("sales"), F.sum("profit").alias("profit")).selectExpr("portfolio", "sales", *fx("profit", 3)),
+    with_(*ACCOUNT, select=f"SELECT portfolio, count(*) AS sales, {r('sum(profit)', 3)} AS profit FROM book WHERE profit IS NOT NULL GROUP BY portfolio"),
 )
 
 
-def _valued(spark: SparkSession, folder: str) -> DataFrame:
-    positions = portfolio.open_positions(_book(spark, folder), bindings.TRANSACTION_ORDER)
-    priced = quotes(bindings.bars(spark, folder, "day")).filter("instrument <> 'NATION_7'")
-    return portfolio.valued_positions(positions, priced)
+def _valued(spark: SparkSession, folder: str, account: DataFrame | None = None) -> DataFrame:
+    account = _account(spark, folder) if account is None else account
+    return portfolio.valued_positions(portfolio.open_positions(account, bindings.TRANSACTION_ORDER), quotes(bindings.bars(spark, folder, "day")))
 
 
 VALUED_SQL = [
-    *BOOK, TICKS, bars("day"), QUOTES_SQL,
+    *ACCOUNT, TICKS, bars("day"), QUOTES_SQL,
     """open_positions AS (SELECT portfolio, instrument, held AS shares, average AS avg_price FROM book QUALIFY row_number() OVER (PARTITION BY portfolio, instrument ORDER BY rn DESC) = 1),
-valued AS (SELECT p.*, coalesce(CASE WHEN instrument <> 'NATION_7' THEN current_price END, avg_price) AS price_now, shares * avg_price AS invested FROM open_positions p LEFT JOIN quotes USING (instrument) WHERE shares > 0),
+valued AS (SELECT p.*, coalesce(current_price, avg_price) AS price_now, shares * avg_price AS invested FROM open_positions p LEFT JOIN quotes USING (instrument) WHERE shares > 0),
 gained AS (SELECT *, shares * price_now AS current_value, shares * price_now - invested AS profit_loss FROM valued)""",
 ]
 register(
@@ -227,7 +245,9 @@ SUMMARY_COLUMNS = ("current_cash", "total_invested", "total_positions_value", "t
 
 
 def _summary(spark: SparkSession, folder: str) -> DataFrame:
-    out = portfolio.summary(_valued(spark, folder), portfolio.cash_flows(_book(spark, folder)))
+    columns = ("portfolio", "instrument", *bindings.TRANSACTION_ORDER, "shares_after", "avg_price_after", "cash_after")
+    account = materialise(_account(spark, folder).select(*columns))  # read for the positions and for the cash
+    out = portfolio.summary(_valued(spark, folder, account), portfolio.cash_left(account, bindings.TRANSACTION_ORDER))
     return out.selectExpr("portfolio", "num_positions", *[f"{fixed_text(f'{c} + {OFF_TIES}', 3)} AS {c}" for c in SUMMARY_COLUMNS])
 
 
@@ -236,9 +256,9 @@ register(
     _summary,
     with_(
         *VALUED_SQL,
-        "flows AS (SELECT portfolio, sum(CASE WHEN action = 'BUY' THEN -shares * price ELSE shares * price END) AS flow FROM book WHERE accepted GROUP BY portfolio)",
+        "flows AS (SELECT portfolio, arg_max(cash, rn) AS cash FROM book GROUP BY portfolio)",
         "t AS (SELECT portfolio, sum(invested) AS invested, sum(current_value) AS v, count(*) AS k FROM gained GROUP BY portfolio)",
-        "s AS (SELECT portfolio, coalesce(k, 0) AS num_positions, 100000 + flow AS current_cash, coalesce(invested, 0) AS total_invested, coalesce(v, 0) AS total_positions_value FROM flows LEFT JOIN t USING (portfolio))",
+        "s AS (SELECT portfolio, coalesce(k, 0) AS num_positions, cash AS current_cash, coalesce(invested, 0) AS total_invested, coalesce(v, 0) AS total_positions_value FROM flows LEFT JOIN t USING (portfolio))",
         "u AS (SELECT *, current_cash + total_positions_value AS total_portfolio_value, (current_cash + total_positions_value - 100000) / 100000 * 100 AS total_return FROM s)",
         select="SELECT portfolio, num_positions, " + ", ".join(r(f"{c} + CAST(0.0000002 AS DOUBLE)", 3) + f" AS {c}" for c in SUMMARY_COLUMNS) + " FROM u",
     ),
@@ -250,7 +270,14 @@ register(
 )
 register(
     "cash_account",
-    lambda spark, folder: portfolio.cash_account(_transactions(spark, folder), bindings.TRANSACTION_ORDER).select("portfolio", "o_orderkey", "instrument", "action", "accepted", "shares_after", "avg_price_after", "profit", "cash_after"),
+    lambda spark, folder: _account(spark, folder).selectExpr(
+        "portfolio", "o_orderkey", "bigint(l_linenumber) AS l_linenumber", "l_suppkey", "l_partkey", "instrument", "action", "bigint(accepted) AS accepted",
+        "shares_after AS held", f"{fixed_text('avg_price_after')} AS average", *fx("profit", 4), f"{fixed_text('cash_after', 4)} AS cash",
+    ),
+    with_(
+        *ACCOUNT,
+        select=f"SELECT portfolio, o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey, l_partkey, instrument, action, CAST(accepted AS BIGINT) AS accepted, held, {r('average')} AS average, {r('profit', 4)} AS profit, {r('cash', 4)} AS cash FROM book",
+    ),
 )
 
 # ---- news: the sample texts hardly hold words of the default lexicon, so common words are added for the check

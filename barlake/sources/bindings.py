@@ -31,11 +31,16 @@ def lineitem_price() -> Column:
 
 
 def tick_key() -> Column:
-    """Order of ticks (day, order, line, price) packed into one decimal. A decimal is fixed-width, so first and last
-    price stay in the hash aggregate; a struct key would force a sort. ANSI mode raises if a part outgrows its digits."""
+    """Order of ticks (time, order, line, price) packed into one decimal. A decimal is fixed-width, so first and last
+    price stay in the hash aggregate; a struct key would force a sort. A part that outgrows its digits raises: day 5,
+    microsecond of the day 11, order 12, line 2 and price 8 digits. Ticks without a time make no bar, so theirs is not checked."""
     day = F.datediff(F.col("ts"), F.lit("1990-01-01").cast("date")).cast("long")
-    head = day * F.lit(10**13) + F.col("l_orderkey") * F.lit(10) + F.col("l_linenumber")
-    return head.cast("decimal(18,0)") * F.lit(10**9).cast("decimal(10,0)") + price_e4().cast("decimal(9,0)")
+    moment = F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", F.col("ts")))
+    fits = lambda x, digits: F.when(x.isNull() | ((x >= 0) & (x < 10**digits)), x).otherwise(F.raise_error(F.concat(F.lit(f"a part of the tick order has over {digits} digits: "), x.cast("string"))).cast("long"))
+    high = fits(day, 5) * F.lit(10**11) + moment
+    order = fits(F.col("l_orderkey").cast("long"), 12) * F.lit(100) + fits(F.col("l_linenumber").cast("long"), 2)
+    low = order.cast("decimal(14,0)") * F.lit(10**8).cast("decimal(9,0)") + fits(price_e4(), 8).cast("decimal(8,0)")
+    return (high.cast("decimal(16,0)") * F.lit("1" + "0" * 22).cast("decimal(23,0)") + low).cast("decimal(38,0)")
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,13 +170,14 @@ def company_information(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def peers(spark: SparkSession, folder: str) -> DataFrame:
-    """The other instruments of the same sector; the two last sectors by name have none."""
+    """The other instruments of the same sector."""
     left, right = places(spark, folder), places(spark, folder).select("sector", F.col("instrument").alias("peer"))
-    return left.filter(~F.col("sector").isin("EUROPE", "MIDDLE EAST")).join(right, "sector").filter("instrument <> peer").select("instrument", "peer")
+    return left.join(right, "sector").filter("instrument <> peer").select("instrument", "peer")
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a stream of ticks: event type as instrument, value as price."""
+    """Events as a stream of ticks: event type as instrument, value as price. The pattern stands for the table's own path,
+    one file or a folder of part files; a plain path could only be a folder."""
     schema = table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(4 << 30)).parquet(f"{folder}/events.parque[t]")
     return events.select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))

@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barlake.operators.monitor import verify_predictions
+from barlake.operators.monitor import first_triggers, verify_predictions
 from barlake.operators.resample import ohlcv
+from barlake.operators.series import index_rows
+from barlake.session import materialise
 
 TICK = "instrument string, ts timestamp, price double, volume double"
 FIRED = "id long, instrument string, alert_type string, value double, triggered_at timestamp, triggered_value double"
 
 
-def live_bars(ticks: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Tumbling OHLCV bars. Ticks later than the watermark are dropped; state of closed bars goes with it."""
-    grouped = ticks.withWatermark("ts", late).groupBy("instrument", F.window("ts", width).alias("bar"))
+def live_bars(ticks: DataFrame, width: str = "5 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """Tumbling OHLCV bars. Ticks that come more than `late` after newer ones are dropped, and the state of closed bars
+    goes then. `late=None` takes ticks in any order, as when stored files are worked off: the state is one row per bar."""
+    grouped = (ticks if late is None else ticks.withWatermark("ts", late)).groupBy("instrument", F.window("ts", width).alias("bar"))
     bars = grouped.agg(*ohlcv(F.col("ts"), "price", "price", "price", "price", "volume"))
     return bars.select("instrument", F.col("bar.start").alias("ts"), "open", "high", "low", "close", "volume")
 
@@ -65,28 +68,43 @@ def watchlist_updates(watched: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda batch: batch.join(watched.select("instrument"), "instrument", "left_semi")
 
 
-def price_alerts(ticks: DataFrame, alerts: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Fire price alerts (id, instrument, alert_type, value) on a stream of ticks, each at most once.
+def price_records(ticks: DataFrame) -> DataFrame:
+    """Ticks (instrument, ts, price) that are higher or lower than all before them in their series: the only ones that
+    can be the first to cross a level. A first pass by hour leaves few rows for the pass over the whole series."""
 
-    A batch is first summed up to its highest and lowest price per instrument. Only alerts that these fire, and that no
-    earlier batch has written, meet the ticks: each alert does so once in its life.
+    def records(df: DataFrame, *keys) -> DataFrame:
+        before = Window.partitionBy("instrument", *keys).orderBy("ts", "price").rowsBetween(Window.unboundedPreceding, -1)
+        seen = df.withColumns({"_high": F.max("price").over(before), "_low": F.min("price").over(before)})
+        return seen.filter(F.col("_high").isNull() | (F.col("price") > F.col("_high")) | (F.col("price") < F.col("_low"))).drop("_high", "_low")
+
+    rows = ticks.select("instrument", "ts", "price").filter(F.col("price").isNotNull() & F.col("ts").isNotNull())
+    return records(records(rows, F.date_trunc("hour", "ts"), F.floor(F.minute("ts") / 5)))
+
+
+def price_alerts(ticks: DataFrame, alerts: DataFrame, path: str, checkpoint: str, every: str | None = None, key: Sequence[str] = ("id",)) -> StreamingQuery:
+    """Fire price alerts (key columns, instrument, alert_type, value) on a stream of ticks, each at most once.
+
+    A batch is reduced to its records, new highs and lows. Alerts that its extremes fire, and that no earlier batch has
+    written, look up their first record by levels (`monitor.first_triggers`): no alert meets the ticks. What has fired is
+    kept by alert, so a batch reads only the keys of earlier firings.
     """
     spark = ticks.sparkSession
-    spark.createDataFrame([], FIRED).write.mode("overwrite").parquet(f"{path}/batch=-1")
-    keys = ("id", "instrument", "alert_type", "value")
-    fires = lambda up, down: F.expr(
-        f"(alert_type = 'price_above' AND {up} > value) OR (alert_type = 'price_below' AND {down} < value)"
-    )
+    names = list(dict.fromkeys([*key, "instrument", "alert_type", "value"]))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.select(*names).schema.fields)
+    schema = f"{fields}, triggered_at timestamp, triggered_value double"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        reach = batch.groupBy("instrument").agg(F.max("price").alias("_high"), F.min("price").alias("_low"))
-        before = batch.sparkSession.read.schema(FIRED + ", batch long").parquet(path).filter(F.col("batch") < batch_id).select("id")
-        due = alerts.select(*keys).join(reach, "instrument").filter(fires("_high", "_low")).join(before, "id", "left_anti").select(*keys)
-        hits = batch.join(due, "instrument").filter(fires("price", "price"))
-        first = hits.groupBy(*keys).agg(F.min("ts").alias("triggered_at"), F.min_by("price", "ts").alias("triggered_value"))
-        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        steps = materialise(price_records(batch))
+        reach = steps.groupBy("instrument").agg(F.max("price").alias("_high"), F.min("price").alias("_low"))
+        fires = F.expr("(alert_type = 'price_above' AND _high > value) OR (alert_type = 'price_below' AND _low < value)")
+        before = batch.sparkSession.read.schema(schema + ", batch long").parquet(path).filter(F.col("batch") < batch_id).select(*key)
+        due = alerts.select(*names).join(reach, "instrument").filter(fires).join(before, list(key), "left_anti")
+        asked = due.withColumns({"id": F.struct(*key), "created_at": F.lit("1970-01-01").cast("timestamp")}).select("id", "instrument", "alert_type", "value", "created_at")
+        bars = index_rows(steps.select("instrument", "ts", F.col("price").alias("close"), F.lit(None).cast("double").alias("rsi")), ("instrument",), ("ts", "close"))
+        fired = first_triggers(asked, bars).filter("triggered")
+        rows = fired.select(*[F.col("id").getField(k).alias(k) if k in key else k for k in names], "triggered_at", "triggered_value")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
