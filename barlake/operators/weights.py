@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +14,32 @@ from barlake.operators.crosssection import TRADING_DAYS
 MOST_ASSETS = 12
 
 
-def candidate_weights(moments: DataFrame, group: str, assets: int, step_percent: int = 5) -> DataFrame:
-    """Every long-only weight vector on the grid (multiples of `step_percent`, sum 1) for each group with exactly
-    `assets` instruments: columns w1..wk, in order of the instrument name, with return, volatility and Sharpe ratio.
+def candidate_weights(moments: DataFrame, group: str, assets: int | None = None, step_percent: int = 5) -> DataFrame:
+    """Every long-only weight vector on the grid (multiples of `step_percent`, sum 1) for each group: columns w1..wk, in
+    order of the instrument name, with return, volatility and Sharpe ratio. Smaller groups have null in the columns beyond
+    their size.
 
-    The group's means and covariances sit in one row (k is small and checked), so scoring a candidate is arithmetic on
-    one row; the grid is spread over the cluster after its first weight.
+    Groups of all sizes come out; one over MOST_ASSETS raises, for its grid cannot be walked. `assets` picks the groups of that size
+    alone, as a selection. The number of sizes is small, so each has a plan of its own; a group's means and covariances sit in one row
+    (k is checked), so scoring a candidate is arithmetic on one row; the grid is spread over the cluster after its first weight.
     """
-    if not 2 <= assets <= MOST_ASSETS:
-        raise ValueError(f"2 to {MOST_ASSETS} assets")
+    if assets is not None:
+        if not 1 <= assets <= MOST_ASSETS:
+            raise ValueError(f"1 to {MOST_ASSETS} assets")
+        return _grid(moments, group, assets, step_percent)
+    sizes = sorted(r[0] for r in moments.filter("a = b").groupBy(group).count().select("count").distinct().limit(MOST_ASSETS + 1).collect())
+    if sizes and sizes[-1] > MOST_ASSETS or len(sizes) > MOST_ASSETS:
+        raise ValueError(f"a group has {sizes[-1]} assets; the grid takes {MOST_ASSETS}")
+    grids = [_grid(moments, group, k, step_percent) for k in reversed(sizes)] or [_grid(moments, group, 1, step_percent)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), grids)
+
+
+def _weights(candidates: DataFrame, assets: int | None) -> list[str]:
+    return [f"w{i}" for i in range(1, assets + 1)] if assets else sorted((c for c in candidates.columns if re.fullmatch("w[0-9]+", c)), key=lambda c: int(c[1:]))
+
+
+def _grid(moments: DataFrame, group: str, assets: int, step_percent: int) -> DataFrame:
+    """The grid of the groups with exactly so many instruments."""
     k, steps = assets, 100 // step_percent
     own = moments.filter("a = b").select(group, F.col("a").alias("instrument"))
     order = Window.partitionBy(group).orderBy("instrument")
@@ -57,32 +77,36 @@ def with_sharpe(candidates: DataFrame, risk_free: float = 0.02) -> DataFrame:
     )
 
 
-def best(candidates: DataFrame, group: str, assets: int, by: str) -> DataFrame:
-    """The candidate with the highest `sharpe` or the lowest `volatility` of each group; ties by weights."""
+def best(candidates: DataFrame, group: str, assets: int | None = None, by: str = "sharpe", target_return: float | None = None) -> DataFrame:
+    """The candidate with the highest `sharpe` or the lowest `volatility` of each group; ties by weights. With
+    `target_return` (a year's) only those candidates count whose return is nearest to it."""
     score = fixed(by, 9)
     first = F.desc("_score") if by == "sharpe" else F.asc("_score")
-    order = Window.partitionBy(group).orderBy(first, *[f"w{i}" for i in range(1, assets + 1)])
+    off = [fixed(F.abs(F.col("annual_return") - target_return), 9)] if target_return is not None else []
+    order = Window.partitionBy(group).orderBy(*off, first, *_weights(candidates, assets))
     return candidates.withColumn("_score", score).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_score")
 
 
-def allocation(chosen: DataFrame, group: str, assets: int) -> DataFrame:
+def allocation(chosen: DataFrame, group: str, assets: int | None = None) -> DataFrame:
     """Weights above 1% as rows, largest first within the group."""
-    pairs = ", ".join(f"name{i}, w{i}" for i in range(1, assets + 1))
-    long = chosen.selectExpr(group, f"stack({assets}, {pairs}) AS (instrument, weight)").filter(F.col("weight") > 0.01)
+    names = _weights(chosen, assets)
+    pairs = ", ".join(f"name{w[1:]}, {w}" for w in names)
+    long = chosen.selectExpr(group, f"stack({len(names)}, {pairs}) AS (instrument, weight)").filter(F.col("weight") > 0.01)
     ranked = Window.partitionBy(group).orderBy(F.desc("weight"), "instrument")
     return long.select(
         group, "instrument", fixed("weight", 4).alias("weight"), fixed(F.col("weight") * 100, 0).cast("long").alias("percent"), F.row_number().over(ranked).cast("long").alias("place")
     )
 
 
-def efficient_frontier(candidates: DataFrame, group: str, assets: int, points: int = 20) -> DataFrame:
+def efficient_frontier(candidates: DataFrame, group: str, assets: int | None = None, points: int = 20) -> DataFrame:
     """For evenly spaced target returns, the least volatile candidate whose return is nearest to the target; targets
     with no candidate near them are left out."""
-    means = [F.col(f"m{i}") for i in range(1, assets + 1)]
-    low = F.least(*means) * TRADING_DAYS * 0.5
-    high = F.greatest(*means) * TRADING_DAYS * 1.2
+    names = _weights(candidates, assets)
+    means = [F.col(f"m{w[1:]}") for w in names]
+    low = (F.least(*means) if len(means) > 1 else means[0]) * TRADING_DAYS * 0.5
+    high = (F.greatest(*means) if len(means) > 1 else means[0]) * TRADING_DAYS * 1.2
     width = (high - low) / (points - 1)
     nearest: Column = F.floor((F.col("annual_return") - low) / F.nullif(width, F.lit(0.0)) + 0.5)
     placed = candidates.withColumns({"target": nearest.cast("long"), "_vol": fixed("volatility", 9)}).filter(F.col("target").between(0, points - 1))
-    order = Window.partitionBy(group, "target").orderBy("_vol", *[f"w{i}" for i in range(1, assets + 1)])
+    order = Window.partitionBy(group, "target").orderBy("_vol", *names)
     return placed.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_vol")

@@ -15,7 +15,7 @@ from barlake.plans.registry import register
 from barlake.plans.sqltext import day, r, weekly, with_
 from barlake.sources import bindings
 
-ASSETS, STEP, POINTS = 5, 10, 20
+STEP, POINTS = 10, 20
 
 COMMON = """common AS (SELECT b.* FROM bars b JOIN (
   SELECT sector, ts FROM bars GROUP BY sector, ts
@@ -181,7 +181,7 @@ register(
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return with_sharpe(candidate_weights(_moments(spark, folder), "sector", ASSETS, STEP))
+    return with_sharpe(candidate_weights(_moments(spark, folder), "sector", step_percent=STEP))
 
 
 S = 100 // STEP
@@ -205,7 +205,7 @@ for score, rank in (("sharpe", "by_sharpe"), ("volatility", "by_volatility")):
     title = "max_sharpe" if score == "sharpe" else "min_volatility"
     register(
         f"{title}_portfolio",
-        lambda spark, folder, score=score: best(_candidates(spark, folder), "sector", ASSETS, score).selectExpr(
+        lambda spark, folder, score=score: best(_candidates(spark, folder), "sector", by=score).selectExpr(
             "sector", *WEIGHTS.split(", "), *RESULT, f"bigint({' + '.join(f'int(w{i} > 0.01D)' for i in range(1, 6))}) AS num_positions"
         ),
         with_(
@@ -215,7 +215,7 @@ for score, rank in (("sharpe", "by_sharpe"), ("volatility", "by_volatility")):
     )
 register(
     "max_sharpe_allocation",
-    lambda spark, folder: allocation(best(_candidates(spark, folder), "sector", ASSETS, "sharpe"), "sector", ASSETS),
+    lambda spark, folder: allocation(best(_candidates(spark, folder), "sector"), "sector"),
     with_(
         *_base(), MOMENTS, CANDIDATES_SQL,
         "long AS (" + " UNION ALL ".join(f"SELECT sector, name{i} AS instrument, w{i} AS weight FROM ranked WHERE by_sharpe = 1" for i in range(1, 6)) + ")",
@@ -225,7 +225,7 @@ register(
 MEANS = ", ".join(f"m{i}" for i in range(1, 6))
 register(
     "efficient_frontier",
-    lambda spark, folder: efficient_frontier(_candidates(spark, folder), "sector", ASSETS, POINTS).selectExpr("sector", "target", *RESULT).orderBy("sector", "expected_volatility"),
+    lambda spark, folder: efficient_frontier(_candidates(spark, folder), "sector", points=POINTS).selectExpr("sector", "target", *RESULT).orderBy("sector", "expected_volatility"),
     with_(
         *_base(), MOMENTS, CANDIDATES_SQL,
         f"""aimed AS (SELECT *, CAST(floor((annual_return - least({MEANS}) * 252 * CAST(0.5 AS DOUBLE)) /

@@ -106,6 +106,11 @@ def test_weight_search(spark):
     assert calm.volatility == pytest.approx(min(map(risk, grid)))
     sharp = best(candidates, "sector", 3, "sharpe").first()
     assert sharp.sharpe == pytest.approx(max((gain(w) - 0.02) / risk(w) for w in grid))
+    aimed = best(candidates, "sector", by="volatility", target_return=calm.annual_return).first()
+    assert aimed.volatility == pytest.approx(calm.volatility)
+    pair = moments.filter("a <> 'C' AND b <> 'C'").withColumn("sector", F.lit("y"))
+    mixed = best(with_sharpe(candidate_weights(moments.unionByName(pair), "sector", step_percent=10)), "sector", by="volatility").collect()
+    assert {r.sector: r.w3 is None for r in mixed} == {"x": False, "y": True}
     w = np.array([0.2, 0.3, 0.5])
     held = spark.createDataFrame([("x", n, float(x)) for n, x in zip("ABC", w)], "sector string, instrument string, weight double")
     stats = portfolio_statistics(moments, held, "sector").first()
