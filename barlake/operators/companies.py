@@ -31,7 +31,7 @@ def search(directory: DataFrame, query: str) -> DataFrame:
     if not re.fullmatch("[A-Za-z]{1,5}", query.strip()):
         return found
     offered = found.agg(F.count(F.lit(1)).alias("_found")).filter("_found = 0").select(
-        F.lit(query.upper()).alias("instrument"), F.lit("Search on Yahoo Finance").alias("name"), F.lit("Custom").alias("sector")
+        F.lit(query.upper()).alias("instrument"), F.lit("Not in the directory").alias("name"), F.lit("Custom").alias("sector")
     )
     return found.unionByName(offered)
 

@@ -137,10 +137,6 @@ def correlations(moments: DataFrame) -> DataFrame:
     )
 
 
-def pair_text(a: str = "a", b: str = "b") -> Column:
-    return F.concat_ws("-", a, b)
-
-
 def ranked_pairs(pairs: DataFrame, group: str, k: int = 3) -> DataFrame:
     """The k most and the k least correlated pairs of each group."""
     down = Window.partitionBy(group).orderBy(F.desc("correlation"), "a", "b")

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.operators.series import BLOCK_ROWS, block_carries, fading_memory, fill_gaps, index_rows, own_block, with_blocks
+from barlake.operators.series import BLOCK_ROWS, block_carries, fading_memory, fill_gaps, index_rows, with_blocks
 
 KEYS = ("instrument",)
 SHORT_SERIES = 100
@@ -364,7 +364,3 @@ def exponential_average(
 def latest(frame: DataFrame) -> DataFrame:
     """Last row of each series, on a frame with `pos` and `n`."""
     return frame.filter(F.col("pos") == F.col("n"))
-
-
-def rows_in_block(frame: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return frame.withColumns({"block": own_block(block_rows), "is_halo": F.lit(False)})

@@ -12,6 +12,7 @@ blocks of bounded length, and every window runs inside a block:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +34,14 @@ def index_rows(
     """Add `pos` (1, 2, ... within the series, in `order`) and `n` (length of the series).
 
     `bucket` is a coarse, order-preserving number of the row; by default 64 days of the first order column. Only one
-    bucket of one series is sorted at a time; the series-wide part works on one row per bucket. Rows whose key or
-    bucket is null are dropped.
+    bucket of one series is sorted at a time; the series-wide part works on one row per bucket. A row without a key or
+    without a place in the order raises: filter such rows first if they are meant to go.
     """
     if bucket is None:
         bucket = F.floor(F.unix_seconds(F.col(order[0])) / F.lit(BUCKET_SECONDS))
-    keyed = df.withColumn("_bucket", bucket.cast("long"))
+    lost = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in by], bucket.isNull())
+    place = F.when(lost, F.raise_error(F.lit(f"a row has no {', '.join(by)} or no place in the order")).cast("long")).otherwise(bucket.cast("long"))
+    keyed = df.withColumn("_bucket", place)
     per_series = Window.partitionBy(*by)
     offsets = (
         keyed.groupBy(*by, "_bucket")
@@ -87,11 +90,6 @@ def with_blocks(df: DataFrame, rows: int = BLOCK_ROWS, halo: int = 0) -> DataFra
     return df.withColumn("block", F.explode(targets)).withColumn("is_halo", F.col("block") != own)
 
 
-def block_start(rows: int, halo: int) -> Column:
-    """Position of the first row present in the block, halo included."""
-    return F.when(F.col("block") == 0, F.lit(1)).otherwise(F.col("block") * F.lit(rows) + F.lit(1 - halo))
-
-
 def _local(kind: str, x: Column) -> Column:
     return {
         "sum": lambda: F.sum(x),

@@ -115,7 +115,7 @@ for name, query in (("company_search", "merica"), ("company_search_offer", "zzzq
         lambda spark, folder, query=query: companies.search(_directory(spark, folder), query),
         with_(
             *INFO_SQL[:5], f"found AS (SELECT instrument, name, sector FROM info WHERE contains(lower(instrument), '{query}') OR contains(lower(name), '{query}') OR contains(lower(sector), '{query}'))",
-            select=f"SELECT * FROM found UNION ALL SELECT '{query.upper()}', 'Search on Yahoo Finance', 'Custom' WHERE NOT EXISTS (SELECT 1 FROM found)",
+            select=f"SELECT * FROM found UNION ALL SELECT '{query.upper()}', 'Not in the directory', 'Custom' WHERE NOT EXISTS (SELECT 1 FROM found)",
         ),
     )
 register(

@@ -181,19 +181,26 @@ register(
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return with_sharpe(candidate_weights(_moments(spark, folder), "sector", step_percent=STEP))
+    """The five columns that the sample's largest sectors need, whatever sizes are there."""
+    found = with_sharpe(candidate_weights(_moments(spark, folder), "sector", step_percent=STEP))
+    for i in range(1, 6):
+        for c, kind in (("name", "string"), ("w", "double"), ("m", "double")):
+            if f"{c}{i}" not in found.columns:
+                found = found.withColumn(f"{c}{i}", F.lit(None).cast(kind))
+    return found
 
 
 S = 100 // STEP
 CANDIDATES_SQL = f"""slots AS (SELECT sector, a AS instrument, row_number() OVER (PARTITION BY sector ORDER BY a) AS slot FROM moments WHERE a = b),
 one AS (SELECT m.sector, {', '.join(f"max(mean_a) FILTER (x.slot = {i} AND y.slot = {i}) AS m{i}, max(a) FILTER (x.slot = {i} AND y.slot = {i}) AS name{i}" for i in range(1, 6))},
   {', '.join(f"max(cov) FILTER (x.slot = {i} AND y.slot = {j}) AS c{i}_{j}" for i in range(1, 6) for j in range(i, 6))}
-  FROM moments m JOIN slots x ON x.sector = m.sector AND x.instrument = m.a JOIN slots y ON y.sector = m.sector AND y.instrument = m.b GROUP BY m.sector HAVING count(DISTINCT x.slot) = 5),
+  FROM moments m JOIN slots x ON x.sector = m.sector AND x.instrument = m.a JOIN slots y ON y.sector = m.sector AND y.instrument = m.b GROUP BY m.sector),
 units AS (SELECT unnest(range(0, {S + 1})) AS u),
 combos AS (SELECT a.u AS u1, b.u AS u2, c.u AS u3, d.u AS u4, {S} - a.u - b.u - c.u - d.u AS u5 FROM units a, units b, units c, units d WHERE a.u + b.u + c.u + d.u <= {S}),
-weighted AS (SELECT *, {', '.join(f'u{i} / CAST({S} AS DOUBLE) AS w{i}' for i in range(1, 6))} FROM one, combos),
-cand AS (SELECT *, ({' + '.join(f'w{i} * m{i}' for i in range(1, 6))}) * 252 AS annual_return,
-  sqrt(({' + '.join(f"{'' if i == j else '2 * '}w{i} * w{j} * c{i}_{j}" for i in range(1, 6) for j in range(i, 6))}) * 252) AS volatility FROM weighted),
+weighted AS (SELECT *, {', '.join(f'CASE WHEN name{i} IS NOT NULL THEN u{i} / CAST({S} AS DOUBLE) END AS w{i}' for i in range(1, 6))} FROM one, combos
+  WHERE {' AND '.join(f'(name{i} IS NOT NULL OR u{i} = 0)' for i in range(1, 6))}),
+cand AS (SELECT *, ({' + '.join(f'coalesce(w{i} * m{i}, 0)' for i in range(1, 6))}) * 252 AS annual_return,
+  sqrt(({' + '.join(f"coalesce({'' if i == j else '2 * '}w{i} * w{j} * c{i}_{j}, 0)" for i in range(1, 6) for j in range(i, 6))}) * 252) AS volatility FROM weighted),
 scored AS (SELECT *, CASE WHEN volatility > 0 THEN (annual_return - CAST(0.02 AS DOUBLE)) / volatility ELSE 0 END AS sharpe FROM cand),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY {r('sharpe', 9)} DESC, w1, w2, w3, w4, w5) AS by_sharpe,
   row_number() OVER (PARTITION BY sector ORDER BY {r('volatility', 9)}, w1, w2, w3, w4, w5) AS by_volatility FROM scored)"""
@@ -206,11 +213,11 @@ for score, rank in (("sharpe", "by_sharpe"), ("volatility", "by_volatility")):
     register(
         f"{title}_portfolio",
         lambda spark, folder, score=score: best(_candidates(spark, folder), "sector", by=score).selectExpr(
-            "sector", *WEIGHTS.split(", "), *RESULT, f"bigint({' + '.join(f'int(w{i} > 0.01D)' for i in range(1, 6))}) AS num_positions"
+            "sector", *WEIGHTS.split(", "), *RESULT, f"bigint({' + '.join(f'int(coalesce(w{i}, 0D) > 0.01D)' for i in range(1, 6))}) AS num_positions"
         ),
         with_(
             *_base(), MOMENTS, CANDIDATES_SQL,
-            select=f"SELECT sector, {WEIGHTS}, {RESULT_SQL}, {' + '.join(f'CAST(w{i} > 0.01 AS BIGINT)' for i in range(1, 6))} AS num_positions FROM ranked WHERE {rank} = 1",
+            select=f"SELECT sector, {WEIGHTS}, {RESULT_SQL}, {' + '.join(f'CAST(coalesce(w{i}, 0) > 0.01 AS BIGINT)' for i in range(1, 6))} AS num_positions FROM ranked WHERE {rank} = 1",
         ),
     )
 register(

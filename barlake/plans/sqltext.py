@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
-from barlake.operators.indicators import SIZES
+# Stated here once more, so that the checks do not rest on the library: upper bound, lower bound, divisor of the length.
+SIZES = {
+    "sma_20": (20, 5, 3),
+    "sma_50": (50, 10, 2),
+    "ema_12": (12, 3, 4),
+    "ema_26": (26, 5, 2),
+    "rsi": (14, 3, 4),
+    "macd_signal": (9, 2, 5),
+    "bollinger": (20, 5, 3),
+    "atr": (14, 3, 4),
+    "stochastic": (14, 3, 4),
+    "stochastic_d": (3, 1, 8),
+    "mfi": (14, 5, 3),
+    "cci": (20, 5, 3),
+    "adx": (14, 3, 4),
+    "roc_5": (5, 2, 5),
+    "roc_10": (10, 3, 3),
+    "roc_20": (20, 5, 2),
+    "ewma": (20, 5, 3),
+}
 
 
 def r(x: str, dp: int = 6) -> str:

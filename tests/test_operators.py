@@ -181,7 +181,7 @@ def test_companies(spark):
     directory = spark.createDataFrame([("AAA", "Alpha Air", "Energy"), ("BBB", "Beta", "Finance")], "instrument string, name string, sector string")
     assert {r.instrument for r in companies.search(directory, "air").collect()} == {"AAA"}
     assert {r.instrument for r in companies.search(directory, "FINAN").collect()} == {"BBB"}
-    assert companies.search(directory, "zzz").collect()[0] == ("ZZZ", "Search on Yahoo Finance", "Custom")
+    assert companies.search(directory, "zzz").collect()[0] == ("ZZZ", "Not in the directory", "Custom")
     assert companies.search(directory, "not there").count() == 0
     row = spark.sql("SELECT ' a, b ,,C' AS s").select(companies.symbols(F.col("s")).alias("x")).first()
     assert row.x == ["A", "B", "C"]
@@ -229,3 +229,11 @@ def test_loss_curve(spark):
     got = {r.model: r for r in models.loss_curve(history).collect()}
     assert (got["a"].best_epoch, got["a"].stop_epoch, got["a"].epochs) == (4, 19, 24)
     assert got["b"].stop_epoch is None and got["b"].last_loss == 1.0
+
+
+def test_lexicon_as_a_table(spark):
+    from barlake.functions import text
+
+    rows = spark.createDataFrame([(1, "Profit up, profit up on the news"), (2, "loss of a deal"), (3, None), (4, "")], "id long, text string")
+    terms = spark.createDataFrame([("profit", "bullish"), ("on the", "bullish"), ("Loss", "bearish"), ("loss of a", "bearish")], "term string, polarity string")
+    assert {tuple(r) for r in text.table_hits(rows, terms, "id").collect()} == {(1, 3, 0), (2, 0, 3), (3, 0, 0), (4, 0, 0)}
