@@ -17,6 +17,8 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
 }
 CHECKS = {
+    "op1_line_quality": quality.check_op1(),
+    "op2_secret_links": secrets.check_op2(),
     "op4_norm_buckets": topk.check_op4(),
     "op8_shard_lookup": shards.check_op8(),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ FAMILIES = (
     ("lgpl", "lesser|library|lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|(?:gnu )?lgpl", ("2", "2 1", "3")),
     ("gpl", "public|gpl", r"(?:gnu )?general public licen[cs]e|(?:gnu )?gpl|gnu public licen[cs]e", ("1", "2", "3")),
     ("gfdl", "documentation|gfdl", r"(?:gnu )?free documentation licen[cs]e|gfdl", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", r"apache(?: software)?(?: foundation)? licen[cs]es?|asl(?= )", ("1 0", "1 1", "2 0")),
+    ("apache", "apache|asl", r"apache(?: software)?(?: foundation)? licen[cs]es?|asl(?= )", ("1 0", "1 1", "2 0")),
     ("mit", "mit|expat", r"(?:the )?(?:mit|expat)(?: x11)? licen[cs]e", ()),
     ("x11", "x11|xfree86", r"(?:x11|xfree86) licen[cs]e", ("1 1",)),
     ("bsd", "bsd|berkeley", r"(?:bsd|berkeley software distribution)(?: style)? licen[cs]e", ()),
@@ -48,7 +50,7 @@ FAMILIES = (
     ("php", "php", r"php licen[cs]e", ("3 0", "3 01")),
     ("ruby", "ruby", r"ruby licen[cs]e", ()),
     ("w3c", "w3c", r"w3c (?:software )?(?:notice and )?licen[cs]e", ()),
-    ("ofl", "ofl|sil", r"(?:sil )?open font licen[cs]e|ofl", ("1 0", "1 1")),
+    ("ofl", "ofl|font", r"(?:sil )?open font licen[cs]e|ofl", ("1 0", "1 1")),
     ("odbl", "database|odbl", r"open database licen[cs]e|odbl", ("1 0",)),
     ("odc-by", "attribution", r"open data commons attribution licen[cs]e", ("1 0",)),
     ("pddl", "pddl|dedication", r"(?:open data commons )?public domain dedication and licen[cs]e|pddl", ("1 0",)),
@@ -85,7 +87,7 @@ NOTICES = (
     ("disclaimer", "warranty|warranties", r"(?:without|no) warrant(?:y|ies) of any kind"),
     ("disclaimer", "provided", r"(?:software|work|material) is provided as is"),
     ("attribution-required", "attribution", r"attribution (?:is )?required"),
-    ("non-commercial", "commercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?"),
+    ("non-commercial", "commercial|noncommercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?"),
     ("proprietary", "proprietary|confidential", r"proprietary and confidential|confidential and proprietary"),
     ("no-redistribution", "redistribute|reproduced", r"(?:do not|may not be) (?:redistribute|reproduced)"),
     ("license-file", "license|licence", r"see (?:the )?licen[cs]e (?:file )?for (?:more )?(?:details|information)"),
@@ -105,15 +107,16 @@ def rules() -> list[tuple[str, str, str, int]]:
     out = []
     for label, keys, names, versions in FAMILIES:
         name = f"(?:{names})"
-        keys += "+" if all("licen[cs]e" in x for x in _alternatives(names)) else ""
+        needed = [re.sub(r"\(\?:[^()]*\)\?", "", x) for x in _alternatives(names)]  # without what may be left out
+        keys += "+" if all("licen[cs]e" in x for x in needed) else ""
         for v in versions:
             tag = f"{label}-{v.replace(' ', '.')}"
             later = "(?: (?:or|and) (?:any )?later(?: versions?)?| only)?"
             number = f"{v}{'(?: 0)?' if ' ' not in v else ''}(?! [0-9])"
             spdx = f"spdx licen[cs]e identifier {label.replace('-', ' ')} {number}{later}"
             at = f"(?: licen[cs]e)?(?: version| v| ver)? ?(?:v)?{number}{later}(?: (?:international|unported|licen[cs]e))?"
-            out += [(tag, keys, spdx, 0), (tag, keys, GRANT + name + at, 1), (tag, keys, name + at, 3)]
-        out += [(label, keys, f"spdx licen[cs]e identifier {label.replace('-', ' ')}", 0), (label, keys, GRANT + name, 2), (label, keys, name, 4)]
+            out += [(tag, "spdx", spdx, 0), (tag, keys, GRANT + name + at, 1), (tag, keys, name + at, 3)]
+        out += [(label, "spdx", f"spdx licen[cs]e identifier {label.replace('-', ' ')}", 0), (label, keys, GRANT + name, 2), (label, keys, name, 4)]
     out += [(label, keys, pattern, 5) for label, keys, pattern in NOTICES]
     return out
 

@@ -136,3 +136,31 @@ def clean(docs: DataFrame, text: str = "text", size: str | None = "n_chars", max
 
 def op1_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return measure(table(spark, folder, "documents"), cleaned=False)
+
+
+def check_op1() -> str:
+    """The same in SQL: words, windows and lines as rows."""
+    quoted = lambda xs: ", ".join("'" + x + "'" for x in sorted(xs))
+    ends, closers = "".join(ENDS), CLOSERS.replace("]", r"\]").replace("'", "''").replace("\t", r"\t").replace("\x0b", r"\x0B").replace("\x0c", r"\x0C").replace("\r", r"\r")
+    closed = f"[{ends}][{closers}]*$"
+    blank = r"[\x20\x09-\x0D]+"
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '{blank}'), lambda x: x <> '')"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+w AS (SELECT *, {split("t")} AS words FROM d),
+grams AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+again AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM again) GROUP BY rid),
+lines AS (SELECT rid, k, line, {split("line")} AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
+filled AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({quoted(SEPARATORS)}))) AS separators,
+  len(list_filter(lw, lambda x: lower(trim(x, '.,:;!?')) IN ({quoted(MENU)}))) AS menu, length(line) - length(regexp_replace(line, '[#*$%&|<>{{}}]', '', 'g')) AS marks,
+  len(list_filter(lw, lambda x: regexp_matches(x, '{closed}'))) AS ends, row_number() OVER (PARTITION BY rid, line ORDER BY k) > 1 AS copy FROM lines WHERE len(lw) > 0),
+judged AS (SELECT *, (separators >= 2 AND separators * 5 >= n) OR (n <= 10 AND 2 * menu > n) OR marks > n
+  OR (NOT regexp_matches(line, '{closed}') AND (n < 20 OR 40 * ends < n)) OR regexp_matches(line, '(?i){BOILERPLATE.pattern}') AS fails FROM filled),
+by_line AS (SELECT rid, count(*) FILTER (copy) AS doubled, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(doubled, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM w LEFT JOIN repeated r USING (rid) LEFT JOIN by_line USING (rid)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_lost_words <= {MAX_LOSS} * n_words AS kept, n_lost_words FROM f
+"""

@@ -119,3 +119,28 @@ def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars", ma
 
 def op2_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents")).drop("places")
+
+
+def check_op2() -> str:
+    """The same in SQL: places as rows, the scope as a join."""
+
+    def places(kind: int, pattern: str, good: str = "true") -> str:
+        rx = pattern.replace("'", "''")
+        v = f"regexp_extract_all(t, '{rx}', 2)" if kind == 0 else "found"
+        return f"""SELECT rid, {kind} AS k, s, s + length(x) AS e FROM (SELECT rid, found[i] AS x, value[i] AS v,
+    CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS s
+  FROM (SELECT *, {v} AS value, unnest(range(1, len(found) + 1)) AS i FROM (SELECT rid, t, regexp_extract_all(t, '{rx}') AS found, regexp_split_to_array(t, '{rx}') AS pieces FROM d))) WHERE {good}"""
+
+    mixed = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"
+    parts = [places(0, ASSIGN, "length(v) >= 12"), places(1, ACCESS), places(2, HEX), places(3, IDENTIFIER), places(4, TOKEN, mixed), places(5, ENDPOINT)]
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    listed = f"string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+parts AS ({" UNION ALL ".join(parts)}),
+weak AS (SELECT * FROM parts p WHERE k >= 3 AND EXISTS (SELECT 1 FROM parts q WHERE q.rid = p.rid AND (q.k IN (0, 2, 4)) <> (p.k IN (0, 2, 4)) AND abs(q.s - p.s) <= {REACH})),
+base AS (SELECT rid, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, {listed} AS spans FROM parts WHERE k < 3 GROUP BY rid),
+every AS (SELECT rid, {listed} AS spans FROM (SELECT * FROM parts WHERE k < 3 UNION ALL SELECT * FROM weak) GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans
+FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
+"""

@@ -498,6 +498,39 @@ def test_licenses(spark, docs, odd, rows):
     assert made == {i: w for i, w in enumerate(LICENSE_TEXTS.values())}
 
 
+def plain_labels(text):
+    """All rules over all texts, without a gate; containment and priority as stated."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWERED))
+    norm = " " + " ".join(words) + " "
+    listed = licenses.rules()
+    hits = sorted((m.start(), -m.end(), k) for k, (_, _, rx, _) in enumerate(listed) for m in re.finditer(f"(?<= )(?:{rx})(?= )", norm))
+    chain, end = [], -1
+    for s, o, k in hits:
+        if -o > end:
+            chain.append((s, -o, k))
+        end = max(end, -o)
+    near = lambda i: [chain[j] for j in (i - 1, i + 1) if 0 <= j < len(chain)]
+    rank = lambda x: listed[x[2]][3]
+    kept = [x for i, x in enumerate(chain) if not any(x[0] < y[1] and y[0] < x[1] and rank(y) < rank(x) for y in near(i))]
+    base = plain_base(text)[4]
+    labels = {listed[k][0] for *_, k in kept} | set(filter(None, base.split(",")))
+    return ",".join(sorted(labels)), max([licenses.CONFIDENCE[rank(x)] for x in kept] + [0.5 if base else 0.0])
+
+
+def test_license_signatures_against_plain_rules(spark):
+    """Word soup made of the rules' own words: gate, containment and priority change nothing they should not."""
+    rng = random.Random(9)
+    soup = [w for f in licenses.FAMILIES for w in re.findall("[a-z0-9]+", f[2].replace("[cs]", "s").replace("(?:", " ").replace("?", ""))]
+    soup += "spdx license identifier license licence licensed under the terms of version v 2 0 1 3 4 or later only by nc sa nd cc all rights reserved copyright 2020 asl noncommercial use ms pl bsl odc".split()
+    texts = [(i, " ".join(rng.choice(soup) for _ in range(rng.randrange(12)))) for i in range(1500)]
+    for i, (label, _, names, versions) in enumerate(licenses.FAMILIES):
+        name = re.sub(r"\(\?[=!][^)]*\)", "", names.split("|")[-1]).replace("[cs]", "s").replace("(?:", "").replace(")?", "").replace(")", "").replace("?", "")
+        texts += [(5000 + 3 * i, f"released under the {name} version {' '.join(versions[-1:])}"), (5001 + 3 * i, f"SPDX-License-Identifier: {label}-{'-'.join(versions[:1])}"), (5002 + 3 * i, name)]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = {r.doc_id: (r.labels, r.score) for r in got.collect()}
+    assert found == {i: plain_labels(t) for i, t in texts} and sum(bool(x) for x, _ in found.values()) > 200
+
+
 def test_license_rules_and_gate():
     """Every rule's own words open the gate, so that the gate hides no detection."""
     keys = set(licenses.keywords())
