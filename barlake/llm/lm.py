@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from barlake.llm.common import LOWER, UPPER, staged, table
 
-#: Bytes of the longest context; at most 7, so that a context and its next byte fit 64 bits.
+#: Bytes of the longest context; at most 5, so that a context, its next byte and the number of a text fit 64 bits.
 DEPTH = 5
+#: Bytes and texts whose grams are sorted at once.
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 21, 1 << 16
 #: Parts of the model, by the two bytes before; the memory of a task is that of one part.
 SLICES = 256
 #: Bytes of text that a block gathers (a longer document is a block of its own).
@@ -33,17 +35,73 @@ LN2, LN10 = math.log(2), math.log(10)
 
 def grams(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """Context and next byte of every byte of texts that begin at `starts`, as one number: the byte before first, the next byte last. Before a text stand END bytes."""
-    out = data.astype(np.uint64)
-    for i in range(1, depth + 1):
-        before = np.full(len(data), END, np.uint64)
-        before[i:] = data[:-i]
-        for k in range(min(i, len(data))):  # the first bytes of a text see no other text
-            at = starts + k
-            before[at[at < len(data)]] = END
-        out |= before << np.uint64(8 * (depth + 1 - i))
+    n = len(data)
+    padded = np.concatenate([np.full(7, END, np.uint8), data])
+    eight = np.ndarray((n,), "<u8", padded, 0, (1,))  # a byte and the seven before it, the byte itself on top
+    out = eight << np.uint64(8)
+    out >>= np.uint64(64 - 8 * depth)
+    out <<= np.uint64(8)
+    out |= eight >> np.uint64(56)
+    sizes = np.diff(np.r_[starts, n])
+    for k in range(depth):  # the first bytes of a text see no other text
+        kept = 255 | sum(255 << 8 * (depth + 1 - i) for i in range(1, k + 1))
+        ends = sum(END << 8 * (depth + 1 - i) for i in range(k + 1, depth + 1))
+        at = starts[sizes > k] + k
+        out[at] = (out[at] & np.uint64(kept)) | np.uint64(ends)
     return out
 
 
+def _chunks(sizes: list[int] | np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, end, first byte, end) of stretches of whole texts, each of bounded size (or one text)."""
+    lo = at = size = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (size + n > CHUNK_BYTES or i - lo == CHUNK_TEXTS):
+            yield lo, i, at, at + size
+            lo, at, size = i, at + size, 0
+        size += int(n)
+    if lo < len(sizes):
+        yield lo, len(sizes), at, at + size
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+
+
+def _counted(data: np.ndarray, sizes: list[int], held: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts in order, with their numbers in training texts."""
+    parts = []
+    for lo, hi, a, b in _chunks(sizes):
+        own = np.array(sizes[lo:hi])
+        tagged = (grams(data[a:b], np.r_[0, np.cumsum(own)[:-1]], depth) << np.uint64(1)) | np.repeat(np.array(held[lo:hi], np.uint64), own)
+        tagged.sort()  # one fast sort of plain numbers; the tag goes with each
+        keys = tagged >> np.uint64(1)
+        first = _runs(keys)
+        parts.append((keys[first], np.add.reduceat(1 - (tagged & np.uint64(1)).astype(np.int64), first)))
+    return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+
+
+class _Scorer:
+    """Sums over texts of a value per gram: each stretch of texts is sorted once, its grams tagged with the number of their text."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, depth: int):
+        self.parts, self.texts = [], len(sizes)
+        for lo, hi, a, b in _chunks(sizes):
+            own = sizes[lo:hi]
+            tagged = (grams(data[a:b], np.r_[0, np.cumsum(own)[:-1]], depth) << np.uint64(16)) | np.repeat(np.arange(hi - lo, dtype=np.uint64), own)
+            tagged.sort()
+            text, keys = (tagged & np.uint64(0xFFFF)).astype(np.uint16), tagged >> np.uint64(16)
+            first = _runs(keys)
+            self.parts.append((lo, hi, keys[first], np.diff(np.r_[first, len(keys)]).astype(np.int32), text))
+        self.every = np.unique(np.concatenate([p[2] for p in self.parts]))
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.texts)
+        for lo, hi, keys, many, text in self.parts:
+            out[lo:hi] = np.bincount(text, weights=np.repeat(value[np.searchsorted(self.every, keys)], many), minlength=hi - lo)
+        return out
+
+
 _SMALL = 4096
 _HALF = np.array([math.lgamma(n + 0.5) for n in range(_SMALL)])
 _ONE = np.array([math.lgamma(n + 1.0) for n in range(_SMALL)])
@@ -229,13 +287,7 @@ def _blocks(docs: DataFrame, depth: int, block_bytes: int) -> DataFrame:
         name, held = uuid.uuid4().hex, [_held(k) for k in keys]
         sizes = [len(t) for t in texts]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.cumsum([0, *sizes[:-1]])
-        found = grams(data, starts, depth)
-        tested = np.repeat(np.array(held), sizes)
-        trained, counts = np.unique(found[~tested], return_counts=True)
-        every = np.union1d(trained, found[tested])
-        full = np.zeros(len(every), np.int64)
-        full[np.searchsorted(every, trained)] = counts
+        every, full = _counted(data, sizes, held, depth)
         out = [(name, TEXT, -1, _packed(data), None, held, sizes, len(held) - sum(held), keys)]
         for part, at in _by_slice(every, depth):
             out.append((name, GRAMS, part, _sorted_packed(every[at]), _packed(full[at]), None, None, 0, None))
@@ -360,15 +412,11 @@ def _scored(blocks: DataFrame, answers: DataFrame, depth: int, n_tokens: int, n_
         data, held, sizes, keys, key_type = text
         sizes, raw = np.array(sizes, np.int64), zstandard.ZstdDecompressor().decompress(data)
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        found = grams(np.frombuffer(raw, np.uint8), starts, depth)
-        every = np.unique(found)
-        value = np.empty(len(every))
-        for (_, at), packed in zip(_by_slice(every, depth), logs, strict=True):
+        scorer = _Scorer(np.frombuffer(raw, np.uint8), sizes, depth)
+        value = np.empty(len(scorer.every))
+        for (_, at), packed in zip(_by_slice(scorer.every, depth), logs, strict=True):
             value[at] = _unpacked(packed, "<f4")
-        per_byte = np.empty(len(found))
-        for lo in range(0, len(found), 1 << 20):
-            per_byte[lo : lo + (1 << 20)] = value[np.searchsorted(every, found[lo : lo + (1 << 20)])]
-        scores = np.add.reduceat(per_byte, starts)
+        scores = scorer.sums(value)
         count: dict[bytes, int] = {}
         for blob, counts in words:
             count |= zip(zstandard.ZstdDecompressor().decompress(blob).split(), _unpacked(counts, "<i8").tolist())
@@ -417,8 +465,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     are written once with their distinct grams and words by slice; tasks by slice add the counts of all blocks and answer each block
     in its own terms; tasks by block put text and answers together. The driver sees the sums of depth 1 (65,280 rows at most).
     """
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be 2 to 7")
+    if not 2 <= depth <= 5:
+        raise ValueError("depth must be 2 to 5")
     rows = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
     blocks = staged(_blocks(rows, depth, block_bytes), "lm-blocks")
     model = staged(_model(blocks, depth), "lm-model")
