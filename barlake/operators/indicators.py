@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.operators.series import BLOCK_ROWS, block_carries, fading_memory, fill_gaps, index_rows, with_blocks
+from barlake.session import materialise
 
 KEYS = ("instrument",)
 SHORT_SERIES = 100
@@ -341,8 +342,8 @@ def indicators(
     if adaptive:
         short = _apply(placed.filter(F.col("n") < SHORT_SERIES), steps, by, short=True)
         out = out.unionByName(short.select(*keep, "block"))
-    if fill:
-        out = fill_gaps(out, by, list(columns))
+    if fill:  # the gaps are looked at twice, by block and by row: the windows behind them run once
+        out = fill_gaps(materialise(out), by, list(columns))
     return out.drop("block")
 
 
