@@ -118,12 +118,14 @@ def batch_status(trained: DataFrame) -> DataFrame:
     )
 
 
-def next_value(bars: DataFrame, trained: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
-    """Prediction from the latest prepared row of each trained instrument."""
+def next_value(bars: DataFrame, trained: DataFrame, by: Sequence[str] = ("instrument",), model: Model | None = None) -> DataFrame:
+    """Prediction from the latest prepared row of each trained instrument, by the model whose parameters `trained` holds."""
     scaled = min_max_scaled(with_target(bars, by), ["close"], by).filter("pos = n").select(*by, F.col("close_scaled").alias("x"))
     price = bars.groupBy(*by).agg(F.max_by("close", "ts").alias("current_price"))
-    good = trained.filter(F.col("status") == "success").select(*by, "slope", "intercept")
-    return scaled.join(good, list(by)).join(price, list(by)).withColumn("prediction", F.col("slope") * F.col("x") + F.col("intercept"))
+    good = trained.filter(F.col("status") == "success").drop("x")
+    if model is None:
+        good, model = good.select(*by, "slope", "intercept"), LeastSquares()
+    return model.score(scaled, good, by).join(price, list(by))
 
 
 def blend(members: Mapping[str, Column], weights: Mapping[str, float] = BLEND, renormalise: bool = False) -> Column:
@@ -155,13 +157,26 @@ def gradient_boosting(**settings):
     return GBTRegressor(**{"featuresCol": "features", "labelCol": "label", "maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **settings})
 
 
-def walk_forward(rows: DataFrame, by: Sequence[str] = ("instrument",), first: int = 252, test: int = 63, step: int = 21, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Test rows of every fold with the prediction of a line fitted to all samples before the fold.
+def walk_forward(rows: DataFrame, by: Sequence[str] = ("instrument",), first: int = 252, test: int = 63, step: int = 21, block_rows: int = BLOCK_ROWS, model: Model | None = None) -> DataFrame:
+    """Test rows of every fold with the prediction of a model fitted to all samples before the fold.
 
     Fold k (1, 2, ...) trains on the first `first + (k-1) * step` samples and tests on the next `test`; only whole test
-    windows count. Each row works out its own folds; the fits are running sums read at the row where training ends.
+    windows count. Each row works out its own folds. Without `model` a line is fitted: its fits are running sums read at
+    the row where training ends, one pass for all folds. Any other model is fitted fold by fold, on as many copies of a
+    sample as there are folds after it, grouped by series and fold.
     """
     by = list(by)
+    index = "(sample - 1)"
+    last = f"floor((samples - {first} - {test}) / {step}) + 1"
+    newest = f"least(floor(({index} - {first}) / {step}) + 1, {last})"
+    oldest = f"greatest(ceil(({index} - {first} - {test - 1}) / {step}) + 1, 1)"
+    spread = lambda low, high: f"explode(if({low} <= {high}, sequence(bigint({low}), bigint({high})), array())) AS fold"
+    folded = rows.filter((F.col("sample") > first) & (F.col("samples") >= first + test)).selectExpr("*", spread(oldest, newest))
+    if model is not None:
+        earliest = f"greatest(ceil((sample - {first}) / {step}) + 1, 1)"
+        training = rows.filter(F.col("samples") >= first + test).selectExpr("*", spread(earliest, last))
+        scored = model.score(folded, model.fit(training, [*by, "fold"]), [*by, "fold"])
+        return _fold_places(scored.withColumn("train_end", F.lit(first) + (F.col("fold") - 1) * step), test)
     placed = rows.withColumns({"pos": F.col("sample"), "n": F.col("samples")})
     one = F.lit(1.0)
     summed = running(
@@ -174,15 +189,12 @@ def walk_forward(rows: DataFrame, by: Sequence[str] = ("instrument",), first: in
         summed.filter((F.col("sample") >= first) & ((F.col("sample") - first) % step == 0))
         .selectExpr(*by, f"bigint((sample - {first}) / {step}) + 1 AS fold", "sample AS train_end", f"{slope} AS slope", f"(_y - {slope} * _x) / _n AS intercept")
     )
-    index = "(sample - 1)"
-    newest = f"least(floor(({index} - {first}) / {step}) + 1, floor((samples - {first} - {test}) / {step}) + 1)"
-    oldest = f"greatest(ceil(({index} - {first} - {test - 1}) / {step}) + 1, 1)"
-    folded = rows.filter((F.col("sample") > first) & (F.col("samples") >= first + test)).selectExpr(
-        "*", f"explode(if({oldest} <= {newest}, sequence(bigint({oldest}), bigint({newest})), array())) AS fold"
-    )
-    return folded.join(lines, [*by, "fold"]).withColumn("prediction", F.col("slope") * F.col("x") + F.col("intercept")).withColumns(
-        {"pos": F.col("sample") - F.col("train_end"), "n": F.lit(test).cast("long"), "test_end": F.col("train_end") + test}
-    )
+    return _fold_places(folded.join(lines, [*by, "fold"]).withColumn("prediction", F.col("slope") * F.col("x") + F.col("intercept")), test)
+
+
+def _fold_places(scored: DataFrame, test: int) -> DataFrame:
+    """`pos`, `n` and `test_end` within the fold."""
+    return scored.withColumns({"pos": F.col("sample") - F.col("train_end"), "n": F.lit(test).cast("long"), "test_end": F.col("train_end") + test})
 
 
 def walk_forward_summary(folds: DataFrame, tests: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:

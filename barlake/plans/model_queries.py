@@ -194,14 +194,14 @@ register(
         select=f"SELECT lang, tp, fp, fn, tn, {CLASS_OUT} FROM avg_all",
     ),
 )
-MEMBERS = ["blend", "rf", "gb"]
+MEMBERS = ["blend", "line", "last_value"]
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of the sample ensemble: the fitted line stands for `rf`, the last value for `gb`, the others are absent."""
+    """A sample ensemble of two simple members, the fitted line and the last value, under two of the weights; the other members are absent."""
     absent = F.lit(None).cast("double")
     parts = {"lstm": absent, "rf": F.col("prediction"), "gb": F.col("x"), "lgbm": absent, "catboost": absent}
-    return _validation(spark, folder).withColumns({"blend": models.blend(parts), "blend_full": models.blend(parts, renormalise=True), "rf": F.col("prediction"), "gb": F.col("x")})
+    return _validation(spark, folder).withColumns({"blend": models.blend(parts), "blend_full": models.blend(parts, renormalise=True), "line": F.col("prediction"), "last_value": F.col("x")})
 
 
 ENSEMBLE_SQL = """members AS (SELECT *, CAST(0.15 AS DOUBLE) * prediction + CAST(0.15 AS DOUBLE) * x AS blend FROM scored WHERE NOT is_train)"""
@@ -215,7 +215,7 @@ register(
     lambda spark, folder: models.member_metrics(_members(spark, folder), MEMBERS, "y").selectExpr("member", *fx("mse mae rmse", 5), *fx("direction_accuracy", 2)),
     with_(
         *MODEL, ENSEMBLE_SQL,
-        "long AS (SELECT 'blend' AS member, y, blend AS q FROM members UNION ALL SELECT 'rf', y, prediction FROM members UNION ALL SELECT 'gb', y, x FROM members)",
+        "long AS (SELECT 'blend' AS member, y, blend AS q FROM members UNION ALL SELECT 'line', y, prediction FROM members UNION ALL SELECT 'last_value', y, x FROM members)",
         "m AS (SELECT member, avg((y - q) * (y - q)) AS mse, avg(abs(y - q)) AS mae, sqrt(avg((y - q) * (y - q))) AS rmse, avg(CAST((y > 0.5) = (q > 0.5) AS DOUBLE)) * 100 AS direction_accuracy FROM long GROUP BY member)",
         select=f"SELECT member, {rx('mse mae rmse', 5)}, {rx('direction_accuracy', 2)} FROM m",
     ),

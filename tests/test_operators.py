@@ -221,6 +221,28 @@ def test_walk_forward_lines(spark):
         part = got[got.fold == k].sort_values("sample")
         assert part["sample"].tolist() == list(range(end + 1, end + 64)) and (part.train_end == end).all()
         np.testing.assert_allclose(part.prediction, slope * rows.x[end : end + 63] + start)
+    by_model = models.walk_forward(spark.createDataFrame(rows), model=models.LeastSquares()).toPandas().sort_values(["fold", "sample"])
+    np.testing.assert_allclose(by_model.prediction, got.sort_values(["fold", "sample"]).prediction)
+    assert by_model[["fold", "sample", "train_end", "pos", "test_end"]].astype(int).to_numpy().tolist() == got.sort_values(["fold", "sample"])[["fold", "sample", "train_end", "pos", "test_end"]].astype(int).to_numpy().tolist()
+
+
+class Mean:
+    """A model of another shape: the mean of the labels."""
+
+    def fit(self, samples, by):
+        return samples.groupBy(*by).agg(F.avg("y").alias("mean"), F.count("*").alias("size"))
+
+    def score(self, samples, parameters, by):
+        return samples.join(parameters, list(by)).withColumn("prediction", F.col("mean"))
+
+
+def test_any_model_walks_forward_and_predicts(spark):
+    rows = pd.DataFrame({"instrument": "A", "ts": pd.date_range(START, periods=360), "close": 1.0, "sample": range(1, 361), "samples": 360, "x": 0.0, "y": np.arange(360.0)})
+    got = models.walk_forward(spark.createDataFrame(rows), model=Mean()).groupBy("fold").agg(F.max("size").alias("size"), F.max("prediction").alias("p")).collect()
+    assert {r.fold: (r["size"], r.p) for r in got} == {k: (252 + 21 * (k - 1), (251 + 21 * (k - 1)) / 2) for k in (1, 2, 3)}
+    bars = spark.createDataFrame(walk("A", 150))
+    trained = spark.createDataFrame([("A", "success", 0.25)], "instrument string, status string, mean double")
+    assert models.next_value(index_rows(bars, ("instrument",)), trained, model=Mean()).first().prediction == 0.25
 
 
 def test_loss_curve(spark):

@@ -109,7 +109,7 @@ def test_verification_run_writes_each_prediction_once(spark, folder):
     assert run() == [1, 4, 15]
 
 
-QUICK = ["bars_week", "rsi", "max_sharpe_portfolio", "strategy_risk", "alert_first_triggers", "combined_votes", "position_book", "fundamental_scores", "live_bars", "period_returns"]
+QUICK = ["bars_week", "rsi", "max_sharpe_portfolio", "strategy_risk", "alert_first_triggers", "combined_votes", "position_book", "fundamental_scores", "live_bars", "period_returns", "live_alerts", "cash_account", "portfolio_summary", "verification_run", "stored_bars_parquet", "loss_curves", "widening_period", "peer_quotes"]
 NAMES = list(REGISTRY) if os.environ.get("BARLAKE_ALL_QUERIES") else QUICK
 
 
