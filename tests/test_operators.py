@@ -259,3 +259,33 @@ def test_lexicon_as_a_table(spark):
     rows = spark.createDataFrame([(1, "Profit up, profit up on the news"), (2, "loss of a deal"), (3, None), (4, "")], "id long, text string")
     terms = spark.createDataFrame([("profit", "bullish"), ("on the", "bullish"), ("Loss", "bearish"), ("loss of a", "bearish")], "term string, polarity string")
     assert {tuple(r) for r in text.table_hits(rows, terms, "id").collect()} == {(1, 3, 0), (2, 0, 3), (3, 0, 0), (4, 0, 0)}
+
+
+def test_cash_account_sells_all_and_never_overdraws(spark):
+    trades = [("p", 1, "A", "BUY", 100.0, 500.0), ("p", 2, "B", "BUY", 300.0, 200.0), ("p", 3, "A", "SELL", None, 600.0), ("p", 4, "B", "BUY", 10.0, 200.0), ("p", 5, "A", "SELL", None, 1.0), ("q", 1, "A", "SELL", 1.0, 1.0)]
+    frame = spark.createDataFrame(trades, "portfolio string, seq long, instrument string, action string, shares double, price double")
+    account = portfolio.cash_account(frame, ("seq",))
+    got = [(r.accepted, r.shares_after, r.profit if r.profit == r.profit else None, r.cash_after) for r in account.orderBy("portfolio", "seq").collect()]
+    assert got == [(True, 100.0, None, 50000.0), (False, 0.0, None, 50000.0), (True, 0.0, 10000.0, 110000.0), (True, 10.0, None, 108000.0), (False, 0.0, None, 108000.0), (False, 0.0, None, 100000.0)]
+    assert {(r.portfolio, r.current_cash) for r in portfolio.cash_left(account, ("seq",)).collect()} == {("p", 108000.0), ("q", 100000.0)}
+
+
+def test_account_goes_on_over_batches(spark):
+    """A portfolio longer than an Arrow batch, against a plain loop."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    rows = [("p" if i < 2500 else f"q{i % 7}", i, "ABC"[rng.integers(3)], "BUY" if rng.random() < 0.55 else "SELL", float(rng.integers(1, 50)), float(rng.integers(10, 400))) for i in range(n)]
+    frame = spark.createDataFrame(rows, "portfolio string, seq long, instrument string, action string, shares double, price double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    got = {r.seq: (r.accepted, r.shares_after, r.cash_after) for r in portfolio.cash_account(frame, ("seq",)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    cash, held = {}, {}
+    for p, i, who, action, shares, price in rows:
+        money, have = cash.get(p, 100000.0), held.get((p, who), 0.0)
+        ok = shares * price <= money if action == "BUY" else 0 < shares <= have
+        if ok:
+            sign = 1 if action == "BUY" else -1
+            money, have = money - sign * shares * price, have + sign * shares
+        cash[p], held[p, who] = money, have
+        assert got[i] == (ok, have, money)

@@ -171,3 +171,11 @@ def test_six_bar_trade(spark):
     assert [(t.entry_index, t.exit_index, t.closed_at_end) for t in trips] == [(0, 2, False), (4, 5, True)]
     final = book.results(frame, ["instrument"]).first().final_capital
     assert final == pytest.approx(10000 * (1.2 * 0.999 - 0.001) * (0.9 * 0.999 - 0.001))
+
+
+def test_short_blocks_keep_the_memory_of_averages(spark):
+    bars = spark.createDataFrame(walk("A", 1500))
+    columns = ["ema_26", "macd", "macd_signal", "sma_50", "ewma_volatility"]
+    a, b = (indicators(bars, columns, block_rows=n).orderBy("ts").toPandas() for n in (64, 8192))
+    for c in columns:
+        np.testing.assert_allclose(a[c], b[c], rtol=1e-9, atol=1e-9)

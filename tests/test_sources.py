@@ -133,3 +133,37 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_streams_over_shuffled_part_files(spark, folder):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(5, "event_id").write.parquet(f"{folder}/events.parquet")
+    for name in ("live_bars", "live_alerts"):
+        query = REGISTRY[name]
+        got, want = query.build(spark, folder), query.build(spark, DATA)
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count() and got.count() > 0
+
+
+def test_price_records_are_few_and_complete(spark):
+    rows = pd.concat([walk("A", 3000, seed=4, freq="min"), walk("B", 500, seed=5, freq="h")]).assign(price=lambda x: x.close)
+    records = live.price_records(spark.createDataFrame(rows)).toPandas()
+    for name, part in rows.groupby("instrument"):
+        part = part.sort_values("ts")
+        high, low = part.price.cummax().shift(), part.price.cummin().shift()
+        want = part[high.isna() | (part.price > high) | (part.price < low)]
+        assert sorted(records[records.instrument == name].ts) == sorted(want.ts)
+    assert len(records) < len(rows) / 5
+
+
+def test_tick_order_by_time_and_loud_limits(spark):
+    from barlake.sources import bindings
+
+    def keyed(*rows):
+        frame = spark.createDataFrame([(pd.Timestamp(t).to_pydatetime(), o, n, 1000.0, 0.1) for t, o, n in rows], "ts timestamp, l_orderkey long, l_linenumber int, p_retailprice double, l_discount double")
+        return [r.k for r in frame.select(bindings.tick_key().alias("k")).collect()]
+
+    keys = keyed(("2001-01-01 09:00:00.000001", 10**12 - 1, 99), ("2001-01-01 09:00:00.000002", 1, 1), ("2001-01-02", 1, 1), ("2001-01-02", 1, 12), ("2001-01-02", 2, 1))
+    assert keys == sorted(keys) and len(set(keys)) == 5
+    for bad in (("2001-01-01", 10**12, 1), ("2001-01-01", 1, 100)):
+        with pytest.raises(Exception, match="tick order"):
+            keyed(bad)
