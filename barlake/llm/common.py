@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ def documents_with(packed: DataFrame, columns: list[str], **changed: Column) ->
     return packed.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
 
 
-def match_spans(text: Column, pattern: Column | str, kind: int = 0, where: Column | None = None) -> Column:
-    """Places of all leftmost, non-overlapping matches as array<struct<s,k,e>>, in code points, end exclusive.
+def match_spans(text: Column, pattern: Column | str, kind: int = 0, where: Column | None = None, measure: Callable[[Column], Column] = F.length) -> Column:
+    """Places of all leftmost, non-overlapping matches as array<struct<s,k,e>>, end exclusive, in code points or another `measure`.
 
     The text is split at the matches; a match starts where the pieces and matches before it end. `where` is an array of
     booleans, one per match: those not true are left out. The running sum copies its array once per match, so the cost has a
@@ -50,8 +51,8 @@ def match_spans(text: Column, pattern: Column | str, kind: int = 0, where: Colum
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc, x):
-        s = acc["at"] + F.length(x["piece"])
-        e = s + F.length(x["found"])
+        s = acc["at"] + measure(x["piece"])
+        e = s + measure(x["found"])
         here = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
         good = x["found"].isNotNull() & x["ok"] if where is not None else x["found"].isNotNull()  # the last piece has no match
         return F.struct(F.coalesce(e, acc["at"]).alias("at"), F.when(good, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))

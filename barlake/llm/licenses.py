@@ -169,10 +169,13 @@ def _base(packed: DataFrame) -> DataFrame:
 
 
 def _detections(norm: Column, words: Column) -> Column:
-    """Detections of all rules whose keyword is there, as array<struct<s,o,k>>; o is minus the end, so that the order is by start, longest first, then by rule."""
+    """Detections of all rules whose keyword is there, as array<struct<s,o,k>>, in words: s is the first, o minus the end, so that the order is by start, longest first, then by rule.
+
+    Places are counted in blanks: before a match stands one more blank than words.
+    """
     listed = F.array(*[F.struct(F.lit(i).alias("k"), _texts(keys.rstrip("+").split("|")).alias("keys"), _texts(NAMED if keys[-1] == "+" else keys.split("|")).alias("also"), F.lit(f"(?<= )(?:{rx})(?= )").alias("rx")) for i, (_, keys, rx, _) in enumerate(rules())])
     active = F.filter(listed, lambda r: F.arrays_overlap(r["keys"], words) & F.arrays_overlap(r["also"], words) & F.regexp(norm, r["rx"]))
-    hits = F.flatten(F.transform(active, lambda r: F.transform(match_spans(norm, r["rx"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("o"), r["k"].alias("k")))))
+    hits = F.flatten(F.transform(active, lambda r: F.transform(match_spans(norm, r["rx"], measure=_spaces), lambda x: F.struct((x["s"] - 1).alias("s"), (-x["e"]).alias("o"), r["k"].alias("k")))))
     return F.array_sort(hits)
 
 
@@ -219,14 +222,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     chain, settle = _kept(F.col("hits"), priority)
     kept = found.withColumn("chain", chain).withColumn("kept", settle(F.col("chain")))
     label, confidence = _texts(r[0] for r in all_rules), F.array(*[F.lit(c) for c in CONFIDENCE])
-    # a place in words: the blanks before it (a word starts after its blank)
-    spot = lambda at: F.length(F.substring("norm", F.lit(1), at)) - F.length(F.replace(F.substring("norm", F.lit(1), at), F.lit(" "), F.lit(""))) - 1
     detections = F.transform(
         "kept",
         lambda x: F.struct(
             F.element_at(label, x["k"] + 1).alias("label"),
-            spot(x["s"]).alias("first"),
-            (spot(-x["o"]) + 1).alias("last"),
+            x["s"].alias("first"),
+            (-x["o"]).alias("last"),
             F.element_at(confidence, F.element_at(priority, x["k"] + 1) + 1).alias("confidence"),
         ),
     )
