@@ -220,6 +220,19 @@ def _classes(prints: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_
     return distinct.join(told.withColumnRenamed("first_key", "least"), "fp", "left").select("fp", F.coalesce("least", "first_key").alias("first_key"))
 
 
+def first_of_classes(rows: DataFrame, roots: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Of rows (row, fp) and classes (node, root) of fingerprints, the row of each class with the smallest key."""
+    prints = rows.select(F.col("row").getField(key).alias("key"), "fp")
+    counted = materialise(prints.groupBy("fp", "key").agg(F.count(F.lit(1)).alias("copies")))
+    named = counted.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
+    best = named.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp", "copies")).alias("best"))
+    winners = staged(best.select("best.key", "best.fp", "best.copies"), "simhash-winners")
+    kept = rows.select("row", "fp").withColumn("key", F.col("row").getField(key)).join(winners.withColumnRenamed("fp", "best_fp").withColumnRenamed("key", "best_key"), F.col("fp").eqNullSafe(F.col("best_fp")) & F.col("key").eqNullSafe(F.col("best_key")))
+    content = F.md5(F.to_json(F.col("row")).cast("binary"))
+    again = kept.filter("copies > 1").groupBy("fp", "key").agg(F.min_by("row", content).alias("row")).select("row")
+    return documents_with(kept.filter("copies = 1").select("row").unionByName(again), columns)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row of every class of near duplicates, columns unchanged: the one with the smallest key (a null key comes last).
 
@@ -237,16 +250,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bi
 
     packed = with_row(docs)
     rows = staged(packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, fp long"), "simhash-rows")
-    prints = rows.select(F.col("row").getField(key).alias("key"), "fp")
-    counted = materialise(prints.groupBy("fp", "key").agg(F.count(F.lit(1)).alias("copies")))
-    roots = _roots(counted.select("fp").distinct(), max_bits)
-    named = counted.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
-    best = named.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp", "copies")).alias("best"))
-    winners = staged(best.select("best.key", "best.fp", "best.copies"), "simhash-winners")
-    kept = rows.withColumn("key", F.col("row").getField(key)).join(winners.withColumnRenamed("fp", "best_fp").withColumnRenamed("key", "best_key"), F.col("fp").eqNullSafe(F.col("best_fp")) & F.col("key").eqNullSafe(F.col("best_key")))
-    content = F.md5(F.to_json(F.col("row")).cast("binary"))
-    again = kept.filter("copies > 1").groupBy("fp", "key").agg(F.min_by("row", content).alias("row")).select("row")
-    return documents_with(kept.filter("copies = 1").select("row").unionByName(again), docs.columns)
+    return first_of_classes(rows, _roots(rows.select("fp").distinct(), max_bits), docs.columns, key)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 import corpus_pipeline
-from barlake.llm import bpe, catalog, html, licenses, lm, mixing, quality, secrets, shards, simhash, topk
+from barlake.llm import bpe, catalog, html, licenses, lm, mixing, neardup, quality, secrets, shards, simhash, topk
 from barlake.llm.common import staged
 
 DATA = "/root/testdata/sf0.001"
@@ -423,6 +423,59 @@ def test_deduplicate(odd):
     assert ids == sorted(first)
 
 
+def plain_jaccard_classes(rows):
+    """Smallest keys of the classes of five-word shingle sets that share 0.8 or more, every pair compared."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWERED))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    first = {}
+    for (k, _), r in zip(rows, root):
+        first[r] = min((k is None, k), first.get(r, (k is None, k)))
+    return sorted(first.values())
+
+
+def near_copies():
+    """Texts, copies of them with some words changed, chains of copies of copies, and passages that texts share."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 300))]
+        for changed in (0, 0, 1, 1, 2, 3, 6, 12):
+            copy = list(base)
+            for _ in range(changed):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append(" ".join(copy).upper() if rng.random() < 0.3 else "  ".join(copy))
+    chain = [rng.choice(words) for _ in range(120)]
+    for i in range(40):
+        chain[(7 * i) % 120] = f"c{i}"
+        rows.append(" ".join(chain))
+    passage = [rng.choice(words) for _ in range(80)]
+    rows += [" ".join(passage + [rng.choice(words) for _ in range(n)]) for n in range(0, 60, 3)]
+    rows += ["one two three four", "one two three four", "one two three", None, "", " "]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_copies_with_changed_words(spark):
+    rows = near_copies()
+    want = [k for _, k in plain_jaccard_classes(rows)]
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect())
+    assert got == want and len(want) < len(rows) / 2
+
+
+def test_near_copies_keep_rows_whole(odd):
+    out = neardup.deduplicate(odd)
+    assert out.columns == odd.columns and all(r.row == "clash" for r in out.collect())
+    assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == plain_jaccard_classes(ODD_ROWS)
+    assert neardup.deduplicate(odd.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 8
 
 
