@@ -19,6 +19,15 @@ WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 MAX_LOSS = 0.5
 ENDS = tuple(".!?:;…。！？")
 CLOSERS = "\"')]»”’*_ \t\x0b\x0c\r"
+#: The same in further scripts; the SQL check, made for the sample's languages, knows only those above.
+FURTHER_ENDS = tuple("।॥؟۔؛።፧፨։။។៕།༎᠃᠉᱾᱿꯫꧉᭟෴߹׃．｡；：‼‽⁇⁈⁉")
+FURTHER_CLOSERS = "“‘›」』）】〉》］\u200b\u200c\u200d\u200e\u200f"
+#: Thai and Lao put no mark at the end: a paragraph mostly of these letters is prose from so many of them on.
+MARKLESS = re.compile("[\u0e01-\u0e4e\u0e81-\u0ecd]")
+MARKLESS_LETTERS = 40
+#: A line ends inside a sentence only if it is this long, and lines are wrapped to a width only up to this one.
+OPEN_WORDS, OPEN_CHARS, MAX_WIDTH = 4, 24, 120
+LISTED = re.compile(r"[-*•·–+]\s|[0-9]{1,3}[.)]\s")
 SEPARATORS = frozenset(("|", "»", ">", "·", "•", "/", "::", "-", "–"))
 MENU = frozenset(
     "home menu login logout register search next previous prev back top share contact about sitemap faq help print "
@@ -31,8 +40,22 @@ BOILERPLATE = re.compile(
 )
 
 
-def line_fault(line: str, words: list[str]) -> str | None:
-    """The first rule that a line with words fails: punctuation, navigation or boilerplate."""
+def _closed(text: str) -> bool:
+    """Ends with an end mark."""
+    return text.rstrip(CLOSERS + FURTHER_CLOSERS).endswith(ENDS + FURTHER_ENDS)
+
+
+def _prose(line: str, words: list[str]) -> bool:
+    """A line or paragraph that ends like a sentence, or was cut off within its last one, or is of a script without end marks."""
+    if _closed(line) or (len(words) >= 20 and 40 * sum(map(_closed, words)) >= len(words)):
+        return True
+    if line.isascii():
+        return False
+    return (n := len(MARKLESS.findall(line))) >= MARKLESS_LETTERS and 2 * n > sum(map(len, words))
+
+
+def line_fault(line: str, words: list[str], inside: bool = False) -> str | None:
+    """The first rule that a line with words fails: punctuation, navigation or boilerplate. A line `inside` a paragraph needs no end mark."""
     separators = sum(w in SEPARATORS for w in words)
     if separators >= 2 and separators * 5 >= len(words):
         return "navigation"
@@ -41,13 +64,45 @@ def line_fault(line: str, words: list[str]) -> str | None:
     marks = sum(line.count(c) for c in "#*$%&|<>{}")
     if marks > len(words):
         return "punctuation"
-    if not line.rstrip(CLOSERS).endswith(ENDS):
-        # a paragraph cut off within its last sentence still is one
-        if len(words) < 20 or 40 * sum(w.rstrip(CLOSERS).endswith(ENDS) for w in words) < len(words):
-            return "punctuation"
+    if not inside and not _prose(line, words):
+        return "punctuation"
     return "boilerplate" if BOILERPLATE.search(line) else None
 
 
+def _within_paragraphs(lines: list[str], words: list[list[str]], faults: list[str | None]) -> None:
+    """Judge the end mark of wrapped lines on their paragraph, in place.
+
+    A line is continued by the next one if that has words and begins with a small letter or one of a script without case, or
+    if its first word would not have fitted on the line (the text is wrapped to a width). List items begin anew. A paragraph of
+    continued lines has to be prose as a whole; then those of its lines that end inside a sentence pass.
+    """
+    inner = [line_fault(x, w, True) if f == "punctuation" else f for x, w, f in zip(lines, words, faults)]
+    bare = [x.lstrip("> \t") for x in lines]
+    widths = [len(x.rstrip()) for x, w in zip(lines, words) if w]
+    width = max((n for n in widths if n <= MAX_WIDTH), default=0)
+    wrapped = sum(0.8 * width < n <= width for n in widths) >= 3
+
+    def continued(i: int) -> bool:
+        if i + 1 == len(lines) or not words[i] or not words[i + 1] or not bare[i + 1] or inner[i] in ("navigation", "punctuation") or inner[i + 1] in ("navigation", "punctuation"):
+            return False
+        if LISTED.match(bare[i + 1]) or (len(words[i]) < OPEN_WORDS and len(lines[i]) < OPEN_CHARS):
+            return False
+        first = bare[i + 1].lstrip("\"'([{«“‘„「『（—…¿¡")[:1]
+        if first.isalpha() and not first.isupper() and not first.istitle():
+            return True
+        return wrapped and len(lines[i].rstrip()) <= width < len(lines[i].rstrip()) + 1 + len(bare[i + 1].split(None, 1)[0])
+
+    start = 0
+    for i in range(len(lines)):
+        if continued(i):
+            continue
+        some = range(start, i + 1)
+        if len(some) > 1 and any(faults[j] != inner[j] for j in some) and _prose(lines[i], words[i]) | _prose("\n".join(lines[start : i + 1]), [w for j in some for w in words[j]]):
+            for j in some:
+                faults[j] = inner[j]
+        start = i + 1
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words in windows of eight that stand in the text twice or more. Windows are told apart by rank, by pairs of pairs of pairs: exact, and in memory of a few numbers per word."""
     n = len(words)
@@ -78,13 +133,17 @@ def judged(text: str | None, max_loss: float = MAX_LOSS) -> tuple[int, int, int,
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     seen: set[str] = set()
     out, duplicates, lost = [], 0, 0
-    for line in whole.split("\n"):
-        inside = line.encode().split()
-        if inside:
+    lines = whole.split("\n")
+    inside = [[w.decode() for w in line.encode().split()] for line in lines]
+    faults = [line_fault(line, ws) if ws else None for line, ws in zip(lines, inside)]
+    if len(lines) > 1 and "punctuation" in faults:
+        _within_paragraphs(lines, inside, faults)
+    for line, ws, fault in zip(lines, inside, faults):
+        if ws:
             duplicates += line in seen
             seen.add(line)
-            if line_fault(line, [w.decode() for w in inside]):
-                lost += len(inside)
+            if fault:
+                lost += len(ws)
                 continue
         out.append(line)
     n, repeated = len(words), repeated_words(words)

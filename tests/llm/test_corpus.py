@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -99,6 +100,39 @@ def test_quality_lines():
     assert not quality.judged("\n".join(f"word {i} goes without an end" for i in range(20)))[6]
 
 
+HINDI = "भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं। यहाँ के लोग मिलकर त्योहार मनाते हैं और एक दूसरे का सम्मान करते हैं।"
+URDU = "یہ ایک صاف ستھری تحریر ہے جس میں کئی جملے ہیں۔ کیا آپ اسے پڑھ سکتے ہیں؟"
+THAI = "ประเทศไทยเป็นประเทศที่ตั้งอยู่ในเอเชียตะวันออกเฉียงใต้ มีประชากรหลายล้านคน และมีวัฒนธรรมที่หลากหลาย"
+LETTER = [
+    "When the ship left Bristol on the second of May the crew had already heard that the passage round the Cape would be closed to them "
+    "until late autumn. Captain Hargreaves said nothing about it. He walked the deck with Doctor Mills, and the two of them spoke of London, "
+    "of the price of Baltic timber, and of the letters that Mrs Hargreaves had sent from Lisbon before the winter storms.",
+    "Nobody asked what would become of the cargo, for each man knew that the owners in Rotterdam would have to decide.",
+]
+
+
+def test_quality_of_wrapped_prose():
+    for width in (40, 60, 72, 80):
+        wrapped = "\n\n".join(textwrap.fill(p, width) for p in LETTER)
+        measures = quality.judged(wrapped)
+        assert measures[6] and measures[7] == 0 and measures[8] == wrapped
+        quoted = "\n".join("> " + x if x else "" for x in wrapped.split("\n"))
+        assert quality.judged(quoted)[7] == 0
+        # cut off within its last sentence, between lines that are no prose
+        cut = "\n".join(textwrap.wrap(LETTER[0], width)[:-1])
+        assert quality.judged(f"Home | About | Contact\n\n{cut}\n\nRelated Stories From Our Desk")[8] == "\n" + cut + "\n"
+    assert quality.judged("A Heading Of Five Words\nThe text begins here and it ends here. " + LETTER[1])[7] == 5
+    assert quality.judged("- first item of a list\n- second item of a list\n- third item of a list\n\n" + LETTER[1])[7] == 18
+
+
+def test_quality_of_other_scripts():
+    for text in (HINDI, URDU, "ይህ ጥሩ ጽሑፍ ነው። እንዴት ነህ፧", THAI, "「これは文です。」", "これは文です．"):
+        assert quality.line_fault(text, text.split()) is None
+    whole = "\n".join([HINDI, HINDI.replace("भारत", "नेपाल")[:52] + "\n" + URDU, textwrap.fill(HINDI.replace("एक", "यह"), 40), URDU])
+    assert quality.judged(whole)[7] == 0 and quality.judged(whole)[8] == whole
+    assert quality.line_fault("मुख्य पृष्ठ हमारे बारे में", ["मुख्य", "पृष्ठ", "हमारे", "बारे", "में"]) == "punctuation"
+
+
 def test_quality_clean_keeps_rows_whole(odd):
     out = quality.clean(odd)
     assert out.columns == odd.columns
