@@ -118,6 +118,11 @@ class _Table:
         self.pending: dict[int, int] = {}  # rows that a cell above still covers, by column
         self.caption, self.next = "", 0
 
+    def end_row(self) -> None:
+        self.rows.append(self.row or {})
+        self.row, self.next = None, 0
+        self.pending = {c: n - 1 for c, n in self.pending.items() if n > 1}
+
 
 def _width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
@@ -189,7 +194,9 @@ class _Page:
                 self._pop_to(at)
             if tag == "html" or self._inside("body"):
                 return
-        if self.stack[-1].tag == "head" and tag not in HEAD_ONLY and tag != "head":
+        if tag == "head" and self._inside("head"):
+            return
+        if self.stack[-1].tag == "head" and tag not in HEAD_ONLY:
             self._pop_to(len(self.stack) - 1)
         if tag in ENDS_P and (at := self._find(("p",), WALLS | {"button"})) is not None:
             self._pop_to(at)
@@ -202,8 +209,11 @@ class _Page:
                 self._pop_to(at)
         if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") and not self.tables:
             tag = "div" if tag == "tr" else "span"  # a part without its table
-        elif tag in ("td", "th") and self.stack[-1].tag != "tr":
-            self._push("tr", "")
+        elif tag in ("td", "th"):
+            if (at := self._find(("tr",), {"table"})) is None:
+                self._push("tr", "")
+            else:
+                self._pop_to(at + 1)  # what stands between the cells of a row ends, the row goes on
         self._push(tag, attributes)
 
     def _push(self, tag: str, attributes: str) -> None:
@@ -251,6 +261,8 @@ class _Page:
             elif tag == "table":
                 self.tables.append(_Table())
             elif tag == "tr" and self.tables:
+                if self.tables[-1].row:
+                    self.tables[-1].end_row()
                 self.tables[-1].row = {}
             elif tag in ("td", "th") and self.tables:
                 span = [int(own[x]) if re.fullmatch("[0-9]{1,6}", own.get(x, "")) else 1 for x in ("colspan", "rowspan")]
@@ -283,13 +295,13 @@ class _Page:
             if e.tag in ("td", "th") and self.tables and len(self.outs) > 1:
                 self._cell(self.outs.pop().text(), *divmod(e.count, MAX_SPAN + 1))
             elif e.tag == "caption" and self.tables and len(self.outs) > 1:
-                self.tables[-1].caption = self.outs.pop().text()
+                grid, text = self.tables[-1], self.outs.pop().text()
+                grid.caption += "\n" * bool(grid.caption and text) + text
             elif e.tag == "tr" and self.tables:
-                grid = self.tables[-1]
-                grid.rows.append(grid.row or {})
-                grid.row, grid.next = None, 0
-                grid.pending = {c: n - 1 for c, n in grid.pending.items() if n > 1}
+                self.tables[-1].end_row()
             elif e.tag == "table" and self.tables:
+                if self.tables[-1].row:
+                    self.tables[-1].end_row()
                 made = _laid_out(self.tables.pop())
                 out = self.outs[-1]
                 if made:

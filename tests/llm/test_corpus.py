@@ -671,6 +671,33 @@ def test_pages_of_any_shape(spark):
     assert bag(html.extract(frame), "page_id", "text") == Counter({(1, ""): 2, (None, "x"): 1, (2, "y�"): 1})
 
 
+TABLES = {
+    "<table><tr><td>a</td><form><td>b</td></form></tr></table>": "a | b",
+    "<table><tr><td>a</td><span><td>b</td></span><a><th>c</th></a><div><p><td>d</table>": "a | b | c | d",
+    "<table><form><tr><td>a<td>b</form><tr><td>c</table>": "a | b\nc",
+    "<table><td>a<td>b<tr><td>c</table>": "a | b\nc",
+    "<table><tr><td>a<table><tr><td>x</td><form><td>y</table><td>b</table>": "a     | b\n      |\nx | y |",
+    "<table><caption>one</caption><caption>two</caption><tr><td>a</table>": "one\ntwo\na",
+}
+
+
+@pytest.mark.parametrize("page", TABLES)
+def test_cells_with_something_between(page):
+    assert html.render(page) == TABLES[page]
+
+
+def test_no_visible_word_is_lost():
+    rng = random.Random(7)
+    tags = "p div table tr td th li ul ol span pre h1 h2 caption thead tbody tfoot colgroup form select option textarea blockquote dl dd head body br a b".split()
+    for _ in range(4000):
+        parts = [rng.choice([f"<{(tag := rng.choice(tags))}>", f"</{rng.choice(tags)}>", f"w{i} ", f"w{i}", f"<{rng.choice(('td', 'th', 'tr', 'table'))} rowspan=3 colspan=2>"]) for i in range(rng.randrange(30))]
+        page = "".join(parts)
+        assert set(re.findall("w[0-9]+", html.render(page))) == set(re.findall("w[0-9]+", page)), page
+    for depth in (509, 510, 511, 600):
+        text = html.render("<div>" * depth + "<table><tr><td>one<td>two<tr><td>three</table>four")
+        assert re.findall("one|two|three|four", text) == ["one", "two", "three", "four"]
+
+
 # ---------------------------------------------------------------- all
 
 
