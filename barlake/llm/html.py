@@ -17,7 +17,18 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^\"'>]+)*)>",
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_DECLARED = re.compile(r"(display|visibility|white-space)\s*:\s*([a-z-]+)")
+#: What a style may hold besides declarations: comments, strings, brackets.
+_NO_DECLARATION = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"]*\"|'[^']*'|\([^()]*\)", re.S)
+_VALUE = re.compile(r"([a-z-]+(?:[ \t\n\r\f]+[a-z-]+)*)[ \t\n\r\f]*(![ \t\n\r\f]*important)?")
+#: Known values; a declaration with another one counts as not made.
+VALUES = {
+    "display": frozenset(
+        "none block inline inline-block flow-root contents flex inline-flex grid inline-grid table inline-table table-row table-cell table-caption table-column "
+        "table-column-group table-row-group table-header-group table-footer-group list-item run-in ruby math inherit initial unset revert revert-layer -webkit-box -webkit-inline-box -webkit-flex -ms-flexbox".split()
+    ),
+    "visibility": frozenset("visible hidden collapse inherit initial unset revert revert-layer".split()),
+    "white-space": frozenset("normal nowrap pre pre-wrap pre-line break-spaces inherit initial unset revert revert-layer".split()),
+}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -54,6 +65,22 @@ MAX_DEPTH = 512
 _ESCAPES = re.compile("[\ud800-\udfff\x00]")
 
 
+def _declared(style: str) -> dict[str, str]:
+    """The values that hold of `VALUES`' properties: of the important declarations, else of all, the last known one."""
+    found: dict[str, str] = {}
+    strong: set[str] = set()
+    for declaration in _NO_DECLARATION.sub(" ", unescape(style).lower()).split(";"):
+        name, _, value = declaration.partition(":")
+        name, m = name.strip(), _VALUE.fullmatch(value.strip())
+        if m is None or name not in VALUES or (name in strong and not m[2]):
+            continue
+        if m[1] in VALUES[name] or (name == "display" and " " in m[1] and "none" not in m[1].split()):
+            found[name] = m[1]
+            if m[2]:
+                strong.add(name)
+    return found
+
+
 class _Out:
     """Text of a page or a table cell: collapses blanks and puts line feeds between blocks when the next text comes."""
 
@@ -221,17 +248,18 @@ class _Page:
             self._pop_to(len(self.stack) - 1)
         above, e = self.stack[-1], _Element(tag, self.stack[-1])
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes and not attributes.isspace() else {}
-        if tag in UNSEEN or ("hidden" in own and own["hidden"].lower() != "until-found") or (tag == "dialog" and "open" not in own):
+        style = _declared(own["style"]) if "style" in own else {}
+        display = style.get("display", "revert")
+        # a display of its own shows what the hidden attribute or a closed dialog would hide
+        hides = ("hidden" in own and own["hidden"].lower() != "until-found") or (tag == "dialog" and "open" not in own)
+        if tag in UNSEEN or display == "none" or (hides and display in ("revert", "revert-layer")):
             e.shown = False
         if above.tag == "details" and above.closed and tag != "summary":
             e.shown = False
-        for name, value in _DECLARED.findall(own.get("style", "").lower()) if "style" in own else ():
-            if name == "display" and value == "none":
-                e.shown = False
-            elif name == "visibility":
-                e.seen = value not in ("hidden", "collapse")
-            elif name == "white-space":
-                e.pre = value in ("pre", "pre-wrap", "break-spaces")
+        if (value := style.get("visibility")) in ("visible", "hidden", "collapse", "initial"):
+            e.seen = value in ("visible", "initial")
+        if (value := style.get("white-space")) in ("pre", "pre-wrap", "break-spaces", "normal", "nowrap", "pre-line", "initial"):
+            e.pre = value in ("pre", "pre-wrap", "break-spaces")
         e.closed = tag == "details" and "open" not in own
         visible, out = e.shown and e.seen, self.outs[-1]
         if tag in ("pre", "xmp", "textarea"):

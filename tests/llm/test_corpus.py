@@ -681,6 +681,35 @@ TABLES = {
 }
 
 
+STYLES = {
+    "backface-visibility:hidden": True,
+    "-webkit-backface-visibility: hidden; opacity: 1": True,
+    "content-visibility:hidden-matchable": True,
+    "display:none; display:block": True,
+    "display:block;display:none": False,
+    "DISPLAY : None": False,
+    "display:none !important;display:block": False,
+    "display:block!important; display:none": True,
+    "display:none;display:shown": False,
+    "display:inline flex": True,
+    "visibility:hidden;visibility:visible": True,
+    "visibility:hidden": False,
+    "color:red;visibility:collapse;": False,
+    "/* display:none */ color:red": True,
+    "background:url(a;display:none)": True,
+    "content:&quot;;display:none;&quot;": True,
+    "animation-display:none;x-visibility:hidden": True,
+}
+
+
+@pytest.mark.parametrize("style", STYLES)
+def test_styles_that_hide(style):
+    assert html.render(f'a<b style="{style}">b</b>c') == ("abc" if STYLES[style] else "ac")
+    assert html.render(f'<u style="visibility:hidden">a<b style="{style}">b</b></u>') == ("b" if "visibility:visible" in style else "")
+    assert html.render('a<b hidden style="display:block">b</b><b hidden style="color:red">c</b>') == "ab"
+    assert html.render('<p style="white-space:pre;white-space:normal">a  b</p>') == "a b"
+
+
 @pytest.mark.parametrize("page", TABLES)
 def test_cells_with_something_between(page):
     assert html.render(page) == TABLES[page]
