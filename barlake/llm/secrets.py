@@ -16,9 +16,9 @@ HEX = "[0-9a-f]{16,}"
 IDENTIFIER = r"""(?i:user(?:_?name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
 TOKEN = r"[A-Za-z0-9+/_-]{24,}"
 ENDPOINT = r"""(?i:https?|ftps?|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ldaps?|s3)://[^\x00-\x20"'<>`\x7F]{3,}"""
-#: A scope: parts of one secret start at most so many code points apart.
+#: A scope: between the end of one part of a secret and the start of the next are at most so many code points.
 REACH = 400
-#: Least length of a part by kind. Parts of one kind do not overlap, so at most reach / length + 1 of them start on either side within reach.
+#: Least length of a part by kind. Parts of one kind do not overlap, so at most n / length + 1 of them start within n code points.
 LEAST = (18, 18, 16, 8, 24, 8)
 
 
@@ -27,20 +27,23 @@ def _spans(text: Column, pattern: str, kind: int, where: Column | None = None) -
     return F.when(text.rlike(pattern), match_spans(text, pattern, kind, where)).otherwise(F.array().cast(SPANS))
 
 
-def _linked(parts: Column, reach: int) -> Column:
+def _linked(parts: Column, longest: Column, reach: int) -> Column:
     """Weak parts with a completing part in their scope, from all parts of a text in order of start.
 
-    An interval join inside the text: partners start within `reach`, so they are among the neighbours in the order, whose
-    number has a bound from `reach` and the least lengths. Only those are looked at, and none that could be a partner is left out.
+    An interval join inside the text. A partner starts at most `reach` behind the end of the part, or at most `reach` and the length
+    of the text's `longest` part before its start, so it is among the neighbours in the order, whose number has a bound from
+    these stretches and the least lengths. Only those are looked at, and none that could be a partner is left out.
     """
     secret = lambda p: p["k"].isin(0, 2, 4)
     other = lambda p: p["k"].isin(1, 3, 5)
     completes = lambda p, q: (secret(p) & other(q)) | (other(p) & secret(q))
-    side = sum(reach // n + 1 for n in LEAST)
+    most = lambda n: sum(F.floor((n + reach) / least) + 1 for least in LEAST).cast("int")
+    close = lambda p, q: F.greatest(p["s"], q["s"]) - F.least(p["e"], q["e"]) <= reach
 
     def has_partner(p, i):
-        around = F.slice(parts, F.greatest(i - side, F.lit(0)) + 1, F.lit(2 * side + 1))
-        return F.exists(around, lambda q: completes(p, q) & (F.abs(q["s"] - p["s"]) <= reach))
+        begin = F.greatest(i - most(longest), F.lit(0))
+        around = F.slice(parts, begin + 1, i - begin + 1 + most(p["e"] - p["s"]))
+        return F.exists(around, lambda q: completes(p, q) & close(p, q))
 
     return F.filter(parts, lambda p, i: (p["k"] >= 3) & has_partner(p, i))
 
@@ -65,9 +68,10 @@ def _found(packed: DataFrame, reach: int) -> DataFrame:
         _spans(text, ENDPOINT, 5),
     ]
     made = packed.withColumn("parts", F.array_sort(F.concat(*kinds)))
-    based = made.withColumn("base", F.filter("parts", lambda p: p["k"] < 3))
+    longest = F.coalesce(F.array_max(F.transform("parts", lambda p: p["e"] - p["s"])), F.lit(0))
+    based = made.withColumns({"base": F.filter("parts", lambda p: p["k"] < 3), "longest": longest})
     weak = F.size("parts") > F.size("base")
-    return based.withColumn("spans", F.when(weak, F.array_sort(F.concat("base", _linked(F.col("parts"), reach)))).otherwise(F.col("base"))).drop("parts")
+    return based.withColumn("spans", F.when(weak, F.array_sort(F.concat("base", _linked(F.col("parts"), F.col("longest"), reach)))).otherwise(F.col("base"))).drop("parts", "longest")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
@@ -75,8 +79,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
 
     Assignments, access identifiers and long hexadecimal runs are always reported. Identifiers (user, login, client id),
     tokens of mixed letters and endpoints are weak: an identifier or endpoint counts only with a secret (assignment,
-    hexadecimal run, token), a token only with an access identifier, identifier or endpoint that starts at most `reach` code
-    points before or after it. A null or empty text has no spans (the
+    hexadecimal run, token), a token only with an access identifier, identifier or endpoint, with at most `reach` code points
+    between the end of the earlier part and the start of the later, however long the parts are. A null or empty text has no spans (the
     hash is that of the empty text). Rows are judged one by one: repeated rows give the same twice, null keys stay null, and
     other columns are not looked at.
     """

@@ -182,6 +182,28 @@ def test_secrets(spark, docs, odd, rows):
         assert bag(secrets.scan(frame), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == Counter((k, *plain_secrets(t)) for k, t in plain)
 
 
+def plain_gaps(text):
+    """All spans, every pair of parts compared by the gap between them."""
+    found = [(m.start(), k, m.end()) for k, rx in ((1, secrets.ACCESS), (2, secrets.HEX), (3, secrets.IDENTIFIER), (5, secrets.ENDPOINT)) for m in re.finditer(rx.replace("(?i:", "(?ai:"), text)]
+    found += [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN.replace("(?i:", "(?ai:"), text) if len(m[2]) >= 12]
+    found += [(m.start(), 4, m.end()) for m in re.finditer(secrets.TOKEN, text) if all(re.search(x, m[0]) for x in ("[0-9]", "[A-Z]", "[a-z]"))]
+    linked = [p for p in found if p[1] < 3 or any((p[1] in (0, 2, 4)) != (q[1] in (0, 2, 4)) and max(p[0], q[0]) - min(p[2], q[2]) <= secrets.REACH for q in found)]
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(linked))
+
+
+def test_scope_counts_between_parts(spark):
+    long = "aB3" * 200
+    texts = [f"secret={long} user=bob", f"user=bob {long}", f"{long} user=bob", f"https://a.b/{'x' * 900} {long}", f"secret={long}" + " " * 400 + "user=bob", f"secret={long}" + " " * 401 + "user=bob"]
+    texts += [f"user=bob{' ' * n}{long}" for n in (400, 401)] + [f"https://a.b/?{'user=bob&' * 300}{'z' * 3000} secret={long}", long + "/" + "0123456789abcdef" * 200 + " login:bob"]
+    rng = random.Random(5)
+    bits = ["user=bobby ", "password=abcdefghijkl ", "AKIAABCDEFGHIJKLMN ", "Zx9" * 9 + " ", "Zx9" * 150 + " ", "https://a.b/c ", "https://a.b/?" + "user=bob&" * 60 + " ", "word " * 30, "word " * 90, "é", "0123456789abcdef" * 30 + " ", "\n"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(200)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_gaps(t) for t in texts]
+    assert all("identifier" in got[i] for i in (0, 1, 2, 4, 6)) and "identifier" not in got[5] + got[7]
+    assert secrets.redact(spark.createDataFrame([(texts[0],)], "text string")).first().text == "[SECRET] [SECRET]"
+
+
 def test_redaction(spark, odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
