@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barlake.llm import bpe, html, licenses, lm, mixing, quality, secrets, shards, simhash, topk
+from barlake.llm import bpe, exact, html, licenses, lm, mixing, quality, secrets, shards, simhash, topk
 
 QUERIES = {
     "op10_html_layout": html.op10_html_layout,
+    "op13_bloom_exact": exact.op13_bloom_exact,
     "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
     "op3_context_tree": lm.op3_context_tree,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
 }
 CHECKS = {
+    "op13_bloom_exact": exact.check_op13(),
     "op1_line_quality": quality.check_op1(),
     "op2_secret_links": secrets.check_op2(),
     "op4_norm_buckets": topk.check_op4(),
