@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barlake.llm import bpe, exact, html, licenses, lm, mixing, quality, secrets, shards, simhash, topk
+from barlake.llm import bpe, exact, html, licenses, lm, mixing, quality, secrets, shards, simhash, spelling, topk
 
 QUERIES = {
     "op10_html_layout": html.op10_html_layout,
+    "op12_trie_pairs": spelling.op12_trie_pairs,
     "op13_bloom_exact": exact.op13_bloom_exact,
     "op1_line_quality": quality.op1_line_quality,
     "op2_secret_links": secrets.op2_secret_links,
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
 }
 CHECKS = {
+    "op12_trie_pairs": spelling.check_op12(),
     "op13_bloom_exact": exact.check_op13(),
     "op1_line_quality": quality.check_op1(),
     "op2_secret_links": secrets.check_op2(),
