@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barlake.llm import bpe, exact, html, licenses, lm, mixing, quality, secrets, shards, simhash, spelling, topk
+from barlake.llm import bpe, exact, html, lexical, licenses, lm, mixing, quality, secrets, shards, simhash, spelling, topk
 
 QUERIES = {
     "op10_html_layout": html.op10_html_layout,
+    "op11_dual_tree": lexical.op11_dual_tree,
     "op12_trie_pairs": spelling.op12_trie_pairs,
     "op13_bloom_exact": exact.op13_bloom_exact,
     "op1_line_quality": quality.op1_line_quality,
@@ -19,6 +20,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
 }
 CHECKS = {
+    "op11_dual_tree": lexical.check_op11(),
     "op12_trie_pairs": spelling.check_op12(),
     "op13_bloom_exact": exact.check_op13(),
     "op1_line_quality": quality.check_op1(),
