@@ -310,7 +310,7 @@ seen AS (SELECT doc_id, w, count(*) AS many FROM runs WHERE length(w) >= {SHORTE
 bytes AS (SELECT doc_id, w, many, hex(encode(doc_id || ':' || w)) AS x FROM seen),
 hashed AS (SELECT doc_id, w, many, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))),
   lambda c, b: xor(c // 256, crc.t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM bytes, crc),
-spelt AS (SELECT many, CASE WHEN h % {EVERY} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+spelt AS (SELECT many, CASE WHEN doc_id IS NOT NULL AND h % {EVERY} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
 words AS (SELECT word, CAST(sum(many) AS BIGINT) AS n FROM spelt WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(many) >= {LEAST}),
 cut AS (SELECT word, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
 links AS (SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
