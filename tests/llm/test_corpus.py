@@ -156,7 +156,8 @@ def plain_secrets(text):
     weak += [(m.start(), 4, m.end()) for m in re.finditer(secrets.TOKEN, text) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
     weak += [(m.start(), 5, m.end()) for m in re.finditer(secrets.ENDPOINT, text)]
     role = lambda k: k in (0, 2, 4)
-    linked = [p for p in weak if any(role(p[1]) != role(q[1]) and abs(p[0] - q[0]) <= secrets.REACH for q in spans + weak)]
+    gap = lambda p, q: max(p[0], q[0]) - min(p[2], q[2])
+    linked = [p for p in weak if any(role(p[1]) != role(q[1]) and gap(p, q) <= secrets.REACH for q in spans + weak)]
     name = lambda xs: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(xs))
     count = Counter(k for _, k, _ in spans)
     return count[0], count[1], count[2], hashlib.sha256(name(spans).encode()).hexdigest(), name(spans + linked)
@@ -774,7 +775,7 @@ def test_pipeline(spark, docs):
                 r["text"] = quality.judged(r["text"])[8]
         elif step == 1:
             rows = sorted((k, r["text"]) for k, r in plain.items())
-            plain = {k: plain[k] for k in {c for _, _, c in plain_near(rows)}}
+            plain = {k: plain[k] for _, k in plain_jaccard_classes(rows)}
         elif step == 2:
             hit = sum(bool(plain_secrets(r["text"])[4]) for r in plain.values())
             assert frame.filter(F.col("text").contains("[SECRET]")).count() == hit > 0
