@@ -9,6 +9,7 @@ from barlake.functions.numeric import fixed_text
 from barlake.operators.crosssection import (
     aligned_returns, correlations, first_per_group, group_summary, low_correlation_pairs, pair_moments, portfolio_statistics, ranked_pairs, simple_returns,
 )
+from barlake.operators.optimise import allocations, frontier, optimal_weights, portfolios
 from barlake.operators.weights import allocation, best, candidate_weights, efficient_frontier, with_sharpe
 from barlake.plans.indicator_queries import DAY
 from barlake.plans.registry import register
@@ -211,7 +212,7 @@ WEIGHTS = ", ".join(f"w{i}" for i in range(1, 6))
 for score, rank in (("sharpe", "by_sharpe"), ("volatility", "by_volatility")):
     title = "max_sharpe" if score == "sharpe" else "min_volatility"
     register(
-        f"{title}_portfolio",
+        f"{title}_portfolio_on_grid",
         lambda spark, folder, score=score: best(_candidates(spark, folder), "sector", by=score).selectExpr(
             "sector", *WEIGHTS.split(", "), *RESULT, f"bigint({' + '.join(f'int(coalesce(w{i}, 0D) > 0.01D)' for i in range(1, 6))}) AS num_positions"
         ),
@@ -221,7 +222,7 @@ for score, rank in (("sharpe", "by_sharpe"), ("volatility", "by_volatility")):
         ),
     )
 register(
-    "max_sharpe_allocation",
+    "max_sharpe_allocation_on_grid",
     lambda spark, folder: allocation(best(_candidates(spark, folder), "sector"), "sector"),
     with_(
         *_base(), MOMENTS, CANDIDATES_SQL,
@@ -231,7 +232,7 @@ register(
 )
 MEANS = ", ".join(f"m{i}" for i in range(1, 6))
 register(
-    "efficient_frontier",
+    "efficient_frontier_on_grid",
     lambda spark, folder: efficient_frontier(_candidates(spark, folder), "sector", points=POINTS).selectExpr("sector", "target", *RESULT).orderBy("sector", "expected_volatility"),
     with_(
         *_base(), MOMENTS, CANDIDATES_SQL,
@@ -241,3 +242,53 @@ picked AS (SELECT *, row_number() OVER (PARTITION BY sector, target ORDER BY {r(
         select=f"SELECT sector, target, {RESULT_SQL} FROM picked WHERE rank = 1",
     ),
 )
+
+
+def _descent(goal: str, sweeps: int = 400) -> list[str]:
+    """SQL of the same optimum by another way: least y'Cy / 2 - a'y with y >= 0, one coordinate after the other, scaled to sum 1."""
+    aim = "CAST(1 AS DOUBLE)" if goal == "volatility" else "x.mean_a * 252 - CAST(0.02 AS DOUBLE)"
+    return [
+        f"""own AS (SELECT sector, list(a ORDER BY a) AS names, list({aim} ORDER BY a) AS aim, list(x.mean_a * 252 ORDER BY a) AS gain,
+  list((x.mean_a * 252 - CAST(0.02 AS DOUBLE)) / sqrt(x.cov * 252) ORDER BY a) AS alone FROM moments x WHERE a = b GROUP BY sector)""",
+        """sides AS (SELECT sector, a, b, cov * 252 AS c FROM moments UNION ALL SELECT sector, b, a, cov * 252 FROM moments WHERE a <> b),
+matrix AS (SELECT sector, list(line ORDER BY a) AS c FROM (SELECT sector, a, list(c ORDER BY b) AS line FROM sides GROUP BY sector, a) GROUP BY sector)""",
+        f"""steps AS (SELECT sector, 0 AS t, list_transform(aim, lambda x: CAST(0 AS DOUBLE)) AS y FROM own
+UNION ALL SELECT s.sector, t + 1, list_transform(y, lambda x, j: CASE WHEN j = t % len(y) + 1
+  THEN greatest(0, (o.aim[j] - list_inner_product(m.c[j], y) + m.c[j][j] * x) / m.c[j][j]) ELSE x END)
+  FROM steps s JOIN own o ON o.sector = s.sector JOIN matrix m ON m.sector = s.sector WHERE t < {sweeps} * len(y))""",
+        f"""solved AS (SELECT sector, list_transform(y, lambda x, j: CASE WHEN list_sum(y) > 0 THEN x / list_sum(y) ELSE CAST(alone[j] = list_max(alone) AS DOUBLE) END) AS w
+  FROM steps JOIN own USING (sector) WHERE t = {sweeps} * len(y)),
+stats AS (SELECT sector, w, names, list_inner_product(w, gain) AS annual_return,
+  sqrt(list_inner_product(w, list_transform(c, lambda line: list_inner_product(line, w)))) AS volatility FROM solved JOIN own USING (sector) JOIN matrix USING (sector))""",
+    ]
+
+
+def _optimal(spark: SparkSession, folder: str, goal: str) -> DataFrame:
+    return optimal_weights(_moments(spark, folder), "sector", goal)
+
+
+for goal in ("sharpe", "volatility"):
+    register(
+        "max_sharpe_portfolio" if goal == "sharpe" else "min_volatility_portfolio",
+        lambda spark, folder, goal=goal: portfolios(_optimal(spark, folder, goal), "sector").selectExpr("sector", *RESULT, "num_positions"),
+        with_(
+            *_base(), MOMENTS, *_descent(goal),
+            select=f"""SELECT sector, {r('annual_return * 100', 2)} AS expected_return, {r('volatility * 100', 2)} AS expected_volatility,
+  {r('(annual_return - CAST(0.02 AS DOUBLE)) / volatility', 3)} AS sharpe_ratio, CAST(len(list_filter(w, lambda x: x > 0.01)) AS BIGINT) AS num_positions FROM stats""",
+        ),
+    )
+    register(
+        "max_sharpe_allocation" if goal == "sharpe" else "min_volatility_allocation",
+        lambda spark, folder, goal=goal: allocations(_optimal(spark, folder, goal), "sector"),
+        with_(
+            *_base(), MOMENTS, *_descent(goal),
+            select=f"""SELECT sector, instrument, {r('weight', 4)} AS weight, CAST({r('weight * 100', 0)} AS BIGINT) AS percent,
+  row_number() OVER (PARTITION BY sector ORDER BY {r('weight', 9)} DESC, instrument) AS place
+  FROM (SELECT sector, unnest(names) AS instrument, unnest(w) AS weight FROM stats) WHERE weight > 0.01""",
+        ),
+    )
+register(
+    "efficient_frontier",
+    lambda spark, folder: frontier(_moments(spark, folder), "sector", POINTS).selectExpr("sector", "spot", f"{fixed_text('target * 100D', 2)} AS target", *RESULT, "num_positions"),
+    None,
+)

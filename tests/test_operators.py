@@ -1,5 +1,6 @@
 """Cross-section, votes, alerts, portfolios, texts, companies, models."""
 
+import itertools
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from barlake.functions.company import rating
 from barlake.functions.numeric import clamp, fixed, magnitude
 from barlake.functions.text import hits, sentiment, words
 from barlake.functions.votes import combined_votes, majority
-from barlake.operators import companies, features, models, monitor, portfolio
+from barlake.operators import companies, features, models, monitor, optimise, portfolio
 from barlake.operators.crosssection import aligned_returns, correlations, low_correlation_pairs, pair_moments, portfolio_statistics
 from barlake.operators.series import index_rows
 from barlake.operators.weights import best, candidate_weights, with_sharpe
@@ -289,3 +290,101 @@ def test_account_goes_on_over_batches(spark):
             money, have = money - sign * shares * price, have + sign * shares
         cash[p], held[p, who] = money, have
         assert got[i] == (ok, have, money)
+
+
+# ---------------------------------------------------------------- weights of any size
+
+
+def asset_moments(rng, sizes, shift=0.0):
+    """Rows (grp, a, b, mean_a, cov) of random groups, with the arrays behind them."""
+    rows, known = [], {}
+    for g, k in sizes.items():
+        base = rng.normal(0, 0.02, (k + 30, k)) + rng.normal(0, 0.01, (k + 30, 1))
+        mean, cov = base.mean(axis=0) + shift, np.cov(base.T).reshape(k, k)
+        names = [f"{g}{i:04d}" for i in range(k)]
+        known[g] = names, mean * 252, cov * 252
+        rows += [(g, names[i], names[j], float(mean[i]), float(cov[i, j])) for i in range(k) for j in range(i, k)]
+    return rows, known
+
+
+def on_simplex(cov, gain, steps):
+    """Weights on a grid, all of them."""
+    k = len(gain)
+    cuts = itertools.combinations(range(steps + k - 1), k - 1)
+    return np.array([np.diff([-1, *c, steps + k - 1]) - 1 for c in cuts]) / steps
+
+
+@pytest.mark.parametrize("active", [4, 32])
+def test_optimal_weights_of_small_and_large_groups(spark, active):
+    """Groups of 1, 3, 5 and 40 in one run: no grid point is better, and no asset's price is below the solution's."""
+    rows, known = asset_moments(np.random.default_rng(3), {"a": 1, "b": 3, "c": 5, "d": 40})
+    moments = spark.createDataFrame(rows, "grp string, a string, b string, mean_a double, cov double")
+    for goal in ("volatility", "sharpe"):
+        found = {}
+        for r in optimise.optimal_weights(moments, "grp", goal, active=active).collect():
+            found.setdefault(r.grp, {})[r.instrument] = r
+        assert set(found) == set(known)
+        for g, (names, gain, cov) in known.items():
+            w = np.array([found[g][x].weight if x in found[g] else 0.0 for x in names])
+            one = next(iter(found[g].values()))
+            assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
+            assert np.isclose(one.annual_return, w @ gain) and np.isclose(one.volatility, np.sqrt(w @ cov @ w))
+            excess, slope = gain - 0.02, cov @ w
+            if goal == "volatility":
+                assert (slope >= w @ slope * (1 - 1e-6)).all()
+            elif (excess > 0).any():
+                assert (slope * (w @ excess) - excess * (w @ slope) >= -1e-8).all()
+            if len(names) in (3, 5):
+                grid = on_simplex(cov, gain, 20)
+                spread = np.sqrt(np.einsum("ij,jk,ik->i", grid, cov, grid))
+                best = spread.min() if goal == "volatility" else ((grid @ excess) / spread).max()
+                ours = one.volatility if goal == "volatility" else one.sharpe
+                assert ours <= best + 1e-9 if goal == "volatility" else ours >= best - 1e-9
+                assert abs(ours - best) < 0.02 * abs(best)
+
+
+def test_optimal_weights_where_nothing_earns(spark):
+    """No asset above the risk-free rate: the one with the least loss for its risk, also in groups that need pricing."""
+    rows, known = asset_moments(np.random.default_rng(4), {"a": 4, "b": 50}, shift=-0.02)
+    moments = spark.createDataFrame(rows, "grp string, a string, b string, mean_a double, cov double")
+    found = optimise.optimal_weights(moments, "grp", "sharpe", active=8).collect()
+    for g, (names, gain, cov) in known.items():
+        best = names[int(np.argmax((gain - 0.02) / np.sqrt(np.diag(cov))))]
+        assert [(r.instrument, r.weight) for r in found if r.grp == g] == [(best, 1.0)]
+
+
+@pytest.mark.parametrize("active", [4, 32])
+def test_frontier_against_a_grid(spark, active):
+    rows, known = asset_moments(np.random.default_rng(5), {"a": 2, "b": 4, "c": 20})
+    moments = spark.createDataFrame(rows, "grp string, a string, b string, mean_a double, cov double")
+    targets = {(r.grp, r.spot): r.target for r in optimise.frontier_targets(moments, "grp", 8).collect()}
+    weights = optimise.optimal_weights(moments, "grp", "target", targets=optimise.frontier_targets(moments, "grp", 8), active=active)
+    held = {}
+    for r in weights.collect():
+        held.setdefault((r.grp, r.spot), {})[r.instrument] = r
+    reached = {k for k, t in targets.items() if known[k[0]][1].min() <= t <= known[k[0]][1].max()}
+    assert set(held) == reached and reached != set(targets)
+    for (g, spot), found in held.items():
+        names, gain, cov = known[g]
+        w = np.array([found[x].weight if x in found else 0.0 for x in names])
+        assert abs(w.sum() - 1) < 1e-8 and abs(w @ gain - targets[g, spot]) < 1e-8
+        if g == "b":
+            grid = on_simplex(cov, gain, 60)
+            near = grid[np.abs(grid @ gain - targets[g, spot]) < 0.02 * np.ptp(gain)]
+            if len(near):
+                spread = np.sqrt(np.einsum("ij,jk,ik->i", near, cov, near))
+                assert next(iter(found.values())).volatility <= spread.min() * 1.03
+        if g == "c":  # the same from the small problem over all assets
+            low, high = int(np.argmin(gain)), int(np.argmax(gain))
+            start = np.zeros(len(gain))
+            start[high] = (targets[g, spot] - gain[low]) / (gain[high] - gain[low])
+            start[low] += 1 - start[high]
+            best, _ = optimise.least_variance(cov, np.stack([np.ones(len(gain)), gain]), np.array([1.0, targets[g, spot]]), start)
+            assert np.isclose(w @ cov @ w, best @ cov @ best, rtol=1e-6)
+
+
+def test_weights_of_no_group(spark):
+    none = spark.createDataFrame([], "grp string, a string, b string, mean_a double, cov double")
+    assert optimise.optimal_weights(none, "grp").count() == 0 and optimise.frontier(none, "grp").count() == 0
+    with pytest.raises(ValueError):
+        optimise.optimal_weights(none, "grp", "target")
