@@ -19,7 +19,7 @@ WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 MAX_LOSS = 0.5
 ENDS = tuple(".!?:;…。！？")
 CLOSERS = "\"')]»”’*_ \t\x0b\x0c\r"
-#: The same in further scripts; the SQL check, made for the sample's languages, knows only those above.
+#: The same in further scripts.
 FURTHER_ENDS = tuple("।॥؟۔؛።፧፨։။។៕།༎᠃᠉᱾᱿꯫꧉᭟෴߹׃．｡；：‼‽⁇⁈⁉")
 FURTHER_CLOSERS = "“‘›」』）】〉》］\u200b\u200c\u200d\u200e\u200f"
 #: Thai and Lao put no mark at the end: a paragraph mostly of these letters is prose from so many of them on.
@@ -198,25 +198,41 @@ def op1_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_op1() -> str:
-    """The same in SQL: words, windows and lines as rows."""
+    """The same in SQL: words, windows, lines and paragraphs as rows."""
     quoted = lambda xs: ", ".join("'" + x + "'" for x in sorted(xs))
-    ends, closers = "".join(ENDS), CLOSERS.replace("]", r"\]").replace("'", "''").replace("\t", r"\t").replace("\x0b", r"\x0B").replace("\x0c", r"\x0C").replace("\r", r"\r")
-    closed = f"[{ends}][{closers}]*$"
+    closers = CLOSERS.replace("]", r"\]").replace("'", "''").replace("\t", r"\t").replace("\x0b", r"\x0B").replace("\x0c", r"\x0C").replace("\r", r"\r")
+    closed = f"[{''.join(ENDS + FURTHER_ENDS)}][{closers}{FURTHER_CLOSERS}]*$"
     blank = r"[\x20\x09-\x0D]+"
+    space = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    opening = r"""["''(\[{«“‘„「『（—…¿¡]"""
     split = lambda x: f"list_filter(regexp_split_to_array({x}, '{blank}'), lambda x: x <> '')"
+    prose = lambda closes, n, ends, thai, chars: f"({closes} OR ({n} >= 20 AND 40 * {ends} >= {n}) OR ({thai} >= {MARKLESS_LETTERS} AND 2 * {thai} > {chars}))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, {split("t")} AS words FROM d),
 grams AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
 again AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM again) GROUP BY rid),
-lines AS (SELECT rid, k, line, {split("line")} AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
-filled AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({quoted(SEPARATORS)}))) AS separators,
+lines AS (SELECT rid, k, line, {split("line")} AS lw, regexp_replace(line, '^[> \t]+', '') AS bare, length(regexp_replace(line, '[{space}]+$', '')) AS wide
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
+told AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({quoted(SEPARATORS)}))) AS separators, length(array_to_string(lw, '')) AS chars,
   len(list_filter(lw, lambda x: lower(trim(x, '.,:;!?')) IN ({quoted(MENU)}))) AS menu, length(line) - length(regexp_replace(line, '[#*$%&|<>{{}}]', '', 'g')) AS marks,
-  len(list_filter(lw, lambda x: regexp_matches(x, '{closed}'))) AS ends, row_number() OVER (PARTITION BY rid, line ORDER BY k) > 1 AS copy FROM lines WHERE len(lw) > 0),
-judged AS (SELECT *, (separators >= 2 AND separators * 5 >= n) OR (n <= 10 AND 2 * menu > n) OR marks > n
-  OR (NOT regexp_matches(line, '{closed}') AND (n < 20 OR 40 * ends < n)) OR regexp_matches(line, '(?i){BOILERPLATE.pattern}') AS fails FROM filled),
-by_line AS (SELECT rid, count(*) FILTER (copy) AS doubled, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY rid),
+  len(list_filter(lw, lambda x: regexp_matches(x, '{closed}'))) AS ends, length(line) - length(regexp_replace(line, '{MARKLESS.pattern}', '', 'g')) AS thai,
+  regexp_matches(line, '{closed}') AS closes, regexp_matches(line, '(?i){BOILERPLATE.pattern}') AS boiler FROM lines),
+faulty AS (SELECT *, CASE WHEN n = 0 THEN '' WHEN (separators >= 2 AND separators * 5 >= n) OR (n <= 10 AND 2 * menu > n) THEN 'navigation' WHEN marks > n THEN 'marks'
+  WHEN NOT {prose("closes", "n", "ends", "thai", "chars")} THEN 'open' WHEN boiler THEN 'boilerplate' ELSE '' END AS fault FROM told),
+inner_ AS (SELECT *, CASE WHEN fault <> 'open' THEN fault WHEN boiler THEN 'boilerplate' ELSE '' END AS within FROM faulty),
+widths AS (SELECT rid, coalesce(max(wide) FILTER (wide <= {MAX_WIDTH}), 0) AS width FROM inner_ WHERE n > 0 GROUP BY rid),
+wraps AS (SELECT rid, any_value(width) AS width, count(*) FILTER (5 * wide > 4 * width AND wide <= width) >= 3 AS wrapped FROM inner_ JOIN widths USING (rid) WHERE n > 0 GROUP BY rid),
+following AS (SELECT i.*, width, wrapped, lead(n) OVER l AS n2, lead(bare) OVER l AS bare2, lead(within) OVER l AS within2 FROM inner_ i LEFT JOIN wraps USING (rid) WINDOW l AS (PARTITION BY rid ORDER BY k)),
+joined AS (SELECT *, coalesce(n > 0 AND n2 > 0 AND bare2 <> '' AND within NOT IN ('navigation', 'marks') AND within2 NOT IN ('navigation', 'marks')
+  AND NOT regexp_matches(bare2, '^(?:[-*•·–+][{space}]|[0-9]{{1,3}}[.)][{space}])') AND NOT (n < {OPEN_WORDS} AND length(line) < {OPEN_CHARS})
+  AND (regexp_matches(bare2, '^{opening}*[\p{{Ll}}\p{{Lo}}\p{{Lm}}]') OR (wrapped AND wide <= width AND width < wide + 1 + length(regexp_extract(bare2, '^[{space}]*([^{space}]+)', 1)))), false) AS goes_on FROM following),
+grouped AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS paragraph FROM joined),
+paragraphs AS (SELECT rid, paragraph, count(*) > 1 AND ({prose("arg_max(closes, k)", "arg_max(n, k)", "arg_max(ends, k)", "arg_max(thai, k)", "arg_max(chars, k)")}
+  OR {prose("false", "sum(n)", "sum(ends)", "sum(thai)", "sum(chars)")}) AS whole FROM grouped GROUP BY rid, paragraph),
+judged AS (SELECT g.*, CASE WHEN whole THEN within ELSE fault END <> '' AS fails, row_number() OVER (PARTITION BY g.rid, line ORDER BY k) > 1 AS copy FROM grouped g JOIN paragraphs p ON p.rid = g.rid AND p.paragraph = g.paragraph),
+by_line AS (SELECT rid, count(*) FILTER (copy AND n > 0) AS doubled, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(doubled, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM w LEFT JOIN repeated r USING (rid) LEFT JOIN by_line USING (rid)),

@@ -142,7 +142,7 @@ def check_op2() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 parts AS ({" UNION ALL ".join(parts)}),
-weak AS (SELECT * FROM parts p WHERE k >= 3 AND EXISTS (SELECT 1 FROM parts q WHERE q.rid = p.rid AND (q.k IN (0, 2, 4)) <> (p.k IN (0, 2, 4)) AND abs(q.s - p.s) <= {REACH})),
+weak AS (SELECT * FROM parts p WHERE k >= 3 AND EXISTS (SELECT 1 FROM parts q WHERE q.rid = p.rid AND (q.k IN (0, 2, 4)) <> (p.k IN (0, 2, 4)) AND greatest(q.s, p.s) - least(q.e, p.e) <= {REACH})),
 base AS (SELECT rid, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, {listed} AS spans FROM parts WHERE k < 3 GROUP BY rid),
 every AS (SELECT rid, {listed} AS spans FROM (SELECT * FROM parts WHERE k < 3 UNION ALL SELECT * FROM weak) GROUP BY rid)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans

@@ -765,6 +765,37 @@ def test_sql(spark, name):
     assert Counter(tuple(r) for r in ours.select(columns).collect()) == Counter(theirs[columns].itertuples(index=False, name=None))
 
 
+def test_sql_of_quality_knows_paragraphs_and_scripts():
+    """The SQL of op1 gives what the rules give for wrapped prose, lists, quotes and further scripts."""
+    texts = [text for _, text in ODD_ROWS]
+    for width in (40, 60, 72, 80):
+        wrapped = "\n\n".join(textwrap.fill(p, width) for p in LETTER)
+        texts += [wrapped, "\n".join("> " + x if x else "" for x in wrapped.split("\n")), f"Home | About\n\n{wrapped[:-40]}\n\nRelated Stories From Our Desk"]
+    texts += ["A Heading Of Five Words\nThe text begins here and it ends here. " + LETTER[1], "- first item of a list\n- second item of a list\n3. third item\n\n" + LETTER[1]]
+    texts += [HINDI, URDU, THAI, THAI + "\n" + textwrap.fill(HINDI, 40) + "\n" + URDU, "これは文です．\n「これは文です。」", "a line\u00a0\n\u3000goes on\n(and on.\n«et la fin"]
+    rng = random.Random(9)
+    bits = [*LETTER[0].split(), "Home", "|", "•", "\n", "\n", "\n", "- ", "1. ", "***", "cookie policy", ".", "?", "“", "भारत", "है।", "ก" * 20, "\u3000"]
+    texts += [" ".join(rng.choice(bits) for _ in range(rng.randrange(5, 120))).replace(" \n ", "\n") for _ in range(400)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, t in enumerate(texts)])
+    found = db.execute(f"SELECT doc_id, n_words, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words FROM ({quality.check_op1()}) ORDER BY doc_id").fetchall()
+    want = [quality.judged(t) for t in texts]
+    assert found == [(i, r[0], r[3], r[4], r[5], r[6], r[7]) for i, r in enumerate(want)]
+    plain = [sum(len(x.split()) for x in t.split("\n") if x.split() and quality.line_fault(x, x.split())) for t in texts[len(ODD_ROWS) : len(ODD_ROWS) + 12]]
+    assert any(a != r[7] for a, r in zip(plain, want[len(ODD_ROWS) :]))  # a rule by line alone would differ
+
+
+def test_sql_of_secrets_counts_between_parts():
+    """The SQL of op2 measures a scope from the end of a part to the start of the next."""
+    long = "aB3" * 200
+    texts = [f"secret={long} user=bob", f"user=bob {long}", f"secret={long}" + " " * 400 + "user=bob", f"secret={long}" + " " * 401 + "user=bob", f"https://a.b/{'x' * 900} {long}"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, t in enumerate(texts)])
+    assert [r[0] for r in db.execute(f"SELECT spans FROM ({secrets.check_op2()}) ORDER BY doc_id").fetchall()] == [plain_gaps(t) for t in texts]
+
+
 def test_pipeline(spark, docs):
     frame, plain = docs, {r.doc_id: r.asDict() for r in docs.collect()}
     for (name, stage), step in zip(corpus_pipeline.STAGES, range(5)):
