@@ -131,7 +131,7 @@ def test_asof_join(spark, direction):
     right = pd.DataFrame({"instrument": "A", "ts": day(rng.choice(400, 40, replace=False)), "v": rng.normal(size=40)})
     right = pd.concat([right, right.head(5).assign(instrument="B")])
     expected = pd.merge_asof(left.sort_values("ts"), right.sort_values("ts"), on="ts", by="instrument", direction=direction).sort_values("id")
-    got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), "v", direction=direction, bucket_seconds=10 * 86400).toPandas().sort_values("id")
+    got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), "v", direction=direction, partitions=6).toPandas().sort_values("id")
     np.testing.assert_allclose(got.v.to_numpy(float), expected.v.to_numpy(float))
 
 
@@ -179,3 +179,42 @@ def test_short_blocks_keep_the_memory_of_averages(spark):
     a, b = (indicators(bars, columns, block_rows=n).orderBy("ts").toPandas() for n in (64, 8192))
     for c in columns:
         np.testing.assert_allclose(a[c], b[c], rtol=1e-9, atol=1e-9)
+
+
+def plain_asof(left, right, direction):
+    """(id, value) by looking at every right row."""
+    out = {}
+    for i, key, at in left:
+        near = [(t, v) for k, t, v in right if k == key and v is not None and (t <= at if direction == "backward" else t >= at)]
+        best = (max if direction == "backward" else min)((t for t, _ in near), default=None)
+        out[i] = max((v for t, v in near if t == best), default=None)
+    return out
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_at_any_skew(spark, direction):
+    """One key holds most rows and one second holds most of those; repeated moments, null values, keys and times."""
+    rng = np.random.default_rng(7)
+    moment = lambda k: pd.Timestamp("2024-01-01") + pd.Timedelta(int(rng.integers(0, 1000 if k == "hot" else 10**9)), "us")
+    keys = lambda n: rng.choice(["hot", "a", "b", "only"], n, p=[0.85, 0.05, 0.05, 0.05]).tolist()
+    left = [(i, k, moment(k)) for i, k in enumerate(keys(600))]
+    right = [(k, moment(k), None if rng.random() < 0.1 else float(rng.integers(0, 50))) for k in keys(500) if k != "only"]
+    odd = [(1000, None, pd.Timestamp("2024-01-01")), (1001, "hot", None)]
+    names = "id long, instrument string, ts timestamp"
+    clean = [(i, k, t.to_pydatetime() if t is not None else None) for i, k, t in left + odd]
+    a = spark.createDataFrame(clean, names).withColumn("value", F.lit("mine")).drop("value")
+    b = spark.createDataFrame([(k, t.to_pydatetime(), v) for k, t, v in right], "instrument string, ts timestamp, value double")
+    out = asof_join(a, b, "value", direction=direction, partitions=7)
+    assert out.columns == ["id", "instrument", "ts", "value"]
+    got = {r.id: r.value for r in out.collect()}
+    assert got == plain_asof(left, right, direction) | {1000: None, 1001: None}
+
+
+def test_asof_spreads_one_moment_and_one_key(spark):
+    """All rows in one key and one day: the sorted parts are even, whole left rows are not in them."""
+    rows = spark.range(20_000).select(F.lit("one").alias("instrument"), F.timestamp_micros(F.col("id") * 1000).alias("ts"), F.col("id").cast("double").alias("value"))
+    wide = rows.select("instrument", "ts", F.repeat(F.lit("x"), 100).alias("text"))
+    out = asof_join(wide, rows.filter("value % 7 = 0"), "value", partitions=8)
+    assert out.filter("value IS NULL OR value != floor(unix_millis(ts) / 7) * 7").count() == 0 and out.count() == 20_000
+    empty = rows.limit(0)
+    assert asof_join(wide, empty, "value").filter("value IS NOT NULL").count() == 0 and asof_join(empty.drop("value"), rows, "value").count() == 0
