@@ -21,7 +21,7 @@ from barlake.plans.signal_queries import RECOMMEND, SIGNAL_SQL, SIX
 from barlake.plans.sqltext import day, filled, r, with_
 from barlake.session import work_dir
 from barlake.sources import bindings
-from barlake.streaming import live
+from barlake.streaming import alerts, live
 
 MINUTE = "date_format(ts, 'yyyy-MM-dd HH:mm') AS minute"
 
@@ -98,6 +98,42 @@ SELECT a.user_id, a.event_type AS instrument, CASE WHEN up = 1 THEN 'price_above
 FROM alerts a JOIN events e ON e.event_type = a.event_type AND ((up = 1 AND e.value > a.value) OR (up = 0 AND e.value < a.value)) GROUP BY a.user_id, a.event_type, up, a.value""",
 )
 
+
+def _mixed_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """One alert per user and event type: price or RSI, above or below, by the user's number."""
+    priced = _event_alerts(spark, folder).filter("up = 1 - user_id % 2")
+    rsi = F.expr("user_id % 4 >= 2")
+    return priced.select(
+        F.concat_ws("/", "user_id", "instrument").alias("id"), "instrument",
+        F.when(rsi, F.when(F.col("up") == 1, "rsi_above").otherwise("rsi_below")).otherwise(F.col("alert_type")).alias("alert_type"),
+        F.when(rsi, 40 + F.col("user_id") % 21).otherwise(F.col("value")).cast("double").alias("value"),
+    )
+
+
+def _live_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    path, checkpoint = _places(spark)
+    bars = live.live_bars(bindings.event_stream(spark, folder), "1 hour", "1 hour")
+    alerts.alert_run(alerts.fired_alerts(bars, _mixed_alerts(spark, folder)), path, checkpoint).awaitTermination()
+    return spark.read.schema(alerts.FIRED).parquet(path).selectExpr("instrument", "id", "alert_type", "value", MINUTE.replace("ts", "triggered_at"), *fx("triggered_value"))
+
+
+register(
+    "live_rsi_alerts",
+    _live_mixed,
+    f"""WITH means AS (SELECT event_type, avg(CAST(round(value * 100) AS BIGINT)) AS mean FROM events GROUP BY 1),
+alerts AS (SELECT user_id || '/' || event_type AS id, event_type AS instrument, (CASE WHEN user_id % 4 >= 2 THEN 'rsi' ELSE 'price' END) || (CASE WHEN user_id % 2 = 0 THEN '_above' ELSE '_below' END) AS alert_type,
+  CASE WHEN user_id % 4 >= 2 THEN CAST(40 + user_id % 21 AS DOUBLE) ELSE floor(mean * CASE WHEN user_id % 2 = 0 THEN CAST(2 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END) / 100 END AS value
+  FROM (SELECT DISTINCT event_type, user_id FROM events) JOIN means USING (event_type)),
+bars AS (SELECT event_type AS instrument, time_bucket(INTERVAL 1 HOUR, ts) AS ts, arg_max(value, ts) AS close FROM events GROUP BY 1, 2
+  HAVING time_bucket(INTERVAL 1 HOUR, events.ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)),
+moves AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY instrument ORDER BY ts), 0) AS move, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS pos FROM bars),
+sides AS (SELECT *, avg(greatest(move, 0)) OVER w AS up, avg(greatest(-move, 0)) OVER w AS down FROM moves WINDOW w AS (PARTITION BY instrument ORDER BY ts ROWS 13 PRECEDING)),
+scored AS (SELECT instrument, ts, close, CASE WHEN pos < 14 OR (up = 0 AND down = 0) THEN NULL WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi FROM sides),
+seen AS (SELECT a.*, ts, CASE WHEN alert_type LIKE 'rsi%' THEN rsi ELSE close END AS x FROM alerts a JOIN scored USING (instrument) WHERE a.value IS NOT NULL)
+SELECT instrument, id, alert_type, value, strftime(min(ts), '%Y-%m-%d %H:%M') AS minute, {r('arg_min(x, ts)')} AS triggered_value
+FROM seen WHERE (alert_type LIKE '%above' AND x > value) OR (alert_type LIKE '%below' AND x < value) GROUP BY instrument, id, alert_type, value""",
+)
+
 # ---- reports
 RES = [*m.BOOK, m.TOTALS.format(key="instrument")]
 

@@ -6,6 +6,7 @@ import shutil
 import tempfile
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from helpers import START, walk
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from barlake.operators.crosssection import simple_returns
 from barlake.plans.catalog import REGISTRY
 from barlake.sources import dimensions, files
-from barlake.streaming import live
+from barlake.streaming import alerts, live
 
 DATA = "/root/testdata/sf0.001"
 
@@ -167,3 +168,58 @@ def test_tick_order_by_time_and_loud_limits(spark):
     for bad in (("2001-01-01", 10**12, 1), ("2001-01-01", 1, 100)):
         with pytest.raises(Exception, match="tick order"):
             keyed(bad)
+
+
+# ---------------------------------------------------------------- live alerts on keyed state
+
+
+def plain_firings(closes, levels):
+    """(id, bar, value) of the first close or RSI beyond each level, by hand."""
+    rsi = []
+    for i in range(len(closes)):
+        moves = [0.0 if j == 0 else closes[j] - closes[j - 1] for j in range(i - 13, i + 1)] if i >= 13 else []
+        up, down = sum(max(m, 0) for m in moves) / 14, sum(max(-m, 0) for m in moves) / 14
+        rsi.append(None if not moves or up == down == 0 else 100.0 if down == 0 else 100 - 100 / (1 + up / down))
+    out = {}
+    for key, (kind, level, since) in levels.items():
+        line = rsi if kind.startswith("rsi") else closes
+        hits = [i for i, v in enumerate(line) if i >= since and v is not None and (v > level if kind.endswith("above") else v < level)]
+        if hits:
+            out[key] = hits[0], round(line[hits[0]], 6)
+    return out
+
+
+def test_live_rsi_alerts_over_restarts(spark, tmp_path):
+    """Three runs of one query, stopped between: firings as over the whole series, each once, with alerts that come and go on the way."""
+    rng = np.random.default_rng(11)
+    closes = {k: np.round(100 + np.cumsum(rng.normal(0, 2, 70)), 2).tolist() for k in ("A", "B")} | {"flat": [5.0] * 70}
+    levels = {k: {f"{k}-{kind}-{level}": (kind, level, 0) for kind, level in [("price_above", 104.0), ("price_below", 96.0), ("rsi_above", 60.0), ("rsi_above", 99.9), ("rsi_below", 40.0), ("other", 1.0)]} for k in closes}
+    rows = [(k, f"{k}-{kind}-{level}", kind, level) for k, own in levels.items() for kind, level, _ in own.values()]
+    first = spark.createDataFrame([*rows, ("A", "none", "price_above", None), (None, "lost", "price_above", 1.0)], "instrument string, id string, alert_type string, value double")
+    changes = {1: [("A", "late", "price_above", 0.0, "create"), ("B", "B-rsi_above-60.0", "rsi_above", 60.0, "remove"), ("B", "gone", "price_above", 0.0, "create"), ("B", "gone", None, None, "remove")], 2: [("flat", "last", "price_below", 6.0, "create")]}
+    cuts = [0, 9, 40, 70]
+    for run in range(3):
+        part = [(k, START + pd.Timedelta(i, "h"), c[i]) for k, c in closes.items() for i in range(cuts[run], cuts[run + 1])]
+        rng.shuffle(part)
+        part.append(("A", START + pd.Timedelta(cuts[run], "h"), None))
+        spark.createDataFrame([(k, pd.Timestamp(t).to_pydatetime(), None if c is None else float(c)) for k, t, c in part], "instrument string, ts timestamp, close double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
+        spark.createDataFrame(changes.get(run, []), "instrument string, id string, alert_type string, value double, action string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        bars = spark.readStream.schema("instrument string, ts timestamp, close double").parquet(f"{tmp_path}/bars")
+        events = spark.readStream.schema("instrument string, id string, alert_type string, value double, action string").parquet(f"{tmp_path}/events")
+        alerts.alert_run(alerts.fired_alerts(bars, first, events), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    levels["A"]["late"], levels["flat"]["last"] = ("price_above", 0.0, 9), ("price_below", 6.0, 40)
+    if plain_firings(closes["B"][:9], {"x": levels["B"]["B-rsi_above-60.0"]}) == {}:
+        del levels["B"]["B-rsi_above-60.0"]
+    want = {k: v for key, own in levels.items() for k, v in plain_firings(closes[key], own).items()}
+    fired = spark.read.schema(alerts.FIRED).parquet(f"{tmp_path}/out").collect()
+    got = {r.id: (int((pd.Timestamp(r.triggered_at) - START) / pd.Timedelta(1, "h")), round(r.triggered_value, 6)) for r in fired}
+    assert got == want and len(fired) == len(want) and len(want) > 8
+
+
+def test_rsi_of_parts_is_that_of_the_whole():
+    closes = np.round(50 + np.cumsum(np.random.default_rng(2).normal(0, 1, 60)), 2)
+    whole = alerts.rolling_rsi(closes, True)
+    assert np.isnan(whole[:13]).all() and not np.isnan(whole[13:]).any()
+    for cut in (14, 15, 30):
+        np.testing.assert_allclose(alerts.rolling_rsi(closes[cut - 14 :], False)[14:], whole[cut:])
+    assert np.isnan(alerts.rolling_rsi(np.full(20, 3.0), True)).all() and alerts.rolling_rsi(np.arange(20.0), True)[-1] == 100
