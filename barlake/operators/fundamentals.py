@@ -33,6 +33,8 @@ PERCENT = {
     "profit_margin", "gross_margin", "operating_margin", "roe", "roa", "revenue_growth", "earnings_growth", "dividend_yield", "payout_ratio",
 }
 TEXTS = {"ex_dividend_date", "recommendation"}
+#: Texts that are empty, not missing, where the source has none: they stay in the record.
+NEVER_MISSING = {"ex_dividend_date"}
 COMPARED = ("pe_ratio", "peg_ratio", "price_to_book", "ev_to_ebitda", "profit_margin", "roe", "revenue_growth")
 FIELDS = {field: source for group in GROUPS.values() for field, source in group.items()}
 
@@ -43,7 +45,7 @@ def fundamentals(info: DataFrame) -> DataFrame:
     have = set(info.columns)
     raw = lambda source: F.col(source) if source in have else F.lit(None)
     cell = lambda field, source: (
-        raw(source).cast("string") if field in TEXTS else fraction_to_percent(raw(source).cast("double")) if field in PERCENT else raw(source).cast("double")
+        F.coalesce(raw(source).cast("string"), F.lit("")) if field in NEVER_MISSING else raw(source).cast("string") if field in TEXTS else fraction_to_percent(raw(source).cast("double")) if field in PERCENT else raw(source).cast("double")
     )
     trailing = F.nullif(raw("trailingPE").cast("double"), F.lit(0.0))
     flat = info.select(
@@ -69,7 +71,7 @@ def grouped_record(flat: DataFrame) -> DataFrame:
     return flat.select("instrument", "name", "sector", "industry", *[group(g) for g in GROUPS], "score", "rating", "factors", "summary")
 
 
-def valuation_comparison(flat: DataFrame, instruments: Sequence[str]) -> DataFrame:
-    """Seven metrics of the named instruments; here the price-earnings ratio is the trailing one only."""
-    chosen = flat.filter(F.col("instrument").isin(*instruments))
+def valuation_comparison(flat: DataFrame, instruments: Sequence[str] | None = None) -> DataFrame:
+    """Seven metrics of the named instruments, or of all; here the price-earnings ratio is the trailing one only."""
+    chosen = flat if instruments is None else flat.filter(F.col("instrument").isin(*instruments))
     return chosen.select("instrument", *[(F.col("_trailing_pe") if c == "pe_ratio" else F.col(c)).alias(c) for c in COMPARED])

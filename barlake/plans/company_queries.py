@@ -74,7 +74,7 @@ register(
 def _record(spark: SparkSession, folder: str) -> DataFrame:
     record = fundamentals.grouped_record(_flat(spark, folder))
     show = lambda group: F.array_join(F.array_sort(F.transform(F.map_entries(group), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias(group)
-    return record.select("instrument", "name", "sector", "industry", show("valuation"), show("profitability"), show("financial_health"), show("analysts"), "rating")
+    return record.select("instrument", "name", "sector", "industry", show("valuation"), show("profitability"), show("financial_health"), show("per_share"), F.col("size").getItem("market_cap").cast("double").alias("market_cap"), F.size("size").alias("sizes"), show("dividends"), show("analysts"), "rating")
 
 
 def entry(key: str, x: str) -> str:
@@ -88,14 +88,18 @@ register(
         *INFO_SQL,
         select=f"""SELECT instrument, name, sector, coalesce(industry, 'N/A') AS industry, coalesce({entry('pe_ratio', r('pe_ratio', 2))}, '') AS valuation,
   concat_ws(';', {entry('profit_margin', 'profit_margin')}, {entry('revenue_growth', 'revenue_growth')}, {entry('roe', 'roe')}) AS profitability,
-  concat_ws(';', {entry('debt_to_equity', r('debt_to_equity', 2))}, {entry('total_cash', r('total_cash', 2))}) AS financial_health, 'recommendation=buy' AS analysts, rating FROM rated""",
+  concat_ws(';', {entry('debt_to_equity', r('debt_to_equity', 2))}, {entry('total_cash', r('total_cash', 2))}) AS financial_health, '' AS per_share,
+  {r('market_cap', 2)} AS market_cap, CAST(market_cap IS NOT NULL AS INTEGER) AS sizes, 'ex_dividend_date=' AS dividends, 'recommendation=buy' AS analysts, rating FROM rated""",
     ),
 )
-NAMED = ["NATION_1", "NATION_2", "NATION_3", "NATION_14"]
 register(
     "valuation_comparison",
-    lambda spark, folder: fundamentals.valuation_comparison(_flat(spark, folder), NAMED).select("instrument", fixed("pe_ratio", 5).alias("pe_ratio"), "profit_margin", "roe", "revenue_growth"),
-    with_(*INFO_SQL, select=f"SELECT instrument, {r('trailing_pe', 5)} AS pe_ratio, profit_margin, roe, revenue_growth FROM rated WHERE instrument IN ({', '.join(repr(n) for n in NAMED)})"),
+    lambda spark, folder: fundamentals.valuation_comparison(_flat(spark, folder)).withColumn("pe_ratio", fixed("pe_ratio", 5)),
+    with_(
+        *INFO_SQL,
+        select=f"""SELECT instrument, {r('trailing_pe', 5)} AS pe_ratio, CAST(NULL AS DOUBLE) AS peg_ratio, CAST(NULL AS DOUBLE) AS price_to_book, CAST(NULL AS DOUBLE) AS ev_to_ebitda,
+  profit_margin, roe, revenue_growth FROM rated""",
+    ),
 )
 
 

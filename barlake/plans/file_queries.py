@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from barlake.functions.numeric import fixed
 from barlake.operators.models import loss_curve
+from barlake.operators.news import clean_news, first_articles
+from barlake.plans import model_queries
 from barlake.plans.indicator_queries import DAY
 from barlake.plans.registry import register
 from barlake.plans.sqltext import PLACES, TICKS, bars, day, r, weekly, with_
-from barlake.plans.state_queries import ALERTS_SQL, ORDERS_SQL, PREDICTED
+from barlake.plans.state_queries import ALERTS_SQL, NEWS_SQL, ORDERS_SQL, PREDICTED
 from barlake.session import work_dir
 from barlake.sources import bindings, files
 from barlake.streaming import live
@@ -104,3 +106,50 @@ def _verification(spark: SparkSession, folder: str) -> DataFrame:
 
 
 register("verification_run", _verification, with_(*PREDICTED, select=f"SELECT id, instrument, signal, {r('return_pct', 2)} AS return_pct, CAST(correct AS BIGINT) AS correct FROM checked WHERE verified"))
+
+
+def _feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """News written as feeds and read again: the ten newest items of each source; every fifth has no link."""
+    path = _place(spark, "feeds")
+    items = bindings.news(spark, folder).select(
+        F.concat(F.lit("Article <"), "doc", F.lit("> & more")).alias("title"), F.col("instrument").alias("source"), F.date_format("published", "yyyy-MM-dd").alias("pubDate"),
+        F.when(F.col("doc") % 5 != 0, F.concat(F.lit("https://news.example/"), "doc")).alias("link"),
+    )
+    files.write_news_xml(items, path)
+    read = clean_news(files.read_news_xml(spark, path))
+    doc = F.regexp_extract("title", "[0-9]+", 0).cast("long")
+    rows = read.select(F.col("source").alias("instrument"), F.to_timestamp("date").alias("published"), doc.alias("doc"), "title", "url", "date")
+    return first_articles(rows, 10).select("instrument", F.col("place").cast("long").alias("place"), "title", "url", "date")
+
+
+register(
+    "news_from_feeds",
+    _feeds,
+    with_(
+        *NEWS_SQL[:2],
+        select="""SELECT instrument, place, 'Article <' || doc || '> & more' AS title, CASE WHEN doc % 5 <> 0 THEN 'https://news.example/' || doc ELSE '' END AS url, strftime(published, '%Y-%m-%d') AS date
+  FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY published DESC, doc) AS place FROM news) WHERE place <= 10""",
+    ),
+)
+
+
+def _listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Configurations of all instruments written as files; fields are missing for some, parameters are there for those that trained."""
+    path, trained = _place(spark, "configs"), model_queries._trained(spark, folder)
+    count = F.col("data_points")
+    known = trained.select(
+        "instrument", F.when(count % 2 == 0, F.lit(30)).alias("sequence_length"), F.when(count % 3 != 0, F.lit(2)).alias("n_features"), F.when(count % 5 == 0, F.lit("line")).alias("architecture")
+    )
+    files.write_training_configs(known, path)
+    return files.trained_models(spark, path, trained.filter("status = 'success'"))
+
+
+register(
+    "trained_model_listing",
+    _listing,
+    with_(
+        *model_queries.MODEL,
+        select="""SELECT instrument, CASE WHEN data_points % 5 = 0 THEN 'line' ELSE 'lstm_attention_v2' END AS architecture, CASE WHEN data_points % 3 <> 0 THEN 2 ELSE 0 END AS n_features,
+  CASE WHEN data_points % 2 = 0 THEN 30 ELSE 60 END AS sequence_length, message IS NULL AS has_model FROM trained""",
+    ),
+)

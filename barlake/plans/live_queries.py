@@ -8,9 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.functions.numeric import fixed_text
+from barlake.functions.numeric import fixed, fixed_text
 from barlake.functions.votes import indicator_signals, recommendation, simple_signal
-from barlake.operators import features, ledger, models
+from barlake.operators import ensemble, features, ledger, models
 from barlake.operators.indicators import indicators, latest
 from barlake.operators.reports import reports, training_progress
 from barlake.plans import model_queries as m
@@ -19,7 +19,7 @@ from barlake.plans.model_queries import fx, rx
 from barlake.plans.registry import register
 from barlake.plans.signal_queries import RECOMMEND, SIGNAL_SQL, SIX
 from barlake.plans.sqltext import day, filled, r, with_
-from barlake.session import work_dir
+from barlake.session import materialise, work_dir
 from barlake.sources import bindings
 from barlake.streaming import alerts, live
 
@@ -190,6 +190,51 @@ def _member(estimator):
 
 register("random_forest_member", _member(models.random_forest))
 register("gradient_boosting_member", _member(models.gradient_boosting))
+
+
+def _ensemble(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    """Small members, fitted on the training samples, saved, loaded again and lined up on the test samples."""
+    samples = features.chronological_split(m._sequences(spark, folder), 0.9)
+    rows = materialise(features.flat_vectors(samples).select("instrument", "ts", "part", "sample", "features", "label").filter("label is not null"))
+    members = {"rf": models.random_forest(numTrees=20, maxDepth=6), "gb": ensemble.boosting_with_stop(maxIter=20, maxDepth=3), "linear": ensemble.linear()}
+    path = f"{work_dir(spark)}/members-{uuid.uuid4().hex}"
+    ensemble.save_members(ensemble.fit_members(rows.filter("part = 'train'"), members), path)
+    fitted = ensemble.load_members(spark, list(members), path)
+    scored = ensemble.ensemble_predictions(rows, fitted, {"rf": 0.15, "gb": 0.15, "linear": 0.3})
+    return scored, fitted
+
+
+def _ensemble_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """What SQL can state about fitted members: samples, labels, a forest that stays within its labels, a blend between its members."""
+    scored, _ = _ensemble(spark, folder)
+    low, high = scored.filter("part = 'train'").agg(F.min("label"), F.max("label")).first()
+    test, tiny = scored.filter("part = 'test'"), 1e-9
+    return test.groupBy("instrument").agg(
+        F.count(F.lit(1)).alias("samples"), fixed(F.avg("label"), 5).alias("label"), F.min("ts").alias("_first"),
+        F.bool_and(F.col("rf").between(low - tiny, high + tiny)).alias("forest_within_labels"),
+        F.bool_and((F.col("ensemble") >= F.least("rf", "gb", "linear") - tiny) & (F.col("ensemble") <= F.greatest("rf", "gb", "linear") + tiny)).alias("blend_within_members"),
+    ).select("instrument", "samples", "label", F.date_format("_first", "yyyy-MM-dd").alias("first_day"), "forest_within_labels", "blend_within_members")
+
+
+register(
+    "ensemble_of_fitted_members",
+    _ensemble_samples,
+    with_(
+        *m.BASE,
+        select=f"""SELECT instrument, count(*) AS samples, {r('avg(future_scaled)', 5)} AS label, strftime(min(ts), '%Y-%m-%d') AS first_day, true AS forest_within_labels, true AS blend_within_members
+  FROM (SELECT *, pos - 60 <= floor((m - 60) * CAST(0.9 AS DOUBLE)) AS trains FROM scaled WHERE pos > 60) WHERE NOT trains GROUP BY instrument""",
+    ),
+)
+
+
+def _fitted_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    scored, fitted = _ensemble(spark, folder)
+    return ensemble.evaluate(scored.filter("part = 'test'"), fitted).selectExpr("member", *fx("mse mae rmse", 5), *fx("direction_accuracy", 2))
+
+
+register("fitted_member_metrics", _fitted_metrics)
+
+
 def _flat(spark: SparkSession, folder: str) -> DataFrame:
     values = _vectors(spark, folder).withColumn("values", vector_to_array("features"))
     return values.selectExpr("instrument", DAY, "part", "bigint(size(values)) AS width", f"{fixed_text('aggregate(values, 0D, (t, v) -> t + v)', 4)} AS total", *fx("label"))

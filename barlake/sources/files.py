@@ -50,6 +50,11 @@ def read_news_xml(spark: SparkSession, path: str) -> DataFrame:
     return items.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in (("title", "title"), ("source", "source"), ("pubDate", "date"), ("link", "url"))])
 
 
+def write_news_xml(news: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """RSS dumps of (title, source, pubDate, link): items in a channel, missing parts left out."""
+    news.select("title", "source", "pubDate", "link").write.mode(mode).format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+
+
 def record_frame(spark: SparkSession, record: Mapping[str, object]) -> DataFrame:
     """One row from a dictionary of scalars."""
     return spark.createDataFrame([tuple(record.values())], list(record))
@@ -91,6 +96,22 @@ def read_training_configs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def write_training_configs(configs: DataFrame, path: str, mode: str = "append") -> None:
+    """Configurations (instrument, and the fields of CONFIG that are known), one folder per model."""
+    configs.write.mode(mode).partitionBy("instrument").json(path)
+
+
+def trained_models(spark: SparkSession, path: str, models: DataFrame) -> DataFrame:
+    """Listing of all configured models, with defaults for missing fields; `has_model` where `models` has the instrument's parameters."""
+    raw = spark.read.schema(f"{CONFIG}, instrument string").json(path)
+    listed = raw.select(
+        "instrument", F.coalesce("architecture", F.lit("lstm_attention_v2")).alias("architecture"), F.coalesce("n_features", F.lit(0)).alias("n_features"),
+        F.coalesce("sequence_length", F.lit(60)).alias("sequence_length"),
+    )
+    stored = models.select("instrument").distinct().withColumn("has_model", F.lit(True))
+    return listed.join(stored, "instrument", "left").withColumn("has_model", F.coalesce("has_model", F.lit(False)))
+
+
 def read_training_histories(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.schema(HISTORY).option("multiLine", True).option("pathGlobFilter", "*_history.json").json(folder)
     return raw.select(_model_of_file("_history\\.json").alias("model"), "train_loss", "val_loss")

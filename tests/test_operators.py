@@ -13,7 +13,7 @@ from barlake.functions.company import rating
 from barlake.functions.numeric import clamp, fixed, magnitude
 from barlake.functions.text import hits, sentiment, words
 from barlake.functions.votes import combined_votes, majority
-from barlake.operators import companies, features, models, monitor, optimise, portfolio
+from barlake.operators import companies, ensemble, features, fundamentals, models, monitor, optimise, portfolio
 from barlake.operators.crosssection import aligned_returns, correlations, low_correlation_pairs, pair_moments, portfolio_statistics
 from barlake.operators.series import index_rows
 from barlake.operators.weights import best, candidate_weights, with_sharpe
@@ -388,3 +388,49 @@ def test_weights_of_no_group(spark):
     assert optimise.optimal_weights(none, "grp").count() == 0 and optimise.frontier(none, "grp").count() == 0
     with pytest.raises(ValueError):
         optimise.optimal_weights(none, "grp", "target")
+
+
+# ---------------------------------------------------------------- fitted members
+
+
+def test_fitted_members_line_up(spark, tmp_path):
+    """Members on one line of samples: each close to the truth, their blend between them, the same after saving and loading."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(k, i, Vectors.dense(x := rng.uniform(-1, 1, 3)), float(2 * x[0] - x[1])) for k in "ab" for i in range(1, 151)]
+    samples = spark.createDataFrame(rows, ["instrument", "sample", "features", "label"])
+    members = {"rf": models.random_forest(numTrees=10, maxDepth=5), "gb": ensemble.boosting_with_stop(maxIter=15, maxDepth=3), "linear": ensemble.linear(regParam=0.0)}
+    fitted = ensemble.fit_members(samples.filter("sample <= 120"), members)
+    ensemble.save_members(fitted, str(tmp_path))
+    loaded = ensemble.load_members(spark, list(members), str(tmp_path))
+    weights = {"rf": 0.15, "gb": 0.15, "linear": 0.3, "absent": 0.4}
+    test = samples.filter("sample > 120")
+    first = ensemble.ensemble_predictions(test, fitted, weights).orderBy("instrument", "sample").collect()
+    again = ensemble.ensemble_predictions(test, loaded, weights).orderBy("instrument", "sample").collect()
+    assert len(first) == 60 and [r.ensemble for r in first] == [r.ensemble for r in again]
+    for r in first:
+        assert abs(r.linear - r.label) < 1e-6 and abs(r.rf - r.label) < 1.5
+        assert np.isclose(r.ensemble, (0.15 * r.rf + 0.15 * r.gb + 0.3 * r.linear) / 0.6)
+    whole = ensemble.ensemble_predictions(test, fitted, weights, renormalise=False).first()
+    assert np.isclose(whole.ensemble, 0.15 * whole.rf + 0.15 * whole.gb + 0.3 * whole.linear)
+    scores = {r.member: r for r in ensemble.evaluate(ensemble.ensemble_predictions(test, fitted, weights), fitted).collect()}
+    assert set(scores) == {"rf", "gb", "linear", "ensemble"} and scores["linear"].mse < 1e-9 < scores["rf"].mse
+
+
+def test_boosting_stops_where_held_out_samples_get_no_better(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(2)
+    rows = [("a", i, Vectors.dense(rng.uniform(-1, 1, 2)), float(rng.normal())) for i in range(1, 201)]  # nothing to learn
+    samples = spark.createDataFrame(rows, ["instrument", "sample", "features", "label"])
+    stopped = ensemble.fit_members(samples, {"gb": ensemble.boosting_with_stop(maxIter=30, maxDepth=3)})["gb"]
+    assert stopped.getNumTrees < 30
+
+
+def test_record_keeps_the_empty_date(spark):
+    info = spark.createDataFrame([("A", 10.0, None), ("B", None, "2024-05-01")], "instrument string, trailingPE double, exDividendDate string")
+    got = {r.instrument: r.dividends for r in fundamentals.grouped_record(fundamentals.fundamentals(info)).collect()}
+    assert got == {"A": {"ex_dividend_date": ""}, "B": {"ex_dividend_date": "2024-05-01"}}
+    assert fundamentals.valuation_comparison(fundamentals.fundamentals(info)).count() == 2
+    assert fundamentals.valuation_comparison(fundamentals.fundamentals(info), ["B"]).count() == 1

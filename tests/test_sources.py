@@ -223,3 +223,14 @@ def test_rsi_of_parts_is_that_of_the_whole():
     for cut in (14, 15, 30):
         np.testing.assert_allclose(alerts.rolling_rsi(closes[cut - 14 :], False)[14:], whole[cut:])
     assert np.isnan(alerts.rolling_rsi(np.full(20, 3.0), True)).all() and alerts.rolling_rsi(np.arange(20.0), True)[-1] == 100
+
+
+def test_feeds_and_listing(spark, tmp_path):
+    items = spark.createDataFrame([("A <b> & \"c\"", "wire", "2024-01-02", None), (None, "wire", None, "https://x/1?a=1&b=2")], "title string, source string, pubDate string, link string")
+    files.write_news_xml(items, f"{tmp_path}/feed")
+    got = {tuple(r) for r in files.read_news_xml(spark, f"{tmp_path}/feed").collect()}
+    assert got == {('A <b> & "c"', "wire", "2024-01-02", ""), ("", "wire", "", "https://x/1?a=1&b=2")}
+    configs = spark.createDataFrame([("A", 30, None, "line"), ("B/C", None, 4, None)], "instrument string, sequence_length int, n_features int, architecture string")
+    files.write_training_configs(configs, f"{tmp_path}/configs")
+    listed = files.trained_models(spark, f"{tmp_path}/configs", spark.createDataFrame([("A",), ("A",), ("Z",)], "instrument string"))
+    assert {tuple(r) for r in listed.select("instrument", "architecture", "n_features", "sequence_length", "has_model").collect()} == {("A", "line", 0, 30, True), ("B/C", "lstm_attention_v2", 4, 60, False)}
