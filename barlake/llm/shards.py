@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm.common import table
+from barlake.session import work_dir
 
 SLOTS = 65_537  # prime, so that every step visits every slot
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
+#: Files that the query writes for each shard.
+FILES = 2
 
 
 def lookup_table(shards: Sequence[str], slots: int = SLOTS) -> list[int]:
@@ -60,12 +64,24 @@ def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS,
 
 
 def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:
-    """One folder per shard with up to `files` files each: slots, not shards, are dealt out, so that a large shard is many tasks."""
-    placed.repartition("shard", F.pmod(F.col("slot"), F.lit(files))).write.partitionBy("shard").mode("overwrite").parquet(path)
+    """One folder per shard with about `files` files each: rows are dealt to them in turn, so that a large shard, or one key
+    that most rows share, is many tasks."""
+    dealt = placed.withColumn("_file", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+    dealt.repartition("shard", "_file").drop("_file").write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, placed: DataFrame, shards: Sequence[str] | None = None) -> DataFrame:
+    """Rows as `write_shards` wrote them; of `shards` alone, whose folders only are read."""
+    rows = spark.read.schema(placed.schema).parquet(path)
+    return rows if shards is None else rows.filter(F.col("shard").isin(*shards))
 
 
 def op8_shard_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return place(table(spark, folder, "documents").select("doc_id"))
+    """Whole documents are placed and written to their shards; the result is read from there."""
+    placed = place(table(spark, folder, "documents"))
+    path = f"{work_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    write_shards(placed, path, FILES)
+    return read_shards(spark, path, placed).select("doc_id", "slot", "shard")
 
 
 def check_op8() -> str:
