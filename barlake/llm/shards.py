@@ -63,11 +63,13 @@ def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS,
     return rows.join(F.broadcast(owner), "slot", "left").select(*[F.col(f"`{c}`") for c in rows.columns], "shard")
 
 
-def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:
-    """One folder per shard with about `files` files each: rows are dealt to them in turn, so that a large shard, or one key
-    that most rows share, is many tasks."""
+def write_shards(placed: DataFrame, path: str, files: int = 1, tasks: int | None = None) -> None:
+    """One folder per shard with up to `files` files each: rows are dealt to them in turn, so that a large shard, or one key
+    that most rows share, can be many tasks. Without `tasks` Spark joins small ones, and their files with them."""
     dealt = placed.withColumn("_file", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
-    dealt.repartition("shard", "_file").drop("_file").write.partitionBy("shard").mode("overwrite").parquet(path)
+    keys = ("shard", "_file")
+    spread = dealt.repartition(tasks, *keys) if tasks else dealt.repartition(*keys)
+    spread.drop("_file").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, placed: DataFrame, shards: Sequence[str] | None = None) -> DataFrame:

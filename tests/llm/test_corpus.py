@@ -593,7 +593,7 @@ def test_written_shards(docs, tmp_path, spark):
     assert bag(shards.read_shards(spark, str(tmp_path / "out"), placed, ["b"]), "doc_id") == bag(placed.filter("shard = 'b'"), "doc_id")
     # one key that all rows share fills all files of its shard
     hot = shards.place(docs.withColumn("doc_id", F.lit(7)), shards=["a", "b", "c"], slots=11)
-    shards.write_shards(hot, str(tmp_path / "hot"), 4)
+    shards.write_shards(hot, str(tmp_path / "hot"), 4, 12)
     sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) > 1 and sum(sizes) == docs.count() and max(sizes) < docs.count()
 
