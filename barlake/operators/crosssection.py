@@ -163,14 +163,20 @@ def first_per_group(instruments: DataFrame, group: str, k: int) -> DataFrame:
     return instruments.withColumn("_rank", F.row_number().over(listed)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def low_correlation_pairs(moments: DataFrame, most: float = 0.3, k: int = 10) -> DataFrame:
-    """The k pairs with the smallest absolute correlation among those within `most`, tested before rounding."""
+def low_correlation_pairs(moments: DataFrame, most: float = 0.3, k: int = 10, group: str | None = None) -> DataFrame:
+    """The k pairs with the smallest absolute correlation among those within `most`, tested before rounding: of the
+    whole table, or with `group` the k of each group with their `place`."""
     size = F.abs("corr")
     found = moments.filter("a < b").filter(size <= most)
+    keys = [] if group is None else [group]
     tagged = found.select(
-        "a", "b", fixed("corr", 4).alias("correlation"), F.when(size < 0.1, "excellent").otherwise("good").alias("diversification")
+        *keys, "a", "b", fixed("corr", 4).alias("correlation"), F.when(size < 0.1, "excellent").otherwise("good").alias("diversification")
     )
-    return tagged.orderBy(F.abs("correlation"), "a", "b").limit(k)
+    order = (F.abs("correlation"), "a", "b")
+    if group is None:
+        return tagged.orderBy(*order).limit(k)
+    placed = tagged.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return placed.filter(F.col("place") <= k).select(group, F.col("place").cast("long").alias("place"), "a", "b", "correlation", "diversification").orderBy(group, "place")
 
 
 def portfolio_statistics(moments: DataFrame, weights: DataFrame, group: str, risk_free: float = 0.02) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.operators.features import SEQUENCE, min_max_scaled, with_target
-from barlake.operators.series import BLOCK_ROWS, own_block, running, with_blocks
+from barlake.operators.series import BLOCK_ROWS, index_rows, own_block, running, with_blocks
 
 # Least rows for training, and blend weights of the ensemble members.
 LEAST_BARS, LEAST_PREPARED, LEAST_SEQUENCES = 100, 80, 20
@@ -206,11 +206,24 @@ def walk_forward_summary(folds: DataFrame, tests: DataFrame, by: Sequence[str] =
     return totals.join(held, list(by)).withColumn("outperformance", F.col("total_return") - F.col("buy_and_hold_return"))
 
 
-def loss_curve(history: DataFrame, patience: int = 15) -> DataFrame:
+def loss_curve(epochs: DataFrame, patience: int = 15, by: Sequence[str] = ("model",)) -> DataFrame:
     """Per model: epochs, best and last validation loss, the best epoch, and the epoch at which training had to stop
-    (`patience` epochs without a new best), from columns model and val_loss (array)."""
-    after = f"filter(sequence(1, size(val_loss)), e -> e - array_position(slice(val_loss, 1, e), array_min(slice(val_loss, 1, e))) >= {patience})"
-    return history.selectExpr(
-        "model", "size(val_loss) AS epochs", "array_min(val_loss) AS best_loss", "int(array_position(val_loss, array_min(val_loss))) AS best_epoch",
-        "element_at(val_loss, -1) AS last_loss", f"try_element_at({after}, 1) AS stop_epoch",
-    )
+    (`patience` epochs without a new best), from one row per epoch (keys, epoch, val_loss). Epochs without a loss are left out.
+
+    The lowest loss so far and the epoch that set it are running values over blocks of epochs, so the work grows with the
+    epochs and a curve of any length is spread over tasks.
+    """
+    rows = index_rows(epochs.filter("val_loss IS NOT NULL").select(*by, F.col("epoch").cast("long").alias("epoch"), "val_loss"), by, ("epoch",), F.floor(F.col("epoch") / BLOCK_ROWS))
+    placed = running(rows.withColumn("block", own_block()), by, {"_low": ("min", F.col("val_loss"))}, before={"_was": "_low"})
+    fresh = F.col("_was").isNull() | (F.col("val_loss") < F.col("_was"))
+    since = running(placed.withColumn("_set", F.when(fresh, F.col("pos"))).drop("_low", "_was"), by, {"_best_at": ("last", F.col("_set"))})
+    waited = F.col("pos") - F.col("_best_at")
+    return since.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("epochs"), F.min("val_loss").alias("best_loss"), F.max("_best_at").alias("best_epoch"),
+        F.max_by("val_loss", "pos").alias("last_loss"), F.min(F.when(waited >= patience, F.col("pos"))).alias("stop_epoch"),
+    )
+
+
+def epochs_of(history: DataFrame, key: str = "model") -> DataFrame:
+    """One row per epoch (key, epoch, val_loss) from curves that files hold as arrays."""
+    return history.select(key, F.posexplode("val_loss").alias("epoch", "val_loss"))

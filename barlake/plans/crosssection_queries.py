@@ -145,6 +145,17 @@ register(
     ),
 )
 
+register(
+    "uncorrelated_pairs_of_sectors",
+    lambda spark, folder: low_correlation_pairs(_moments(spark, folder), 0.3, 3, "sector"),
+    with_(
+        *_base(), MOMENTS,
+        select=f"""SELECT sector, place, a, b, correlation, diversification FROM (SELECT sector, a, b, {r('corr', 4)} AS correlation,
+    CASE WHEN abs(corr) < CAST(0.1 AS DOUBLE) THEN 'excellent' ELSE 'good' END AS diversification, row_number() OVER (PARTITION BY sector ORDER BY abs({r('corr', 4)}), a, b) AS place
+  FROM moments WHERE a < b AND abs(corr) <= CAST(0.3 AS DOUBLE)) WHERE place <= 3""",
+    ),
+)
+
 
 def _equal_weights(moments: DataFrame) -> DataFrame:
     own = moments.filter("a = b").select("sector", F.col("a").alias("instrument"))

@@ -80,9 +80,8 @@ since AS (SELECT *, epoch - (SELECT min(c.epoch) FROM curves c WHERE c.model = r
 
 
 def _curves(spark: SparkSession, folder: str) -> DataFrame:
-    daily = bindings.table(spark, folder, "events").groupBy(F.col("event_type").alias("model"), F.to_date("ts").alias("day")).agg(F.max("value").alias("loss"))
-    history = daily.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "loss"))), lambda x: x["loss"]).alias("val_loss"))
-    return loss_curve(history, 5).select("model", F.col("epochs").cast("long").alias("epochs"), "best_loss", F.col("best_epoch").cast("long").alias("best_epoch"), "last_loss", F.col("stop_epoch").cast("long").alias("stop_epoch"))
+    daily = bindings.table(spark, folder, "events").groupBy(F.col("event_type").alias("model"), F.to_date("ts").alias("day")).agg(F.max("value").alias("val_loss"))
+    return loss_curve(daily.withColumn("epoch", F.unix_date("day")), 5)
 
 
 register(

@@ -249,7 +249,7 @@ def test_any_model_walks_forward_and_predicts(spark):
 def test_loss_curve(spark):
     curve = [5.0, 4.0, 4.5, 3.0] + [3.5] * 20
     history = spark.createDataFrame([("a", curve), ("b", [3.0, 2.0, 1.0])], "model string, val_loss array<double>")
-    got = {r.model: r for r in models.loss_curve(history).collect()}
+    got = {r.model: r for r in models.loss_curve(models.epochs_of(history)).collect()}
     assert (got["a"].best_epoch, got["a"].stop_epoch, got["a"].epochs) == (4, 19, 24)
     assert got["b"].stop_epoch is None and got["b"].last_loss == 1.0
 
@@ -434,3 +434,28 @@ def test_record_keeps_the_empty_date(spark):
     assert got == {"A": {"ex_dividend_date": ""}, "B": {"ex_dividend_date": "2024-05-01"}}
     assert fundamentals.valuation_comparison(fundamentals.fundamentals(info)).count() == 2
     assert fundamentals.valuation_comparison(fundamentals.fundamentals(info), ["B"]).count() == 1
+
+
+def test_loss_curve_over_blocks(spark):
+    """A curve longer than a block, with ties and lost epochs, against a plain pass."""
+    rng = np.random.default_rng(8)
+    losses = np.round(np.maximum(1.0, 40 - np.arange(20_000) / 300) + rng.integers(0, 5, 20_000) / 2, 2).tolist()
+    rows = [("a", i, v) for i, v in enumerate(losses)] + [("a", 30_000, None), ("b", 5, 2.0), ("b", 9, 2.0)]
+    best, at, stop = None, 0, None
+    for i, v in enumerate(losses, 1):
+        if best is None or v < best:
+            best, at = v, i
+        elif stop is None and i - at >= 40:
+            stop = i
+    got = {r.model: r for r in models.loss_curve(spark.createDataFrame(rows, "model string, epoch int, val_loss double"), 40).collect()}
+    assert tuple(got["a"])[1:] == (20_000, best, at, losses[-1], stop) and tuple(got["b"])[1:] == (2, 2.0, 1, 2.0, None)
+
+
+def test_low_correlation_pairs_of_each_group(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, f"{g}{i}", f"{g}{j}", float(np.round(rng.uniform(-1, 1), 3)), 50) for g in "xy" for i in range(9) for j in range(i, 9)]
+    moments = spark.createDataFrame(rows, "grp string, a string, b string, corr double, n long")
+    got = [tuple(r) for r in low_correlation_pairs(moments, 0.4, 4, "grp").collect()]
+    for g in "xy":
+        want = sorted((abs(c), a, b) for h, a, b, c, _ in rows if h == g and a != b and abs(c) <= 0.4)[:4]
+        assert [(k, a, b) for h, k, a, b, *_ in got if h == g] == [(i + 1, a, b) for i, (_, a, b) in enumerate(want)]
