@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barlake.functions.numeric import fixed
 from barlake.operators.models import loss_curve
 from barlake.operators.news import clean_news, first_articles
+from barlake.operators.periods import MONTHS
 from barlake.plans import model_queries
 from barlake.plans.indicator_queries import DAY
 from barlake.plans.registry import register
@@ -152,3 +153,21 @@ register(
   CASE WHEN data_points % 2 = 0 THEN 30 ELSE 60 END AS sequence_length, message IS NULL AS has_model FROM trained""",
     ),
 )
+
+
+def _stored_period(spark: SparkSession, folder: str) -> DataFrame:
+    path, daily = _place(spark, "bars-period"), bindings.bars(spark, folder, "day").drop("sector")
+    files.write_bars(daily, path)
+    files.write_extents(daily, path)
+    return files.read_period(spark, path, MONTHS["1y"]).selectExpr("instrument", DAY, *BAR)
+
+
+register(
+    "stored_bars_of_last_year",
+    _stored_period,
+    with_(
+        PLACES, TICKS, bars("day"),
+        select=f"""SELECT instrument, {day()} AS day, {', '.join(BAR)} FROM bars JOIN (SELECT instrument, max(ts) AS last_ts FROM bars GROUP BY instrument) USING (instrument)
+  WHERE ts >= last_ts - INTERVAL 12 MONTH""",
+    ),
+)

@@ -37,6 +37,33 @@ def read_bars(spark: SparkSession, path: str, since: str | None = None, until: s
     return bars.drop(MONTH)
 
 
+def write_extents(bars: DataFrame, path: str, mode: str = "append") -> None:
+    """Beside a bar store: the first and last time of every instrument in what is written, a few bytes each."""
+    bars.groupBy("instrument").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).write.mode(mode).parquet(f"{path}-extents")
+
+
+def read_extents(spark: SparkSession, path: str) -> DataFrame:
+    """(instrument, first_ts, last_ts) over all writes to a store."""
+    parts = spark.read.schema("instrument string, first_ts timestamp, last_ts timestamp").parquet(f"{path}-extents")
+    return parts.groupBy("instrument").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def read_period(spark: SparkSession, path: str, months: int, form: str = "parquet") -> DataFrame:
+    """Bars of the last `months` months of every instrument, counted back from its own latest bar.
+
+    The extents, not the bars, say where a period begins. They name the months of each instrument; folders of months that no
+    instrument needs are not read (the driver sees the months, not the instruments).
+    """
+    begin = F.col("last_ts") - F.make_ym_interval(F.lit(0), F.lit(months))
+    wanted = read_extents(spark, path).select("instrument", begin.alias("_begin"), "last_ts").withColumn(
+        MONTH, F.explode(F.transform(F.sequence(F.trunc("_begin", "month"), F.trunc("last_ts", "month"), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM")))
+    )
+    reader = spark.read.schema(f"{BARS}, {MONTH} string")
+    bars = reader.option("header", True).csv(path) if form == "csv" else reader.format(form).load(path)
+    needed = [r[0] for r in wanted.select(MONTH).distinct().collect()]  # as many as the calendar has
+    return bars.filter(F.col(MONTH).isin(needed)).join(wanted.drop("last_ts"), [MONTH, "instrument"]).filter(F.col("ts") >= F.col("_begin")).drop(MONTH, "_begin")
+
+
 def bars_of(bars: DataFrame, instruments: Sequence[str] | DataFrame) -> DataFrame:
     """Bars of the named instruments: a list becomes a filter that reaches the scan, a frame a semi join."""
     if isinstance(instruments, DataFrame):

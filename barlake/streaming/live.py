@@ -56,11 +56,43 @@ def to_batches(
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
-def newest_of(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """State of an update-mode query: the row of the latest batch for each key."""
-    rows = spark.read.parquet(path)
+def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> int:
+    """Write the state after all batches so far as one snapshot beside them; the last batch in it.
+
+    Readers take the newest whole snapshot and the batches behind it, so they read as much as the state holds, however many batches
+    there were. The folders of earlier batches stay; whoever owns them may remove them. A snapshot that was not written to its end
+    has no success mark and is not read.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    _newest(_since(spark, path), keys).write.mode("overwrite").parquet(f"{path}-snapshots/upto={last}")
+    return last
+
+
+def _snapshot(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest whole snapshot."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}-snapshots")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "upto=*/_SUCCESS")) or []
+    return max((int(m.getPath().getParent().getName().split("=")[1]) for m in marks), default=None)
+
+
+def _since(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest snapshot and of the batches behind it."""
+    rows, upto = spark.read.parquet(path), _snapshot(spark, path)
+    if upto is None:
+        return rows
+    kept = spark.read.schema(rows.schema).parquet(f"{path}-snapshots/upto={upto}")
+    return kept.unionByName(rows.filter(F.col("batch") > upto))
+
+
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "batch")
+    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+
+
+def newest_of(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """State of an update-mode query: the row of the latest batch for each key, from the newest snapshot on."""
+    return _newest(_since(spark, path), keys).drop("batch")
 
 
 def watchlist_updates(watched: DataFrame) -> Callable[[DataFrame], DataFrame]:

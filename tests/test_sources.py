@@ -234,3 +234,36 @@ def test_feeds_and_listing(spark, tmp_path):
     files.write_training_configs(configs, f"{tmp_path}/configs")
     listed = files.trained_models(spark, f"{tmp_path}/configs", spark.createDataFrame([("A",), ("A",), ("Z",)], "instrument string"))
     assert {tuple(r) for r in listed.select("instrument", "architecture", "n_features", "sequence_length", "has_model").collect()} == {("A", "line", 0, 30, True), ("B/C", "lstm_attention_v2", 4, 60, False)}
+
+
+def test_period_of_a_store_reads_its_months(spark, tmp_path):
+    """Two writes; each instrument's year ends at its own last bar, and only month folders of those years are scanned."""
+    path = f"{tmp_path}/bars"
+    early, late = walk("A", 900), walk("B", 400)
+    for part in (early.iloc[:500], pd.concat([early.iloc[500:], late])):
+        frame = spark.createDataFrame(part)
+        files.write_bars(frame, path)
+        files.write_extents(frame, path)
+    got = files.read_period(spark, path, 12).toPandas().sort_values(["instrument", "ts"])
+    want = pd.concat([b[b.ts >= b.ts.max() - pd.DateOffset(months=12)] for b in (early, late)])
+    assert got[["instrument", "ts", "close"]].values.tolist() == want[["instrument", "ts", "close"]].values.tolist()
+    months = {m[:7] for m in want.ts.astype(str)}
+    plan = files.read_period(spark, path, 12)._jdf.queryExecution().executedPlan().toString()
+    every = set(pd.concat([early, late]).ts.dt.strftime("%Y-%m"))
+    assert "PartitionFilters" in plan and {m for m in every if m in plan} == months < every
+
+
+def test_snapshots_of_live_output(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    write = lambda n, rows: spark.createDataFrame(rows, "instrument string, price double").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    state = lambda: {r.instrument: r.price for r in live.newest_of(spark, path, ["instrument"]).collect()}
+    for n in range(12):
+        write(n, [("all", float(n)), (f"only{n}", 1.0)])
+    before = state()
+    assert live.compact(spark, path, ["instrument"]) == 11 and state() == before and len(before) == 13
+    read = {f.split("/out")[1].split("/")[0] for f in (r[0] for r in live._since(spark, path).select(F.input_file_name()).distinct().collect())}
+    assert read == {"-snapshots"}
+    write(12, [("all", 99.0)])
+    assert state() == before | {"all": 99.0}
+    (tmp_path / "out-snapshots" / "upto=12").mkdir()  # a snapshot that was broken off
+    assert state() == before | {"all": 99.0} and live.compact(spark, path, ["instrument"]) == 12 and state() == before | {"all": 99.0}
