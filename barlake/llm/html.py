@@ -65,22 +65,72 @@ MAX_DEPTH = 512
 _ESCAPES = re.compile("[\ud800-\udfff\x00]")
 
 
-def _declared(style: str) -> dict[str, str]:
-    """The values that hold of `VALUES`' properties: of the important declarations, else of all, the last known one."""
-    found: dict[str, str] = {}
-    strong: set[str] = set()
-    for declaration in _NO_DECLARATION.sub(" ", unescape(style).lower()).split(";"):
+def _declarations(style: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the known declarations of `VALUES`' properties, in order."""
+    found = []
+    for declaration in _NO_DECLARATION.sub(" ", style.lower()).split(";"):
         name, _, value = declaration.partition(":")
         name, m = name.strip(), _VALUE.fullmatch(value.strip())
-        if m is None or name not in VALUES or (name in strong and not m[2]):
-            continue
-        if m[1] in VALUES[name] or (name == "display" and " " in m[1] and "none" not in m[1].split()):
-            found[name] = m[1]
-            if m[2]:
-                strong.add(name)
+        if m is not None and name in VALUES and (m[1] in VALUES[name] or (name == "display" and " " in m[1] and "none" not in m[1].split())):
+            found.append((name, m[1], bool(m[2])))
     return found
 
 
+#: A simple selector: a tag, classes and ids of one element. Others (of several elements, attributes, states) are not followed.
+_SIMPLE = re.compile(r"(?:([a-zA-Z][a-zA-Z0-9-]*)|\*)?((?:[.#][\w-]+)*)")
+_SCREEN = re.compile(r"(?:only )?(?:screen|all)")
+
+
+class _Sheet:
+    """Rules of a page's <style> elements that say whether and how text is shown."""
+
+    def __init__(self):
+        self.by: dict[str, list[tuple]] = {}
+        self.made = 0
+
+    def add(self, css: str) -> None:
+        """Rules for any screen; blocks for other media or under a condition are left out, with all in them."""
+        css, at = re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", " ", css, flags=re.S), 0
+        while (start := css.find("{", at)) >= 0:
+            prelude = css[at:start].rpartition(";")[2].strip()
+            depth, stop = 1, start + 1
+            while depth and (m := re.compile("[{}]").search(css, stop)):
+                depth, stop = depth + (1 if m[0] == "{" else -1), m.end()
+            body = css[start + 1 : stop - 1 if not depth else len(css)]
+            at = stop if not depth else len(css)
+            if prelude[:6].lower() == "@media":
+                if any(_SCREEN.fullmatch(q.strip()) for q in prelude[6:].lower().split(",")):
+                    self.add(body)
+            elif not prelude.startswith("@") and (declared := _declarations(body)):
+                for selector in prelude.split(","):
+                    self._rule(selector.strip(), declared)
+
+    def _rule(self, selector: str, declared: list[tuple[str, str, bool]]) -> None:
+        m = _SIMPLE.fullmatch(selector)
+        if m is None or not selector:
+            return
+        parts = re.findall(r"([.#])([\w-]+)", m[2])
+        classes, ids = {x for k, x in parts if k == "."}, {x for k, x in parts if k == "#"}
+        tag = (m[1] or "").lower()
+        weight = sum(k == "#" for k, _ in parts), sum(k == "." for k, _ in parts), bool(tag)
+        key = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag or "*"
+        self.made += 1
+        self.by.setdefault(key, []).append((tag, classes, ids, (*weight, self.made), declared))
+
+    def style(self, tag: str, own: dict[str, str]) -> dict[str, str]:
+        """The values that hold for an element: important before others, its own style before rules, then by weight and order."""
+        found: list[tuple] = []
+        if self.by:
+            classes, ids = set(unescape(own.get("class", "")).split()), {unescape(own.get("id", ""))}
+            for key in (*[f".{c}" for c in classes], *[f"#{i}" for i in ids], tag, "*"):
+                for need, some, named, weight, declared in self.by.get(key, ()):
+                    if need in ("", tag) and some <= classes and named <= ids:
+                        found += [(important, False, weight, i, name, value) for i, (name, value, important) in enumerate(declared)]
+        if "style" in own:
+            found += [(important, True, (), i, name, value) for i, (name, value, important) in enumerate(_declarations(unescape(own["style"])))]
+        return {name: value for *_, name, value in sorted(found)}
+
+
 class _Out:
     """Text of a page or a table cell: collapses blanks and puts line feeds between blocks when the next text comes."""
 
@@ -182,7 +232,8 @@ def _laid_out(grid: _Table) -> str:
 class _Page:
     """Tree builder and renderer in one: a stack of open elements, and one of outputs, of which each open table cell is one."""
 
-    def __init__(self):
+    def __init__(self, sheet: _Sheet | None = None):
+        self.sheet = sheet or _Sheet()
         self.stack: list[_Element] = [_Element("html", None)]
         self.outs = [_Out()]
         self.tables: list[_Table] = []
@@ -248,7 +299,7 @@ class _Page:
             self._pop_to(len(self.stack) - 1)
         above, e = self.stack[-1], _Element(tag, self.stack[-1])
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes and not attributes.isspace() else {}
-        style = _declared(own["style"]) if "style" in own else {}
+        style = self.sheet.style(tag, own) if self.sheet.by or "style" in own else {}
         display = style.get("display", "revert")
         # a display of its own shows what the hidden attribute or a closed dialog would hide
         hides = ("hidden" in own and own["hidden"].lower() != "until-found") or (tag == "dialog" and "open" not in own)
@@ -363,8 +414,17 @@ class _Page:
 
 
 def render(html: str | None) -> str:
-    """The visible text of a page; null and empty pages give the empty text. Broken markup is read as browsers do: missing tags are implied, stray ones dropped."""
-    page, html = _Page(), html or ""
+    """The visible text of a page; null and empty pages give the empty text. Broken markup is read as browsers do: missing tags are implied, stray ones dropped.
+
+    Rules of <style> elements hold for the whole page, so a page that has any which matter here is read twice.
+    """
+    text, sheet = _rendered(html or "", None)
+    return _rendered(html or "", sheet)[0] if sheet.by else text
+
+
+def _rendered(html: str, sheet: _Sheet | None) -> tuple[str, _Sheet]:
+    """Text of the page under the rules of `sheet`, and the rules that its own <style> elements hold."""
+    page, rules = _Page(sheet), _Sheet()
     at, end, tag_of, lowered = 0, len(html), _TAG, None
     while at < end:
         lt = html.find("<", at)
@@ -406,10 +466,15 @@ def render(html: str | None) -> str:
             stop = lowered.find(f"</{tag}", at)
             if tag == "textarea":
                 page.text(html[at : end if stop < 0 else stop])
+            elif tag == "style" and sheet is None:
+                own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+                media, kind = own.get("media", "").strip().lower(), own.get("type", "").strip().lower()
+                if kind in ("", "text/css") and (not media or any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))):
+                    rules.add(html[at : end if stop < 0 else stop])
             page.close(tag)
             stop = end if stop < 0 else html.find(">", stop)
             at = end if stop < 0 else stop + 1
-    return page.end()
+    return page.end(), rules
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -765,6 +765,29 @@ def test_styles_that_hide(style):
     assert html.render('<p style="white-space:pre;white-space:normal">a  b</p>') == "a b"
 
 
+SHEETS = {
+    "<style>.x{display:none}</style><p class='a x'>hidden</p><p>shown": "shown",
+    "<p id=n>hidden</p>a<style>/* . */ #n, .y { color:red; DISPLAY : none !important }</style><b class=y style='display:block'>b</b>": "a",
+    "<style>p.x{visibility:hidden} p{visibility:visible}</style><p class=x>a<b style='visibility:visible'>b</b></p><p>c</p>": "b\n\nc",
+    "<style>.x{display:none}#s{display:block}</style><i class=x id=s>a</i><i class=X>b</i><i class=x style='display:inline'>c</i>": "abc",
+    "<style>.x{display:block}.x{display:none}</style><i class=x>a</i>b": "b",
+    "<style media=print>p{display:none}</style><style>@media print{p{display:none}}@media (max-width:9px){p{display:none}}@font-face{src:url(x)}</style><p>a": "a",
+    "<style>@import 'x.css'; @media screen, print { .x { display: none } }</style><b class=x>a</b>b": "b",
+    "<style>div p{display:none} p:hover{display:none} a[href]{display:none} p>b{display:none}</style><div><p><a href=x>a</a><b>b</b>": "ab",
+    "<style>.pre{white-space:pre}</style><p class=pre>a  b</p>": "a  b",
+    "<style>[hidden]{display:none}.show{display:block}</style><b hidden class=show>a</b><b hidden>b</b>": "a",
+    "<!-- <style>p{display:none}</style> --><script>'<style>p{display:none}</style>'</script><p>a": "a",
+    "<style>p{display:none": "",
+    "<style>}{{p{display:none}}</style><p>a": "a",
+    "<style>tr.h{display:none}</style><table><tr><td>a<td>b<tr class=h><td>c<td>d</table>": "a | b",
+}
+
+
+@pytest.mark.parametrize("page", SHEETS)
+def test_rules_of_style_elements(page):
+    assert html.render(page).strip() == SHEETS[page]
+
+
 @pytest.mark.parametrize("page", TABLES)
 def test_cells_with_something_between(page):
     assert html.render(page) == TABLES[page]
