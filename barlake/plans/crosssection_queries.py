@@ -10,10 +10,12 @@ from barlake.operators.crosssection import (
     aligned_returns, correlations, first_per_group, group_summary, low_correlation_pairs, pair_moments, portfolio_statistics, ranked_pairs, simple_returns,
 )
 from barlake.operators.optimise import allocations, frontier, optimal_weights, portfolios
+from barlake.operators.periods import MONTHS, in_period
 from barlake.operators.weights import allocation, best, candidate_weights, efficient_frontier, with_sharpe
 from barlake.plans.indicator_queries import DAY
 from barlake.plans.registry import register
 from barlake.plans.sqltext import day, r, weekly, with_
+from barlake.session import materialise
 from barlake.sources import bindings
 
 STEP, POINTS = 10, 20
@@ -303,3 +305,33 @@ register(
     lambda spark, folder: frontier(_moments(spark, folder), "sector", POINTS).selectExpr("sector", "spot", f"{fixed_text('target * 100D', 2)} AS target", *RESULT, "num_positions"),
     None,
 )
+
+
+# ---- the period that an analysis looks at: a year for sectors, two for weights
+def _recent(spark: SparkSession, folder: str, period: str) -> DataFrame:
+    returns = aligned_returns(in_period(bindings.bars(spark, folder), period), "sector")
+    return materialise(pair_moments(returns, "sector", bindings.places(spark, folder)))
+
+
+def _recent_base(period: str) -> list[str]:
+    cropped = f"""bars AS (SELECT b.* FROM all_bars b JOIN (SELECT instrument AS own, max(ts) AS last_ts FROM all_bars GROUP BY instrument) ON own = instrument
+  WHERE ts >= last_ts - INTERVAL {MONTHS[period]} MONTH)"""
+    first, second, third = weekly()
+    return [first, second, third.replace("bars AS", "all_bars AS", 1), cropped, COMMON, ALIGNED, MOMENTS]
+
+
+register(
+    "sector_correlations_of_last_year",
+    lambda spark, folder: correlations(_recent(spark, folder, "1y")).select("sector", "a", "b", "n", "correlation", "p_approx"),
+    with_(*_recent_base("1y"), PAIRS, select="SELECT sector, a, b, n, correlation, p_approx FROM pairs"),
+)
+register(
+    "max_sharpe_allocation_of_two_years",
+    lambda spark, folder: allocations(optimal_weights(_recent(spark, folder, "2y"), "sector"), "sector"),
+    with_(
+        *_recent_base("2y"), *_descent("sharpe"),
+        select=f"""SELECT sector, instrument, {r('weight', 4)} AS weight, CAST({r('weight * 100', 0)} AS BIGINT) AS percent,
+  row_number() OVER (PARTITION BY sector ORDER BY {r('weight', 9)} DESC, instrument) AS place
+  FROM (SELECT sector, unnest(names) AS instrument, unnest(w) AS weight FROM stats) WHERE weight > 0.01""",
+    ),
+)
