@@ -15,13 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.operators.series import BLOCK_ROWS, block_carries, fading_memory, fill_gaps, index_rows, with_blocks
+from barlake.operators.series import BLOCK_ROWS, block_carries, fading_memory, fill_gaps, index_rows, last_rows, with_blocks
 from barlake.session import materialise
 
 KEYS = ("instrument",)
 SHORT_SERIES = 100
 LONGEST_WINDOW = 50
 HALO = fading_memory(26)
+#: Rows from the end in which a last known value is first looked for, and how much longer each further stretch is.
+STRETCH, LONGER = 256, 16
 STRIDE = 2048
 
 # Window sizes as (upper bound, lower bound, divisor of the series length).
@@ -365,3 +367,52 @@ def exponential_average(
 def latest(frame: DataFrame) -> DataFrame:
     """Last row of each series, on a frame with `pos` and `n`."""
     return frame.filter(F.col("pos") == F.col("n"))
+
+
+def _between(bars: DataFrame, columns: Sequence[str], by: Sequence[str], order: Sequence[str], adaptive: bool, after: int, rows: int) -> DataFrame:
+    """Indicators of the rows that have at least `after` and under `rows` rows behind them, from these rows and the memory before them."""
+    tail = last_rows(bars, by, rows + HALO, order).filter(F.col("pos") <= F.col("n") - F.lit(after))
+    first = F.greatest(F.col("n") - F.lit(rows + HALO), F.lit(0))
+    own = tail.select("*", F.col("pos").alias("_pos"), F.col("n").alias("_n"), first.alias("_first"))
+    own = own.withColumns({"pos": F.col("_pos") - F.col("_first"), "n": F.col("_n") - F.lit(after) - F.col("_first")})
+    # a series that reaches into a later stretch is a long one, however little of it is left there
+    frame = indicators(own.drop("_first"), columns, by, adaptive=adaptive and not after)
+    return frame.filter(F.col("_pos") > F.col("_n") - F.lit(rows)).drop("pos", "n").withColumnsRenamed({"_pos": "pos", "_n": "n"})
+
+
+def latest_indicators(
+    bars: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str] = KEYS,
+    adaptive: bool = True,
+    fill: bool = False,
+    order: Sequence[str] = ("ts",),
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """`latest(indicators(...))` from the last rows of each series: the memory of the windows, and no more.
+
+    With `fill`, a value that the last row lacks is looked for in the last `stretch` rows, then, for the series that still lack
+    one, in a stretch 16 times as long before them, and so on to their first row; a value that no row has stays null. Running
+    totals (`CUMULATIVE`) rest on all rows and are taken from there. A series without rows gives none.
+    """
+    by = tuple(by)
+    if set(columns) & set(CUMULATIVE):
+        return latest(indicators(bars if {"pos", "n"} <= set(bars.columns) else index_rows(bars, by, order), columns, by, adaptive=adaptive, fill=fill))
+    if not fill:
+        return latest(_between(bars, columns, by, order, adaptive, 0, 1))
+
+    def known(frame: DataFrame, others: Sequence[str]) -> DataFrame:
+        present = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in columns]
+        return frame.groupBy(*by).agg(*[F.max_by(c, "pos").alias(c) for c in others], *present)
+
+    others = [c for c in dict.fromkeys([*bars.columns, "pos", "n"]) if c not in by]
+    out = materialise(known(_between(bars, columns, by, order, adaptive, 0, stretch), others))
+    after, rows = stretch, stretch * LONGER
+    gap = " OR ".join(f"{c} IS NULL" for c in columns)
+    while not (lacking := out.filter(f"n > {after} AND ({gap})").select(*by)).isEmpty():
+        before = known(_between(bars.join(lacking, list(by), "left_semi"), columns, by, order, adaptive, after, rows), ())
+        before = before.withColumnsRenamed({c: f"_before_{c}" for c in columns})
+        found = {c: F.coalesce(F.col(c), F.col(f"_before_{c}")) for c in columns}
+        out = materialise(out.join(before, list(by), "left").withColumns(found).drop(*before.columns[len(by):]))
+        after, rows = rows, rows * LONGER
+    return out

@@ -12,7 +12,6 @@ blocks of bounded length, and every window runs inside a block:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,15 @@ FIRST = Window.unboundedPreceding
 LAST = Window.unboundedFollowing
 
 
+def _bucketed(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column | None = None) -> DataFrame:
+    """Add `_bucket`. Keys and bucket carry the error of a row that lacks one of them: a join on them, which lets go of nulls, meets it too."""
+    if bucket is None:
+        bucket = F.floor(F.unix_seconds(F.col(order[0])) / F.lit(BUCKET_SECONDS))
+    message = F.lit(f"a row has no {', '.join(by)} or no place in the order")
+    whole = lambda x, kind: F.when(x.isNull(), F.raise_error(message).cast(kind)).otherwise(x)
+    return df.withColumns({c: whole(F.col(c), df.schema[c].dataType) for c in by} | {"_bucket": whole(bucket.cast("long"), "long")})
+
+
 def index_rows(
     df: DataFrame,
     by: Sequence[str],
@@ -37,11 +45,7 @@ def index_rows(
     bucket of one series is sorted at a time; the series-wide part works on one row per bucket. A row without a key or
     without a place in the order raises: filter such rows first if they are meant to go.
     """
-    if bucket is None:
-        bucket = F.floor(F.unix_seconds(F.col(order[0])) / F.lit(BUCKET_SECONDS))
-    lost = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in by], bucket.isNull())
-    place = F.when(lost, F.raise_error(F.lit(f"a row has no {', '.join(by)} or no place in the order")).cast("long")).otherwise(bucket.cast("long"))
-    keyed = df.withColumn("_bucket", place)
+    keyed = _bucketed(df, by, order, bucket)
     per_series = Window.partitionBy(*by)
     offsets = (
         keyed.groupBy(*by, "_bucket")
@@ -61,6 +65,24 @@ def index_rows(
     )
 
 
+def last_rows(df: DataFrame, by: Sequence[str], rows: int, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """The last `rows` rows of every series with their `pos` and `n`, as `index_rows` gives them.
+
+    Rows are counted per bucket of 64 days; only the buckets that the last rows lie in go on to the sort. The counts are a
+    row per bucket, so Spark can test the rows against them where they are read. A frame with `pos` and `n` is filtered.
+    """
+    if {"pos", "n"} <= set(df.columns):
+        return df.filter(F.col("pos") > F.col("n") - F.lit(rows))
+    keyed = _bucketed(df, by, order)
+    counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    after = F.coalesce(F.sum("_rows").over(Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(FIRST, -1)), F.lit(0))
+    tail = counts.select(*by, "_bucket", after.alias("_after"), F.sum("_rows").over(Window.partitionBy(*by)).alias("n"))
+    turn = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*[F.desc(c) for c in order]))
+    near = keyed.join(tail.filter(F.col("_after") < F.lit(rows)), [*by, "_bucket"]).withColumn("_turn", turn).filter(F.col("_turn") <= F.lit(rows))
+    placed = near.withColumn("pos", F.col("n") - F.col("_after") - F.col("_turn") + 1)
+    return placed.filter(F.col("pos") > F.col("n") - F.lit(rows)).drop("_bucket", "_after", "_turn")
+
+
 def index_by_range(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """`index_rows` for tables where no bucket is known to be small: `order` has to be unique within the series.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions.numeric import fixed
 from barlake.functions.votes import timeframe_scores, timeframe_signal
-from barlake.operators.indicators import indicators, latest
+from barlake.operators.indicators import latest_indicators
 from barlake.operators.resample import stack_grains
 
 # Weight of each timeframe, and the least number of bars for a signal.
@@ -20,7 +20,7 @@ def timeframe_signals(frames: dict[str, DataFrame]) -> DataFrame:
     """One row per instrument and grain: points, signal and confidence on the latest bar. Series with fewer than 30
     bars are NEUTRAL with confidence 0."""
     bars = stack_grains({grain: df.select("instrument", "ts", "open", "high", "low", "close", "volume") for grain, df in frames.items()})
-    last = latest(indicators(bars, NEEDED, by=("instrument", "grain"), fill=True))
+    last = latest_indicators(bars, NEEDED, by=("instrument", "grain"), fill=True)
     scored = last.withColumns(timeframe_scores())
     voted = scored.withColumns(timeframe_signal(F.col("buy_score"), F.col("sell_score")))
     enough = F.col("n") >= LEAST_BARS

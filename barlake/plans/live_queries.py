@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barlake.functions.numeric import fixed, fixed_text
 from barlake.functions.votes import indicator_signals, recommendation, simple_signal
 from barlake.operators import ensemble, features, ledger, models
-from barlake.operators.indicators import indicators, latest
+from barlake.operators.indicators import latest_indicators
 from barlake.operators.reports import reports, training_progress
 from barlake.plans import model_queries as m
 from barlake.plans.indicator_queries import DAY
@@ -141,7 +141,7 @@ RES = [*m.BOOK, m.TOTALS.format(key="instrument")]
 def _reports(spark: SparkSession, folder: str) -> DataFrame:
     series = bindings.series(spark, folder)
     predicted = models.next_value(series, models.train(series)).withColumns(simple_signal(F.col("prediction"))).selectExpr("instrument", *fx("prediction", 5), "signal")
-    signals = latest(indicators(series, SIX, fill=True)).withColumns(indicator_signals()).withColumns(recommendation())
+    signals = latest_indicators(series, SIX, fill=True).withColumns(indicator_signals()).withColumns(recommendation())
     results = ledger.results(m._book(spark, folder), m.BY).selectExpr("instrument", "bigint(total_trades) AS total_trades", *fx("total_return win_rate sharpe_ratio max_drawdown", 4))
     out = reports(predicted, signals.select("instrument", "close", "rsi_signal", "recommendation"), results)
     pick = lambda path, kind: f"CAST(get_json_object(report, '$.{path}') AS {kind}) AS {path.split('.')[1]}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions.numeric import fixed, fixed_text
 from barlake.functions.votes import indicator_signals, legacy_direction, model_vote, recommendation, rsi_vote, trend_vote
-from barlake.operators.indicators import indicators, latest
+from barlake.operators.indicators import indicators, latest_indicators
 from barlake.operators.periods import RETURN_DAYS, chart_extents, first_period_with_bars, in_period, period_returns, quotes
 from barlake.operators.timeframes import blend, timeframe_signals
 from barlake.plans.indicator_queries import DAY
@@ -33,7 +33,7 @@ register("rsi_and_trend_votes", _votes, with_(*weekly(), *indicator_chain(), sel
 
 
 def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    frame = latest(indicators(bindings.series(spark, folder), ["sma_20", "rsi"], fill=True))
+    frame = latest_indicators(bindings.bars(spark, folder), ["sma_20", "rsi"], fill=True)
     return frame.select(
         "instrument", F.expr(DAY), "close", fixed("sma_20").alias("sma_20"), fixed("rsi").alias("rsi"),
         rsi_vote(F.col("rsi")).alias("rsi_vote"), trend_vote(F.col("close"), F.col("sma_20")).alias("trend_vote"),
@@ -71,8 +71,7 @@ TEXTS = ("rsi_signal", "macd_text", "bb_signal", "atr_signal", "stoch_signal", "
 
 def _signals(last_only: bool):
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        frame = indicators(bindings.series(spark, folder), SIX, fill=True)
-        frame = latest(frame) if last_only else frame
+        frame = latest_indicators(bindings.bars(spark, folder), SIX, fill=True) if last_only else indicators(bindings.series(spark, folder), SIX, fill=True)
         out = frame.withColumns(indicator_signals()).withColumns(recommendation())
         return out.select("instrument", F.expr(DAY), "close", fixed("atr_percent").alias("atr_percent"), *TEXTS, "recommendation")
 

@@ -10,7 +10,7 @@ from barlake.functions.text import BEARISH, BULLISH, Lexicon
 from barlake.functions.votes import alert_condition, combined_votes, direction_correct, majority, record_id
 from barlake.operators import monitor, news, portfolio
 from barlake.operators.features import min_max_scaled
-from barlake.operators.indicators import indicators, latest
+from barlake.operators.indicators import indicators, latest_indicators
 from barlake.operators.periods import quotes
 from barlake.plans.indicator_queries import DAY
 from barlake.plans.model_queries import fx, rx
@@ -52,7 +52,7 @@ register(
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
-    return monitor.check_alerts(_alerts(spark, folder), latest(_rsi(spark, folder)))
+    return monitor.check_alerts(_alerts(spark, folder), latest_indicators(bindings.bars(spark, folder), ["rsi"]))
 
 
 LATEST_RSI = "latest AS (SELECT instrument, close, rsi FROM ind WHERE pos = n)"

@@ -6,6 +6,8 @@ each definition has a SQL twin in `barlake.plans.sqltext`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: 1990-01-01 in microseconds; ticks begin after it.
+FIRST_MOMENT = 631_152_000 * 10**6
+
+
 def price_e4() -> Column:
     """Price in 1/10000, an exact integer."""
     tenths = F.round(F.col("p_retailprice") * 10).cast("long")
@@ -32,15 +38,16 @@ def lineitem_price() -> Column:
 
 def tick_key() -> Column:
     """Order of ticks (time, order, line, price) packed into one decimal. A decimal is fixed-width, so first and last
-    price stay in the hash aggregate; a struct key would force a sort. A part that outgrows its digits raises: day 5,
-    microsecond of the day 11, order 12, line 2 and price 8 digits. Ticks without a time make no bar, so theirs is not checked."""
-    day = F.datediff(F.col("ts"), F.lit("1990-01-01").cast("date")).cast("long")
-    moment = F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", F.col("ts")))
-    fits = lambda x, digits: F.when(x.isNull() | ((x >= 0) & (x < 10**digits)), x).otherwise(F.raise_error(F.concat(F.lit(f"a part of the tick order has over {digits} digits: "), x.cast("string"))).cast("long"))
-    high = fits(day, 5) * F.lit(10**11) + moment
-    order = fits(F.col("l_orderkey").cast("long"), 12) * F.lit(100) + fits(F.col("l_linenumber").cast("long"), 2)
-    low = order.cast("decimal(14,0)") * F.lit(10**8).cast("decimal(9,0)") + fits(price_e4(), 8).cast("decimal(8,0)")
-    return (high.cast("decimal(16,0)") * F.lit("1" + "0" * 22).cast("decimal(23,0)") + low).cast("decimal(38,0)")
+    price stay in the hash aggregate; a struct key would force a sort. A part that outgrows its digits raises:
+    microseconds since 1990 16 (until 2306), order 12, line 2 and price 8 digits. Null parts make a null key."""
+    moment = F.unix_micros("ts") - F.lit(FIRST_MOMENT)
+    order, line, price = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), price_e4()
+    parts = ((moment, 16), (order, 12), (line, 2), (price, 8))
+    outgrown = reduce(lambda a, b: a | b, [~x.between(0, 10**digits - 1) for x, digits in parts])  # null parts do not raise
+    low = (order * F.lit(100) + line).cast("decimal(14,0)") * F.lit(10**8).cast("decimal(9,0)") + price.cast("decimal(8,0)")
+    key = (moment.cast("decimal(16,0)") * F.lit("1" + "0" * 22).cast("decimal(23,0)") + low).cast("decimal(38,0)")
+    told = F.concat_ws(", ", *[x.cast("string") for x, _ in parts])
+    return F.when(outgrown, F.raise_error(F.concat(F.lit("a part of the tick order has too many digits: "), told)).cast("decimal(38,0)")).otherwise(key)
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:

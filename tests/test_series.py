@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from barlake.operators import ledger as book
 from barlake.operators.asof import asof_join
-from barlake.operators.indicators import ALL_INDICATORS, HALO, exponential_average, indicators
-from barlake.operators.series import fill_gaps, index_by_range, index_rows, running, with_blocks
+from barlake.operators.indicators import ALL_INDICATORS, HALO, exponential_average, indicators, latest, latest_indicators
+from barlake.operators.series import fill_gaps, index_by_range, index_rows, last_rows, running, with_blocks
 
 CHECKED = [
     "sma_20", "sma_50", "ema_12", "ema_26", "rsi", "macd", "macd_signal", "bb_upper", "atr", "stoch_k", "stoch_d", "williams_r", "obv", "vwap",
@@ -218,3 +218,35 @@ def test_asof_spreads_one_moment_and_one_key(spark):
     assert out.filter("value IS NULL OR value != floor(unix_millis(ts) / 7) * 7").count() == 0 and out.count() == 20_000
     empty = rows.limit(0)
     assert asof_join(wide, empty, "value").filter("value IS NOT NULL").count() == 0 and asof_join(empty.drop("value"), rows, "value").count() == 0
+
+
+def test_latest_indicators(spark):
+    """As the last rows of all indicators, where series are short, long, flat at the end or without a volume for long."""
+    parts = [walk(name, n, seed) for seed, (name, n) in enumerate([("one", 1), ("few", 40), ("short", 99), ("exact", 540), ("long", 3000), ("longer", 9000)])]
+    for name, flat in (("flat", 700), ("idle", 2950)):  # last known values stand far back, or nowhere
+        bars = walk(name, 3000, 9)
+        bars.loc[len(bars) - flat :, ["open", "high", "low", "close"]] = 50.0
+        bars.loc[len(bars) - flat :, "volume"] = 0.0
+        parts.append(bars)
+    frame = spark.createDataFrame(pd.concat(parts)).repartition(5)
+    columns = ["sma_20", "rsi", "macd", "macd_signal", "bb_upper", "stoch_k", "stoch_d", "williams_r", "mfi", "cci", "adx", "obv"]
+    for bars, wanted, fill in ((frame, columns[:-1], True), (index_rows(frame, ("instrument",)), columns[:-1], True), (frame, columns[:-1], False), (frame, columns, False)):
+        whole = bars if "pos" in bars.columns else index_rows(bars, ("instrument",))
+        plain = latest(indicators(whole, wanted, fill=fill)).toPandas().set_index("instrument").sort_index()
+        got = latest_indicators(bars, wanted, fill=fill, stretch=64).toPandas().set_index("instrument").sort_index()
+        assert sorted(got.columns) == sorted(plain.columns) and (got["n"] == got["pos"]).all() and len(got) == 8
+        pd.testing.assert_frame_equal(got[plain.columns], plain, rtol=1e-9, atol=1e-9, check_dtype=False)
+    assert latest_indicators(frame.limit(0), ["rsi"], fill=True).count() == 0
+
+
+def test_last_rows(spark):
+    frame = spark.createDataFrame(pd.concat([walk("a", 1000), walk("b", 3), walk("c", 129, freq="h")]))
+    whole = {(r.instrument, r.ts): (r.pos, r.n) for r in index_rows(frame, ("instrument",)).collect()}
+    for rows in (1, 5, 200, 5000):
+        got = {(r.instrument, r.ts): (r.pos, r.n) for r in last_rows(frame, ("instrument",), rows).collect()}
+        assert got == {k: (pos, n) for k, (pos, n) in whole.items() if pos > n - rows}
+    for column in ("instrument", "ts"):
+        lost = frame.withColumn(column, F.expr(f"if(close > 101, null, {column})"))
+        for placed in (last_rows(lost, ("instrument",), 5), index_rows(lost, ("instrument",))):
+            with pytest.raises(Exception, match="no instrument"):
+                placed.collect()
