@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +25,26 @@ class Model(Protocol):
     def score(self, samples: DataFrame, parameters: DataFrame, by: Sequence[str]) -> DataFrame: ...
 
 
+class Mergeable(Model, Protocol):
+    """A model whose parameters follow from sums over its samples, so that fits of growing sets of samples are running sums."""
+
+    def sums(self) -> dict[str, Column]: ...
+
+    def parameters(self) -> dict[str, Column]: ...
+
+
 class LeastSquares:
     """y = slope * x + intercept, in closed form per series."""
 
+    def sums(self) -> dict[str, Column]:
+        x, y = F.col("x"), F.col("y")
+        whole = x.isNotNull() & y.isNotNull()
+        return {name: F.when(whole, value) for name, value in {"_n": F.lit(1.0), "_x": x, "_y": y, "_xx": x * x, "_xy": x * y}.items()}
+
+    def parameters(self) -> dict[str, Column]:
+        slope = "try_divide(_n * _xy - _x * _y, _n * _xx - _x * _x)"
+        return {"slope": F.expr(slope), "intercept": F.expr(f"(_y - {slope} * _x) / _n")}
+
     def fit(self, samples: DataFrame, by: Sequence[str]) -> DataFrame:
         return samples.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
 
@@ -34,6 +52,36 @@ class LeastSquares:
         return samples.join(parameters, list(by)).withColumn("prediction", F.col("slope") * F.col("x") + F.col("intercept"))
 
 
+class BinnedMeans:
+    """The mean label of the training samples in the same of `bins` equal parts of [0, 1] as x (beyond it: the first or last
+    part); in a part without samples the mean of all. Samples without x or y do not enter, without x there is no prediction."""
+
+    def __init__(self, bins: int = 10):
+        self.bins = bins
+
+    def _bin(self) -> Column:
+        inside = F.greatest(F.least(F.floor(F.col("x") * self.bins), F.lit(self.bins - 1)), F.lit(0))
+        return F.when(F.col("x").isNotNull(), inside)  # greatest and least pass over nulls
+
+    def sums(self) -> dict[str, Column]:
+        whole = F.col("x").isNotNull() & F.col("y").isNotNull()
+        here = {i: whole & (self._bin() == i) for i in range(self.bins)}
+        counts = {f"_n{i}": F.when(at, 1.0).otherwise(0.0) for i, at in here.items()}
+        return counts | {f"_y{i}": F.when(at, F.col("y")).otherwise(0.0) for i, at in here.items()}
+
+    def parameters(self) -> dict[str, Column]:
+        total = lambda kind: reduce(lambda a, b: a + b, [F.col(f"_{kind}{i}") for i in range(self.bins)])
+        mean = F.try_divide(total("y"), total("n"))
+        return {"means": F.array(*[F.coalesce(F.try_divide(F.col(f"_y{i}"), F.col(f"_n{i}")), mean) for i in range(self.bins)])}
+
+    def fit(self, samples: DataFrame, by: Sequence[str]) -> DataFrame:
+        summed = samples.groupBy(*by).agg(*[F.sum(x).alias(name) for name, x in self.sums().items()])
+        return summed.select(*by, *[x.alias(name) for name, x in self.parameters().items()])
+
+    def score(self, samples: DataFrame, parameters: DataFrame, by: Sequence[str]) -> DataFrame:
+        return samples.join(parameters, list(by)).withColumn("prediction", F.get("means", self._bin().cast("int")))
+
+
 def samples(bars: DataFrame, by: Sequence[str] = ("instrument",), length: int = SEQUENCE) -> DataFrame:
     """x: scaled close of the last row of the sequence; y: scaled price one bar after the row that follows it."""
     scaled = min_max_scaled(with_target(bars, by), ["close", "future_price"], by)
@@ -161,35 +209,29 @@ def walk_forward(rows: DataFrame, by: Sequence[str] = ("instrument",), first: in
     """Test rows of every fold with the prediction of a model fitted to all samples before the fold.
 
     Fold k (1, 2, ...) trains on the first `first + (k-1) * step` samples and tests on the next `test`; only whole test
-    windows count. Each row works out its own folds. Without `model` a line is fitted: its fits are running sums read at
-    the row where training ends, one pass for all folds. Any other model is fitted fold by fold, on as many copies of a
-    sample as there are folds after it, grouped by series and fold.
+    windows count. Each row works out its own folds. Without `model` a line is fitted. A `Mergeable` model is fitted from sums: samples
+    are added up by the first fold that trains on them, and the folds' sums are added up in turn, in blocks of
+    `block_rows`; the work grows with the samples. Any other model is fitted fold by fold, on as many copies of a sample as there are
+    folds after it, grouped by series and fold.
     """
-    by = list(by)
+    by, model = list(by), model or LeastSquares()
     index = "(sample - 1)"
     last = f"floor((samples - {first} - {test}) / {step}) + 1"
     newest = f"least(floor(({index} - {first}) / {step}) + 1, {last})"
     oldest = f"greatest(ceil(({index} - {first} - {test - 1}) / {step}) + 1, 1)"
+    earliest = f"greatest(ceil((sample - {first}) / {step}) + 1, 1)"
     spread = lambda low, high: f"explode(if({low} <= {high}, sequence(bigint({low}), bigint({high})), array())) AS fold"
-    folded = rows.filter((F.col("sample") > first) & (F.col("samples") >= first + test)).selectExpr("*", spread(oldest, newest))
-    if model is not None:
-        earliest = f"greatest(ceil((sample - {first}) / {step}) + 1, 1)"
-        training = rows.filter(F.col("samples") >= first + test).selectExpr("*", spread(earliest, last))
-        scored = model.score(folded, model.fit(training, [*by, "fold"]), [*by, "fold"])
-        return _fold_places(scored.withColumn("train_end", F.lit(first) + (F.col("fold") - 1) * step), test)
-    placed = rows.withColumns({"pos": F.col("sample"), "n": F.col("samples")})
-    one = F.lit(1.0)
-    summed = running(
-        placed.withColumn("block", own_block(block_rows)),
-        by,
-        {"_n": ("sum", one), "_x": ("sum", F.col("x")), "_y": ("sum", F.col("y")), "_xx": ("sum", F.col("x") * F.col("x")), "_xy": ("sum", F.col("x") * F.col("y"))},
-    )
-    slope = "try_divide(_n * _xy - _x * _y, _n * _xx - _x * _x)"
-    lines = (
-        summed.filter((F.col("sample") >= first) & ((F.col("sample") - first) % step == 0))
-        .selectExpr(*by, f"bigint((sample - {first}) / {step}) + 1 AS fold", "sample AS train_end", f"{slope} AS slope", f"(_y - {slope} * _x) / _n AS intercept")
-    )
-    return _fold_places(folded.join(lines, [*by, "fold"]).withColumn("prediction", F.col("slope") * F.col("x") + F.col("intercept")), test)
+    enough = F.col("samples") >= first + test
+    folded = rows.filter((F.col("sample") > first) & enough).selectExpr("*", spread(oldest, newest))
+    if hasattr(model, "sums"):
+        added = rows.filter(enough).withColumn("fold", F.expr(f"bigint({earliest})")).filter(F.expr(f"fold <= {last}"))
+        sums = added.groupBy(*by, "fold").agg(*[F.sum(x).alias(name) for name, x in model.sums().items()])
+        whole = running(sums.withColumns({"pos": F.col("fold"), "block": F.floor((F.col("fold") - 1) / F.lit(block_rows))}), by, {name: ("sum", F.col(name)) for name in model.sums()})
+        fitted = whole.select(*by, "fold", *[x.alias(name) for name, x in model.parameters().items()])
+    else:
+        fitted = model.fit(rows.filter(enough).selectExpr("*", spread(earliest, last)), [*by, "fold"])
+    scored = model.score(folded, fitted, [*by, "fold"])
+    return _fold_places(scored.withColumn("train_end", F.lit(first) + (F.col("fold") - 1) * step), test)
 
 
 def _fold_places(scored: DataFrame, test: int) -> DataFrame:

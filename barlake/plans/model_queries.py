@@ -393,3 +393,28 @@ register(
         select=f"SELECT instrument, total_folds, {rx('avg_accuracy avg_return total_return buy_and_hold_return', 3)}, {r('total_return - buy_and_hold_return', 3)} AS outperformance FROM s",
     ),
 )
+
+
+def _binned_folds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = models.walk_forward(models.samples(bindings.series(spark, folder, "day")), model=models.BinnedMeans())
+    metrics = models.regression_metrics(F.col("y"), F.col("prediction"))
+    return rows.groupBy(*FOLD).agg(F.max("train_end").alias("train_end"), F.count("prediction").alias("tests"), *metrics)
+
+
+register(
+    "walk_forward_of_binned_means",
+    lambda spark, folder: _binned_folds(spark, folder).selectExpr("instrument", "fold", "bigint(train_end) AS train_end", "tests", *fx("rmse mae direction_accuracy", 4)),
+    with_(
+        *FOLDS[:7],
+        "binned AS (SELECT *, greatest(least(CAST(floor(x * 10) AS BIGINT), 9), 0) AS bin FROM samples)",
+        "ends AS (SELECT instrument, sample AS train_end, (sample - 252) // 21 + 1 AS fold FROM samples WHERE sample >= 252 AND (sample - 252) % 21 = 0 AND sample + 63 <= samples)",
+        "learnt AS (SELECT e.instrument, fold, bin, avg(y) AS mean FROM ends e JOIN binned b ON b.instrument = e.instrument AND sample <= train_end WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)",
+        "overall AS (SELECT e.instrument, fold, avg(y) AS mean FROM ends e JOIN binned b ON b.instrument = e.instrument AND sample <= train_end WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)",
+        """tests AS (SELECT b.instrument, e.fold, train_end, y, CASE WHEN x IS NOT NULL THEN coalesce(l.mean, o.mean) END AS prediction FROM ends e
+  JOIN binned b ON b.instrument = e.instrument AND sample > train_end AND sample <= train_end + 63 JOIN overall o ON o.instrument = e.instrument AND o.fold = e.fold
+  LEFT JOIN learnt l ON l.instrument = e.instrument AND l.fold = e.fold AND l.bin = b.bin)""",
+        """measured AS (SELECT instrument, fold, max(train_end) AS train_end, count(prediction) AS tests, sqrt(avg((y - prediction) * (y - prediction))) AS rmse, avg(abs(y - prediction)) AS mae,
+  avg(CAST((y > 0.5) = (prediction > 0.5) AS DOUBLE)) * 100 AS direction_accuracy FROM tests GROUP BY instrument, fold)""",
+        select=f"SELECT instrument, fold, train_end, tests, {rx('rmse mae direction_accuracy', 4)} FROM measured",
+    ),
+)

@@ -246,6 +246,26 @@ def test_any_model_walks_forward_and_predicts(spark):
     assert models.next_value(index_rows(bars, ("instrument",)), trained, model=Mean()).first().prediction == 0.25
 
 
+def test_binned_means_walk_forward_from_sums(spark):
+    rng = np.random.default_rng(8)
+    rows = pd.concat([pd.DataFrame({"instrument": name, "ts": pd.date_range(START, periods=n), "close": 1.0, "sample": range(1, n + 1), "samples": n, "x": rng.uniform(-0.1, 1.1, n), "y": rng.uniform(size=n)}) for name, n in (("A", 500), ("B", 314), ("C", 315))])
+    rows.loc[(rows.instrument == "A") & rows["sample"].isin([5, 330]), ["x", "y"]] = np.nan, 0.5
+    rows.loc[(rows.x > 0.3) & (rows.x < 0.4) & (rows["sample"] < 300), "x"] = 0.95  # a part without samples at first
+    frame = spark.createDataFrame(rows).withColumn("x", F.nanvl("x", F.lit(None)))
+    model = models.BinnedMeans()
+    got = models.walk_forward(frame, model=model, block_rows=3).toPandas().sort_values(["instrument", "fold", "sample"])
+    parted = lambda x: np.clip(np.floor(x * 10), 0, 9)
+    assert got.groupby("instrument").fold.max().to_dict() == {"A": 9, "C": 1}
+    for (name, k), part in got.groupby(["instrument", "fold"]):
+        mine, end = rows[rows.instrument == name], 252 + 21 * (k - 1)
+        known = mine[(mine["sample"] <= end) & mine.x.notna()]
+        means = known.y.groupby(parted(known.x)).mean()
+        wanted = [np.nan if np.isnan(x) else means.get(parted(x), known.y.mean()) for x in mine[(mine["sample"] > end) & (mine["sample"] <= end + 63)].x]
+        np.testing.assert_allclose(part.prediction.to_numpy(float), wanted)
+    once = model.score(frame, model.fit(frame, ["instrument"]), ["instrument"]).toPandas()
+    assert once.prediction.isna().sum() == 2 and abs(once.prediction.mean() - 0.5) < 0.1
+
+
 def test_loss_curve(spark):
     curve = [5.0, 4.0, 4.5, 3.0] + [3.5] * 20
     history = spark.createDataFrame([("a", curve), ("b", [3.0, 2.0, 1.0])], "model string, val_loss array<double>")
