@@ -58,7 +58,8 @@ IMPLIED_END = {
 #: No end tag of an element outside closes these, and no implied end reaches past them.
 WALLS = frozenset("td th caption table html template".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
-MAX_PAD = 60
+#: Lines of a cell up to this width are always padded to; beyond it, those up to OUTLIER times the mean of their column.
+USUAL, OUTLIER = 60, 64
 MAX_SPAN = 1000
 #: Elements nested deeper close the one before them, as browsers do.
 MAX_DEPTH = 512
@@ -205,25 +206,51 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _laid_out(grid: _Table) -> str:
-    """Rows of a table, cells padded to the width of their column; wide columns are padded to MAX_PAD only."""
-    widths: dict[int, int] = {}
+def _column_widths(grid: _Table) -> dict[int, int]:
+    """A column is as wide as its widest line, but for lines over `USUAL` and over `OUTLIER` times what its cells hold on average:
+    padding all rows to such a line would write far more than the table holds. A cell over several columns widens the last
+    of them, by `USUAL` in all."""
+    found: dict[int, list[int]] = {}
+    spans: list[tuple[int, int, int]] = []
     for row in grid.rows:
         for column, (lines, span) in row.items():
             if span == 1:
-                widths[column] = min(MAX_PAD, max(widths.get(column, 0), max(map(_width, lines), default=0)))
+                found.setdefault(column, []).extend(map(_width, lines))
+            else:
+                spans.append((column, span, max(map(_width, lines), default=0)))
+    widths = {}
+    for column, sizes in found.items():
+        most = max(USUAL, OUTLIER * sum(sizes) // len(grid.rows))
+        widths[column] = max((w for w in sizes if w <= most), default=0)
+    grown: dict[int, int] = {}
+    for column, span, wide in sorted(spans, key=lambda s: (s[1], s[0])):
+        end = column + span - 1
+        lacking = wide - sum(widths.get(c, 0) for c in range(column, end + 1)) - 3 * (span - 1)
+        if 0 < lacking <= USUAL - grown.get(end, 0):
+            widths[end], grown[end] = widths.get(end, 0) + lacking, grown.get(end, 0) + lacking
+    return widths
+
+
+def _laid_out(grid: _Table) -> str:
+    """Rows of a table, cells padded to the width of their column. After a line wider than its column the rest of the row goes on in the next line, in its place."""
+    widths = _column_widths(grid)
     out = [grid.caption] if grid.caption else []
     for row in grid.rows:
         if not any(any(lines) for lines, _ in row.values()):
             continue
         last = max(row)
         for i in range(max(len(lines) for lines, _ in row.values())):
-            cells, column = [], 0
+            filled = max((c for c, (lines, _) in row.items() if i < len(lines) and lines[i]), default=-1)
+            cells, column, blank = [], 0, []
             while column <= last:
                 lines, span = row.get(column, ([], 1))
                 wide = sum(widths.get(c, 0) for c in range(column, column + span)) + 3 * (span - 1)
                 line = lines[i] if i < len(lines) else ""
                 cells.append(line + " " * max(0, wide - _width(line)))
+                blank.append(wide)
+                if _width(line) > wide and column < filled:
+                    out.append(" | ".join(cells).rstrip())
+                    cells = [" " * w for w in blank]
                 column += span
             out.append(" | ".join(cells).rstrip())
     return "\n".join(out)

@@ -396,6 +396,19 @@ def test_mixing_of_odd_rows(spark, odd):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0 == mixing.sample(spark.createDataFrame([], SCHEMA)).count()
 
 
+def test_raking_tells_how_far_off_it_is(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "a string, b string, tokens long")
+    shares = lambda d, **of: spark.createDataFrame(list(of.items()), f"{d} string, share double")
+    apart = cells([("x", "u", 10), ("y", "v", 10)])  # a and b say the same, their targets do not
+    got = mixing.fit(apart, ["a", "b"], {}, {"a": shares("a", x=0.9, y=0.1), "b": shares("b", u=0.5, v=0.5)}, rounds=5).collect()
+    assert all(math.isclose(r.deviation, 4.0, rel_tol=1e-9) for r in got)  # 0.5 instead of 0.1
+    fits = cells([("x", "u", 10), ("x", "v", 5), ("y", "v", 10), ("y", "u", 1)])
+    got = mixing.fit(fits, ["a", "b"], {}, {"a": shares("a", x=0.9, y=0.1), "b": shares("b", u=0.5, v=0.5)}).collect()
+    assert 0 <= max(r.deviation for r in got) <= mixing.TOLERANCE
+    one = mixing.fit(fits, ["a", "b"], {}, {"a": shares("a", x=0.9, y=0.1), "b": shares("b", u=0.5, v=0.5)}, rounds=1).collect()
+    assert max(r.deviation for r in one) > mixing.TOLERANCE
+
+
 def test_mixing_to_given_targets(spark, docs):
     targets = {"lang": spark.createDataFrame([("en", 1.0), ("de", 3.0)], "lang string, share double")}
     got = mixing.mix(docs, dims={"lang": F.col("lang")}, targets=targets).toPandas()
@@ -706,6 +719,31 @@ PAGES = {
 }
 
 
+def plain_starts(sizes: list[list[int]]) -> list[int]:
+    """Where each column of a table of single lines starts: behind the widest line of each column before and a bar."""
+    return [sum(max(row[c] for row in sizes) + 3 for c in range(k)) for k in range(len(sizes[0]))]
+
+
+def test_columns_of_any_width():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        sizes = rng.choice([1, 5, 59, 60, 61, 70, 300], (rng.integers(1, 7), rng.integers(1, 6))).tolist()
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{'w' * n}" for n in row) for row in sizes) + "</table>"
+        lines, starts = html.render(page).split("\n"), plain_starts(sizes)
+        assert len(lines) == len(sizes)
+        for line, row in zip(lines, sizes):
+            assert [(m.start(), len(m[0])) for m in re.finditer("w+", line)] == list(zip(starts, row))
+
+
+def test_outlying_lines_do_not_widen_a_column():
+    rows = [("long " * 4000, "after", "end"), *[(f"k{i}", f"v{i}", "z") for i in range(200)]]
+    text = html.render("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in rows) + "</table>")
+    lines = text.split("\n")
+    assert lines[0] == ("long " * 4000).strip() and len(lines) == 202 and len(text) < 24000
+    assert lines[1] == "     | after | end" and {line.index("|") for line in lines[1:]} == {5}
+    assert html.render("<table><tr><th colspan=2>A long heading<th>Q<tr><td>k<td>v<td>z</table>") == "A long heading | Q\nk | v          | z"
+
+
 @pytest.mark.parametrize("page", PAGES, ids=str)
 def test_pages(page):
     assert html.render(page) == PAGES[page]
