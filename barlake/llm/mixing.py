@@ -42,7 +42,8 @@ def fit(cells: DataFrame, dims: Sequence[str], powers: Mapping[str, float], targ
     the sums back; each round is written once and read again. The table of cells has one row per combination of classes, it
     never passes through the driver: only the largest deviation does. Classes without tokens keep factor 1. Rounds end when no margin is
     off by more than `tolerance` of its target, or after `rounds`: then some targets contradict each other (a class whose cells
-    all have target 0 elsewhere), and the last weights stand.
+    all have target 0 elsewhere), and the last weights stand. `deviation` tells which: the share by which the worst margin is off
+    its target (0 where there is nothing to rake).
     """
     frame = cells
     for d in dims:
@@ -57,6 +58,7 @@ def fit(cells: DataFrame, dims: Sequence[str], powers: Mapping[str, float], targ
         frame = frame.join(share, d).withColumn(f"factor_{d}", F.lit(1.0))
     frame = staged(frame, "mixing-cells")
     weight = reduce(lambda a, b: a * b, [F.col(f"factor_{d}") for d in dims], F.col("tokens").cast("double"))
+    worst = 0.0
     for _ in range(rounds):
         step = frame
         for d in dims:
@@ -67,10 +69,10 @@ def fit(cells: DataFrame, dims: Sequence[str], powers: Mapping[str, float], targ
         frame = staged(step, "mixing-round")
         # the last margin fits by construction; the others tell how far the round is
         off = [frame.groupBy(d).agg(F.sum(weight).alias("w"), F.first(f"target_{d}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("w") / F.col("t") - 1)).otherwise(0.0).alias("off")) for d in dims[:-1]]
-        worst = reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] if off else 0.0
-        if worst is None or worst <= tolerance:
+        worst = reduce(DataFrame.unionAll, off).agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0] if off else 0.0
+        if worst <= tolerance:
             break
-    return frame.withColumn("factor", reduce(lambda a, b: a * b, [F.col(f"factor_{d}") for d in dims]))
+    return frame.withColumns({"factor": reduce(lambda a, b: a * b, [F.col(f"factor_{d}") for d in dims]), "deviation": F.lit(float(worst))})
 
 
 def _scale(cells: DataFrame, rate: float) -> float:
@@ -96,14 +98,14 @@ def _uniform(key: Column, text: Column) -> Column:
 
 
 def _calibrated(rows: DataFrame, dims: Sequence[str], powers, targets, rate: float) -> DataFrame:
-    """Rows with columns `dims` (classes) and `tokens`, with `weight` (mean 1 over tokens) and `probability` added."""
+    """Rows with columns `dims` (classes) and `tokens`, with `weight` (mean 1 over tokens), `probability` and `deviation` added."""
     cells = staged(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "mixing-sums")
     fitted = fit(cells, dims, powers, targets)
     total, scale = cells.agg(F.sum("tokens")).first()[0] or 0, _scale(fitted, rate)
-    told = fitted.select(*dims, (F.col("factor") * float(total)).alias("weight"), F.least(F.lit(1.0), F.col("factor") * scale).alias("probability"))
+    told = fitted.select(*dims, (F.col("factor") * float(total)).alias("weight"), F.least(F.lit(1.0), F.col("factor") * scale).alias("probability"), "deviation")
     # cells without a token have no weight to rake: their texts are empty, and one is kept like the average
     told = told.join(cells.filter("tokens = 0").select(*dims, F.lit(True).alias("empty")), list(dims), "left")
-    told = told.select(*dims, F.when(F.col("empty"), 1.0).otherwise(F.col("weight")).alias("weight"), F.when(F.col("empty"), float(rate)).otherwise(F.col("probability")).alias("probability"))
+    told = told.select(*dims, F.when(F.col("empty"), 1.0).otherwise(F.col("weight")).alias("weight"), F.when(F.col("empty"), float(rate)).otherwise(F.col("probability")).alias("probability"), "deviation")
     return rows.join(staged(told, "mixing-weights"), list(dims))
 
 
@@ -116,7 +118,7 @@ def mix(
     targets: Mapping[str, DataFrame] | None = None,
     rate: float = RATE,
 ) -> DataFrame:
-    """Per row: key, the classes, n_tokens (words), weight, probability, kept.
+    """Per row: key, the classes, n_tokens (words), weight, probability, kept, and the deviation of the fit (see `fit`; the same in every row).
 
     `dims` names the dimensions to rake (default: columns source and lang and the form of the text as topic). A null class is a class of its
     own; a null or empty text has no tokens; rows that repeat get the same draw; rows with the same key and another text do
@@ -127,7 +129,7 @@ def mix(
     rows = docs.select(F.col(f"`{key}`").alias("key"), _uniform(F.col(f"`{key}`"), body).alias("draw"), word_count(body).alias("tokens"), *[_class_of(c).alias(f"d{i}") for i, c in enumerate(dims.values())])
     rows = _calibrated(rows, [f"d{i}" for i in range(len(dims))], {f"d{i}": powers.get(n, 1.0) for i, n in enumerate(dims)}, _by_place(targets, dims), rate)
     shown = [F.when(F.col(f"d{i}") != "null", F.substring(F.col(f"d{i}"), 2, 2**31 - 1)).alias(n) for i, n in enumerate(dims)]
-    return rows.select(F.col("key").alias(key), *shown, F.col("tokens").alias("n_tokens"), "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+    return rows.select(F.col("key").alias(key), *shown, F.col("tokens").alias("n_tokens"), "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"), "deviation")
 
 
 def _by_place(targets: Mapping[str, DataFrame] | None, dims: Mapping[str, Column]) -> dict:
