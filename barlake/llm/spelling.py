@@ -33,13 +33,13 @@ def spelled(text: str | None, key: int | str | None, every: int = EVERY) -> Coun
     if key is None:
         return runs
     base = zlib.crc32(f"{key}:".encode())
-    for word in list(runs):
-        h = zlib.crc32(word.encode(), base)
-        if h % every == 0:
-            at = h % len(word)
-            n = runs.pop(word)
-            runs[word[:at] + word[at + 1 :]] += n
-    return runs
+    words: Counter = Counter()
+    for run, n in runs.items():
+        h = zlib.crc32(run.encode(), base)
+        at = h % len(run)
+        # of runs alone: a word that a run became is not looked at again
+        words[run if h % every else run[:at] + run[at + 1 :]] += n
+    return words
 
 
 def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, shortest: int = SHORTEST, every: int = EVERY) -> DataFrame:

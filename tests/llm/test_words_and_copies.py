@@ -203,6 +203,17 @@ def test_spelled():
     assert spelling.spelled("straße", None) == Counter(["straße"]) and not spelling.spelled(None, 1)
 
 
+def test_letters_go_once():
+    """`cdffbde` becomes `cdfbde`, which stands in the text too and whose own hash is divisible: each run loses one letter."""
+    assert all(zlib.crc32(f"1:{w}".encode()) % 97 == 0 for w in ("cdffbde", "cdfbde"))
+    for text in ("cdffbde cdfbde", "cdfbde cdffbde", "cdffbde cdfbde cdffbde cdfbde"):
+        want = Counter()
+        for w in text.split():
+            h = zlib.crc32(f"1:{w}".encode())
+            want[w[: h % len(w)] + w[h % len(w) + 1 :]] += 1
+        assert spelling.spelled(text, 1) == want
+
+
 def test_vocabulary(docs, odd, rows):
     for frame, plain in ((docs, rows), (odd, ODD)):
         assert dict(bag(spelling.vocabulary(frame), "word", "n")) == dict.fromkeys(plain_words(plain).items(), 1)
