@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.company import factors, rating, score, summary_line
-from barlake.functions.numeric import fixed, fraction_to_percent
+from barlake.functions.numeric import fraction_to_percent, plain_text
 
 # Groups of the record. Each field names its source column; those in PERCENT are fractions there.
 GROUPS = {
@@ -61,7 +61,7 @@ def grouped_record(flat: DataFrame) -> DataFrame:
     """The record with one map of text per group, without missing values, numbers to 2 decimals."""
 
     def shown(field: str):
-        text = F.col(field) if field in TEXTS else fixed(field, 2).cast("string")
+        text = F.col(field) if field in TEXTS else plain_text(field, 2)
         return F.struct(F.lit(field).alias("key"), text.alias("value"))
 
     def group(name: str):

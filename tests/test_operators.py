@@ -456,6 +456,14 @@ def test_record_keeps_the_empty_date(spark):
     assert fundamentals.valuation_comparison(fundamentals.fundamentals(info), ["B"]).count() == 1
 
 
+def test_record_shows_large_numbers_as_digits(spark):
+    """As SQL casts a double to text: no exponent from ten millions on."""
+    values = [15729095.58, -12345678.5, 162404958.0, 9999999.9, 0.004, 2.5, 1000000000000.25, None]
+    info = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "instrument string, totalCash double")
+    got = {r.instrument: r.financial_health.get("total_cash") for r in fundamentals.grouped_record(fundamentals.fundamentals(info)).collect()}
+    assert got == dict(zip("01234567", ["15729095.58", "-12345678.5", "162404958.0", "9999999.9", "0.0", "2.5", "1000000000000.25", None]))
+
+
 def test_loss_curve_over_blocks(spark):
     """A curve longer than a block, with ties and lost epochs, against a plain pass."""
     rng = np.random.default_rng(8)
