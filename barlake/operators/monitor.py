@@ -11,6 +11,7 @@ from barlake.functions.numeric import fixed
 from barlake.functions.votes import direction_correct
 from barlake.operators.asof import asof_join
 from barlake.operators.series import index_rows, own_block, with_blocks
+from barlake.session import materialise
 
 SEARCH_ROWS = 256
 
@@ -60,9 +61,10 @@ def first_triggers(alerts: DataFrame, bars: DataFrame, search_rows: int = SEARCH
     """Each alert with the first bar at or after its creation that fires it (null if none does): it fires once.
 
     Bars (instrument, ts, pos, n, close, rsi) are kept as arrays of `search_rows` rows, their extremes as arrays of
-    `search_rows` blocks, and the extremes of those as one array per instrument. An alert looks into its own rows, then
-    its own blocks, then the rest, and comes down again to the row: five joins that each meet one array per alert, so
-    alerts and bars of a hot instrument are never paired with each other.
+    `search_rows` blocks, and the extremes of those as one array per instrument. What is looked up are questions: type, value
+    and first bar, once for all alerts that share them. A question looks into its own rows, then its own blocks, then the
+    rest, and comes down again to the row: five joins that each meet one array per question, so alerts and bars of a hot
+    instrument are never paired with each other. All joins are by instrument too, so a filter by instrument reaches the search.
     """
     rows = bars.select("instrument", "pos", "ts", "close", "rsi").withColumn("b0", own_block(search_rows))
     listed = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))
@@ -77,16 +79,18 @@ def first_triggers(alerts: DataFrame, bars: DataFrame, search_rows: int = SEARCH
 
     row_fires, block_fires = _when_fired("close", "close", "rsi", "rsi"), _when_fired(*names)
     first = lambda array, condition: f"try_element_at(filter({array}, x -> coalesce({condition}, false)), 1)"
-    spread = "-1 - pmod(hash(id), 4096)"  # a place that no block has, so that alerts with nothing to look up do not pile up
-    fields = ["id", "instrument", "alert_type", "value", "start", "home0", "home1", "hit", "c0", "c1"]
+    spread = "-1 - pmod(hash(start, value), 4096)"  # a place that no block has, so that questions with nothing to look up do not pile up
+    asked = ["instrument", "alert_type", "value", "start"]
+    fields = [*asked, "home0", "home1", "hit", "c0", "c1"]
     keep = lambda **new: [f"{new[f]} AS {f}" if f in new else f for f in fields]
 
-    begun = asof_join(alerts.select("id", "instrument", "alert_type", "value", "created_at"), bars.select("instrument", "ts", F.col("pos").alias("start")), "start", left_on="created_at", direction="forward")
-    found = begun.filter("start is not null").selectExpr(
-        "id", "instrument", "alert_type", "value", "start", f"floor((start - 1) / {search_rows}) AS home0", f"floor((start - 1) / {search_rows * search_rows}) AS home1"
+    begun = asof_join(alerts.select("instrument", "created_at").distinct(), bars.select("instrument", "ts", F.col("pos").alias("start")), "start", left_on="created_at", direction="forward")
+    begun = materialise(begun.filter("start is not null").select("instrument", "created_at", "start"))
+    found = alerts.join(begun, ["instrument", "created_at"]).select(asked).distinct().selectExpr(
+        *asked, f"floor((start - 1) / {search_rows}) AS home0", f"floor((start - 1) / {search_rows * search_rows}) AS home1"
     )
     found = found.withColumn("b0", F.col("home0")).join(level0, ["instrument", "b0"], "left")
-    found = found.selectExpr(*fields[:7], f"{first('_rows', f'x.pos >= start AND {row_fires}')} AS hit", "bigint(null) AS c0", "bigint(null) AS c1")
+    found = found.selectExpr(*fields[:6], f"{first('_rows', f'x.pos >= start AND {row_fires}')} AS hit", "bigint(null) AS c0", "bigint(null) AS c1")
     found = found.withColumn("b1", F.expr(f"if(hit is null, home1, {spread})")).join(level1, ["instrument", "b1"], "left")
     found = found.selectExpr(*keep(c0=f"{first('_blocks', f'x.b0 > home0 AND {block_fires}')}.b0"))
     found = found.join(top, "instrument", "left")
@@ -94,9 +98,10 @@ def first_triggers(alerts: DataFrame, bars: DataFrame, search_rows: int = SEARCH
     found = found.withColumn("b1", F.expr(f"coalesce(c1, {spread})")).join(level1, ["instrument", "b1"], "left")
     found = found.selectExpr(*keep(c0=f"coalesce(c0, {first('_blocks', block_fires)}.b0)"))
     found = found.withColumn("b0", F.expr(f"if(hit is null, coalesce(c0, {spread}), {spread})")).join(level0, ["instrument", "b0"], "left")
-    fired = found.selectExpr("id", "alert_type", f"coalesce(hit, {first('_rows', row_fires)}) AS hit").filter("hit is not null")
-    fired = fired.selectExpr("id", "hit.ts AS triggered_at", "if(startswith(alert_type, 'rsi'), hit.rsi, hit.close) AS triggered_value")
-    return alerts.join(fired, "id", "left").withColumn("triggered", F.col("triggered_at").isNotNull())
+    fired = found.selectExpr(*asked, f"coalesce(hit, {first('_rows', row_fires)}) AS hit").filter("hit is not null")
+    fired = fired.selectExpr(*asked, "hit.ts AS triggered_at", "if(startswith(alert_type, 'rsi'), hit.rsi, hit.close) AS triggered_value")
+    told = alerts.join(begun, ["instrument", "created_at"], "left").join(fired, asked, "left")
+    return told.select(*alerts.columns, "triggered_at", "triggered_value").withColumn("triggered", F.col("triggered_at").isNotNull())
 
 
 def alert_statistics(alerts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

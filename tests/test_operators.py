@@ -136,6 +136,20 @@ def test_first_triggers(spark):
             assert got.triggered_at[a.id] == hit.ts.iloc[0] and got.triggered_value[a.id] == pytest.approx(seen[hit.index[0]])
 
 
+def test_equal_alerts_are_looked_up_once(spark):
+    """Alerts with one question, and one alert that stands twice, each get their row."""
+    rows = pd.concat([walk(name, 60, 9).assign(rsi=50.0) for name in "AB"])
+    indexed = index_rows(spark.createDataFrame(rows), ["instrument"])
+    low, start = float(rows.close.min()) - 1, START.to_pydatetime()
+    alerts = [(i // 2, "AB"[i % 2], "price_above", low, start, True, False) for i in range(400)] + [(1000, "A", "rsi_above", None, start, True, False), (1001, "A", "rsi_above", 90.0, None, True, False)]
+    frame = spark.createDataFrame(alerts, "id long, instrument string, alert_type string, value double, created_at timestamp, active boolean, triggered boolean")
+    told = monitor.first_triggers(frame, indexed, search_rows=16)
+    got = told.toPandas()
+    assert len(got) == 402 and set(got.id[~got.triggered]) == {1000, 1001} and (got.triggered_at.dropna() == START).all()
+    open_ = monitor.select_alerts(told, "a")
+    assert {r.id for r in open_.collect()} == {1000, 1001}
+
+
 def test_cash_account(spark):
     rows = [
         (1, 1, "A", "BUY", 10.0, 100.0), (1, 2, "B", "BUY", 1.0, 99500.0), (1, 3, "A", "SELL", 20.0, 120.0), (1, 4, "A", "SELL", 4.0, 120.0),
