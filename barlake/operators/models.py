@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barlake.operators.features import SEQUENCE, min_max_scaled, with_target
 from barlake.operators.series import BLOCK_ROWS, index_rows, own_block, running, with_blocks
+from barlake.session import materialise
 
 # Least rows for training, and blend weights of the ensemble members.
 LEAST_BARS, LEAST_PREPARED, LEAST_SEQUENCES = 100, 80, 20
@@ -193,6 +194,24 @@ def member_metrics(scored: DataFrame, members: Sequence[str], actual: str) -> Da
     return long.groupBy("member").agg(*regression_metrics(F.col(actual), F.col("prediction")))
 
 
+#: Samples of one task of a fit, while there are fewer tasks than four a core; at most MOST_SAMPLES in one.
+TASK_SAMPLES, MOST_SAMPLES = 2048, 65_536
+
+
+def gathered(samples: DataFrame) -> DataFrame:
+    """The same samples, checkpointed in as many partitions as their own number asks for.
+
+    A tree fit runs hundreds of jobs with one task per partition. Samples inherit their partitions from the shuffles
+    of the ticks behind them, so without this a fit of the same samples slows down as the ticks grow.
+    """
+    kept = samples.persist()
+    n, cores = kept.count(), samples.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-n // TASK_SAMPLES), 4 * cores), -(-n // MOST_SAMPLES))
+    out = materialise(kept.repartition(parts))
+    kept.unpersist()
+    return out
+
+
 def random_forest(**settings):
     from pyspark.ml.regression import RandomForestRegressor
 

@@ -181,8 +181,8 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _member(estimator):
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        rows = _vectors(spark, folder).persist()
-        fitted = estimator().fit(rows.filter("part = 'train'"))
+        rows = models.gathered(_vectors(spark, folder))
+        fitted = estimator().fit(rows.filter("part = 'train'").persist())
         return fitted.transform(rows.filter("part = 'test'")).selectExpr("instrument", DAY, "label", "prediction")
 
     return build
@@ -195,7 +195,7 @@ register("gradient_boosting_member", _member(models.gradient_boosting))
 def _ensemble(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     """Small members, fitted on the training samples, saved, loaded again and lined up on the test samples."""
     samples = features.chronological_split(m._sequences(spark, folder), 0.9)
-    rows = materialise(features.flat_vectors(samples).select("instrument", "ts", "part", "sample", "features", "label").filter("label is not null"))
+    rows = models.gathered(features.flat_vectors(samples).select("instrument", "ts", "part", "sample", "features", "label").filter("label is not null"))
     members = {"rf": models.random_forest(numTrees=20, maxDepth=6), "gb": ensemble.boosting_with_stop(maxIter=20, maxDepth=3), "linear": ensemble.linear()}
     path = f"{work_dir(spark)}/members-{uuid.uuid4().hex}"
     ensemble.save_members(ensemble.fit_members(rows.filter("part = 'train'"), members), path)

@@ -462,6 +462,13 @@ def test_boosting_stops_where_held_out_samples_get_no_better(spark):
     assert stopped.getNumTrees < 30
 
 
+def test_samples_are_gathered_by_their_own_number(spark):
+    """Few samples out of many partitions are fitted in few tasks; none goes and none comes."""
+    few = models.gathered(spark.range(3000).repartition(150).withColumn("x", F.lit(1.0)))
+    assert few.rdd.getNumPartitions() == 2 and sorted(r.id for r in few.collect()) == list(range(3000))
+    assert models.gathered(spark.range(0)).count() == 0
+
+
 def test_record_keeps_the_empty_date(spark):
     info = spark.createDataFrame([("A", 10.0, None), ("B", None, "2024-05-01")], "instrument string, trailingPE double, exDividendDate string")
     got = {r.instrument: r.dividends for r in fundamentals.grouped_record(fundamentals.fundamentals(info)).collect()}
