@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ VOCABULARY = "word_bpe_49k.json"
 ROLL, DENSITY = 4, 248
 MULTIPLIER, FINISH = 2_654_435_761, 2_246_822_519
 #: Chunks that a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: New chunks that the tokenizer gets in one call.
+TOGETHER = 1024
 
 
 def cuts(raw: bytes, density: int = DENSITY) -> list[int]:
@@ -48,14 +51,15 @@ class Coder:
         self.young: dict[bytes, tuple[bytes, str]] = {}
         self.old: dict[bytes, tuple[bytes, str]] = {}
         self.plain_decode = self.tokenizer.decoder is None  # then decoding joins the tokens with blanks
+        self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())] if self.plain_decode else []
 
     def _encode(self, chunks: list[bytes]) -> None:
-        """Remember chunks that are not yet known."""
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        for chunk, one in zip(chunks, found):
-            ids = one.ids
-            text = self.tokenizer.decode(ids, skip_special_tokens=False) if self.plain_decode else ""
-            self.young[chunk] = np.array(ids, "<u4").tobytes(), text
+        """Remember chunks that are not yet known. The tokenizer gets TOGETHER at a time, for its results take many times the room of the ids."""
+        for lo in range(0, len(chunks), TOGETHER):
+            some = chunks[lo : lo + TOGETHER]
+            for chunk, one in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
+                ids = one.ids
+                self.young[chunk] = array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids]) if self.plain_decode else ""
 
     def _doubtful(self, chunk: bytes) -> bool:
         if not self.parted:
@@ -84,11 +88,13 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian, 32 bits each) and decoded text of every text; null counts as empty. All new chunks of the texts are encoded in one call, each once."""
-        parts = []
+        parts, doubts = [], []
         for text in texts:
             raw = (text or "").encode()
             at = [0, *cuts(raw, self.density), len(raw)]
-            parts.append([raw[i:j] for i, j in zip(at, at[1:]) if i < j])
+            parts.append(chunks := [raw[i:j] for i, j in zip(at, at[1:]) if i < j])
+            # only what begins beyond ASCII can be doubtful where the tokenizer parts at white space
+            doubts.append(any(map(self._doubtful, chunks[1:])) if not (self.parted and raw.isascii()) else False)
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -96,9 +102,9 @@ class Coder:
         for c in [c for c in new if c in old]:
             young[c] = old[c]
             new.discard(c)
-        self._encode(sorted(new))
-        for chunks in parts:
-            whole = [young[c] for c in chunks] if not any(map(self._doubtful, chunks[1:])) else [self._known(c) for c in self._repaired(chunks)]
+        self._encode(sorted(new))  # like chunks together, so that the tokenizer's own memory of words holds
+        for chunks, doubt in zip(parts, doubts):
+            whole = [young[c] for c in chunks] if not doubt else [self._known(c) for c in self._repaired(chunks)]
             ids = b"".join([w[0] for w in whole])
             if self.plain_decode:
                 yield ids, " ".join([w[1] for w in whole if w[0]])
@@ -110,7 +116,7 @@ class Coder:
 _CODERS: dict[tuple, Coder] = {}
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parted: bool = True, with_ids: bool = True, with_text: bool = False, slice_chars: int = 1 << 22) -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parted: bool = True, with_ids: bool = True, with_text: bool = False, slice_chars: int = 1 << 20) -> DataFrame:
     """Per row: key, n_tokens, ids (array), decoded (text, on demand), ids_sha256, decoded_sha256.
 
     The ids are those of the tokenizer at `path` over the whole text without added special tokens; the path must be readable on every

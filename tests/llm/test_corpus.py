@@ -432,6 +432,26 @@ def test_bpe(docs, odd, rows):
     assert all(ids[k] == t.encode(x or "", add_special_tokens=False).ids for k, x in rows)
 
 
+def test_bpe_takes_new_chunks_in_groups():
+    """However many chunks are new, the tokenizer gets TOGETHER at most in one call, for its results take much room."""
+    coder, sizes = bpe.Coder(bpe.vocabulary()), []
+
+    class Counted:
+        def __getattr__(self, name, inner=coder.tokenizer):
+            return getattr(inner, name)
+
+        def encode_batch_fast(self, texts, inner=coder.tokenizer, **how):
+            sizes.append(len(texts))
+            return inner.encode_batch_fast(texts, **how)
+
+    plain, coder.tokenizer = coder.tokenizer, Counted()
+    text = " ".join(f"w{i}x" for i in range(3 * bpe.TOGETHER))
+    ((ids, back),) = coder.encode([text])
+    want = plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == want and back == plain.decode(want, skip_special_tokens=False)
+    assert max(sizes) <= bpe.TOGETHER and sum(sizes) > 2 * bpe.TOGETHER
+
+
 @pytest.mark.parametrize("name,parted", [("word_bpe_49k.json", True), ("word_bpe_49k.json", False), ("byte_bpe_50k.json", False)])
 def test_bpe_joins_are_repaired(name, parted):
     import public_tokenizers
