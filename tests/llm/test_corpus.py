@@ -590,6 +590,70 @@ def test_near_copies_keep_rows_whole(odd):
     assert neardup.deduplicate(odd.limit(0)).count() == 0
 
 
+def changed_sets(shared, left, right, n, seed):
+    """n pairs of shingle sets with so many shingles in common, only in the first, only in the second."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        h = rng.integers(0, 2**64, shared + left + right, np.uint64)
+        out += [np.sort(h[: shared + left]), np.sort(np.r_[h[:shared], h[shared + left :]])]
+    return out
+
+
+def test_simhash_of_sets():
+    a, b = changed_sets(700, 90, 85, 1, 5)
+    for found in (a, a[:4], a[:5], a[:255], a[:256], a[:1]):
+        want = []
+        for flip in neardup._FLIPS:
+            rows = np.array([neardup._mixed(found ^ flip)]).T.copy().view(np.uint8)
+            want += (2 * np.unpackbits(rows, axis=1).sum(axis=0, dtype=int) > len(found)).tolist()
+        assert np.unpackbits(neardup.fingerprint(found).view(np.uint8)).tolist() == want
+    # the angle between the sets
+    far = int(np.bitwise_count(neardup.fingerprint(a) ^ neardup.fingerprint(b)).sum())
+    angle = np.arccos(700 / np.sqrt(len(a) * len(b))) / np.pi * neardup.BITS
+    assert abs(far - angle) < 6 * np.sqrt(angle)
+
+
+@pytest.mark.parametrize("shared, left, right", [(4, 0, 1), (8, 1, 1), (9, 0, 1), (8, 2, 0), (16, 2, 2), (80, 10, 10), (400, 50, 50), (80, 0, 20)])
+def test_tables_propose_pairs_of_similarity_0_8(shared, left, right):
+    sets = changed_sets(shared, left, right, 100, shared)
+    prints = np.stack([neardup.fingerprint(s) for s in sets])
+    short = max(shared + left, shared + right) <= neardup.SHORT
+    values = neardup.table_values(prints, slice(0, neardup.SHORT_TABLES if short else neardup.TABLES))
+    differ = values[::2] ^ values[1::2]
+    assert (((differ >> np.uint64(64 - neardup.KEY)) == 0) & (np.bitwise_count(differ) <= neardup.MAX_BITS)).any(axis=1).all()
+    far = np.bitwise_count(prints[::2] ^ prints[1::2]).sum(axis=1)
+    assert far.max() <= (neardup.SHORT_FAR if min(shared + left, shared + right) <= neardup.SHORT else neardup.FAR)
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_meetings_of_buckets(spark, tile):
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 1 << 49, 6)
+    rows = [(int(b), int(centre[b] ^ (1 << int(rng.integers(49))) ^ (((1 << 12) - 1) if rng.random() < 0.3 else 0)), 100 * int(b) + k) for k, b in enumerate(rng.integers(0, 6, 80))]
+    want = {i: {i} for _, _, i in rows}
+    for x, y in itertools.combinations(rows, 2):
+        if x[0] == y[0] and (tile < 10 or (x[1] ^ y[1]).bit_count() <= neardup.MAX_BITS):
+            both = want[x[2]] | want[y[2]]
+            want |= {i: both for i in both}
+    got = {r.node: r.root for r in neardup.components(neardup._meeting(spark.createDataFrame(rows, "bucket int, rest long, id long"), tile)).collect()}
+    assert got == {i: min(c) for i, c in want.items() if len(c) > 1} and (len(set(got.values())) == 6) == (tile < 10)
+
+
+def test_near_copies_in_small_tiles(spark):
+    rows = near_copies()
+    want = [k for _, k in plain_jaccard_classes(rows)]
+    assert sorted(r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), tile=3).collect()) == want
+
+
+def test_only_simhashes_propose_near_copies(spark, monkeypatch):
+    """With fingerprints that say nothing of the sets, equal sets alone are one class."""
+    rows = near_copies()
+    monkeypatch.setattr(neardup, "fingerprint", lambda found: np.random.default_rng(found).integers(0, 2**64, 32, np.uint64))
+    left = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert left == len({tuple(neardup.shingles(t).tolist()) for _, t in rows}) > len(plain_jaccard_classes(rows))
+
+
 # ---------------------------------------------------------------- 8
 
 
