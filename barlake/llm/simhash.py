@@ -18,6 +18,8 @@ BITS, SHINGLE, SEED, MAX_BITS = 64, 3, 42, 2
 NODE_ROWS = 1 << 18
 #: Node pairs that a traversal holds at once.
 FRONTIER = 1 << 20
+#: Links that one task contracts.
+TASK_LINKS = 1 << 17
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -66,6 +68,14 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links a-b contracted: one for every node that is not the smallest of its class, to that one."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    root = _smallest(len(nodes), at[: len(a)], at[len(a) :])
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
 def trie_links(values: np.ndarray, groups: np.ndarray, max_bits: int = MAX_BITS, shared: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of items of one group that differ in at most `max_bits` bits.
 
@@ -182,27 +192,48 @@ def _local_classes(dealt: DataFrame, max_bits: int) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, task_links: int) -> DataFrame:
+    """The forests of every task's links, up to `task_links` at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= task_links:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*held)))], names=["a", "b"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*held)))], names=["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, root): classes of the graph of links (a, b), each named by its smallest node; nodes without a link are left out.
 
-    Stars: in turn every node hands its larger, then its smaller neighbours to the smallest it knows, until nothing changes.
+    Stars: in turn every node hands its larger, then its smaller neighbours to the smallest it knows, until nothing changes; after
+    each round tasks contract the links they hold, about `task_links` each. Links that fit in one task are contracted without a round.
     The smallest neighbour comes from partial sums and a join, so a class of any size is no group of one task. Each round is checkpointed to the
     shared folder.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    edges = materialise(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).filter("a != b").distinct())
     state = None
     while True:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+        if now == state or not now[0]:
+            break
+        state, tasks = now, -(-now[0] // task_links)
+        if tasks == 1:
+            edges = materialise(_contracted(edges.coalesce(1), task_links))
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         big = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         big = big.filter("a != b").distinct()
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = materialise(small.filter("a != b").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = now
+        edges = materialise(_contracted(small.filter("a != b").distinct().coalesce(tasks), task_links))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _roots(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:

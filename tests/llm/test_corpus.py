@@ -640,6 +640,39 @@ def test_meetings_of_buckets(spark, tile):
     assert got == {i: min(c) for i, c in want.items() if len(c) > 1} and (len(set(got.values())) == 6) == (tile < 10)
 
 
+@pytest.mark.parametrize("task_links", [1 << 17, 40, 3])
+def test_components_in_tasks(spark, task_links):
+    """Chains, stars and random graphs, contracted in one task or in many between the rounds."""
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(0, 90)] + [(500, i) for i in range(200, 260)] + [(300, i) for i in range(301, 360)]
+    links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(7, 7), (90, 200), (2**40, -5)]
+    root = {x: x for x in itertools.chain(*links)}
+    for a, b in links:
+        root = {x: min(root[a], root[b]) if r in (root[a], root[b]) else r for x, r in root.items()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = simhash.components(spark.createDataFrame(links, "a long, b long").repartition(5), task_links).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, r) for x, r in root.items() if x in linked)
+    assert simhash.components(spark.createDataFrame([], "a long, b long"), task_links).count() == 0
+
+
+def test_links_of_a_node_do_not_grow_with_its_group(spark, monkeypatch):
+    """Near copies of one text, each met by other smallest nodes in every table."""
+    rng = random.Random(12)
+    base = [rng.choice("abcdefgh") * 3 + str(rng.randrange(500)) for _ in range(150)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    counts = []
+    plain = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: counts.append(links.select(F.greatest("a", "b"), F.least("a", "b")).distinct().count()) or plain(links))
+    left = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(False, r.doc_id) for r in left.collect()] == plain_jaccard_classes(rows)
+    assert max(counts) <= 9 * len(rows)
+
+
 def test_near_copies_in_small_tiles(spark):
     rows = near_copies()
     want = [k for _, k in plain_jaccard_classes(rows)]
